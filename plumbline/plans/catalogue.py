@@ -1,6 +1,11 @@
 """All registered queries."""
 
-from plumbline.plans import profile_queries, value_queries  # noqa: F401
+from plumbline.plans import (  # noqa: F401
+    history_queries,
+    profile_queries,
+    rule_queries,
+    value_queries,
+)
 from plumbline.plans.registry import QUERIES
 
 __all__ = ["QUERIES"]
