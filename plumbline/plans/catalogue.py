@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from plumbline.plans import (  # noqa: F401
+    cleaning_queries,
     history_queries,
     profile_queries,
     rule_queries,
