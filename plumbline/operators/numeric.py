@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.shaping import rows_from
+from plumbline.operators.shaping import any_of, rows_from
 
 REPORT_TYPE = "decimal(38,6)"
 
@@ -101,15 +101,13 @@ def extreme_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     The bounds are a one-row scalar subquery, so the second scan is a plain filter.
     """
-    labels = []
+    at_bound = {}
     for c in columns:
-        low = df.agg(F.min(c)).scalar()
-        high = df.agg(F.max(c)).scalar()
-        labels += [F.when(F.col(c) == low, F.lit(f"minimum {c}")),
-                   F.when(F.col(c) == high, F.lit(f"maximum {c}"))]
-    held = F.array_compact(F.array(*labels))
-    return df.withColumn("extreme", held).filter(F.size("extreme") > 0).withColumn(
-        "extreme", F.explode("extreme"))
+        at_bound[f"minimum {c}"] = F.col(c) == df.agg(F.min(c)).scalar()
+        at_bound[f"maximum {c}"] = F.col(c) == df.agg(F.max(c)).scalar()
+    labels = [F.when(test, F.lit(label)) for label, test in at_bound.items()]
+    rows = df.filter(any_of(at_bound.values()))
+    return rows.withColumn("extreme", F.explode(F.array_compact(F.array(*labels))))
 
 
 def out_of_range_rows(df: DataFrame, value: Column | str, output: str, low=None, high=None):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 import math
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -20,6 +21,8 @@ from pyspark.sql import types as T
 
 ROWS_PER_RANGE = 4_000_000
 MAX_RANGES = 50_000
+# Several ranges per shuffle partition even out what hashing their numbers puts together.
+RANGES_PER_TASK = 4
 SAMPLED_ROWS_PER_RANGE = 200
 _EDGE = "_edge"
 _PREFIX_BYTES = 6
@@ -86,8 +89,8 @@ def with_ranges(
     ).first()
     if ranges is None:
         by_size = math.ceil(bounds["n"] / ROWS_PER_RANGE)
-        by_tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = min(MAX_RANGES, max(by_size, by_tasks))
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = min(MAX_RANGES, max(by_size, RANGES_PER_TASK * tasks))
     usable = [k for i, k in enumerate(order) if bounds[f"lo{i}"] is not None]
     if ranges < 2 or not usable or usable[0] != order[0]:
         return df.withColumn("_range0", F.lit(0)), ["_range0"]
@@ -110,7 +113,7 @@ def with_ranges(
             break
         points = cuts[position] or []
         splits = sorted(set(points))
-        repeated = sorted({p for p in points if points.count(p) > 1})
+        repeated = sorted(p for p, n in Counter(points).items() if n > 1)
         heavy = []
         if repeated and i + 1 < len(order):
             heavy = _heavy_values(placed, key, position, repeated)
@@ -153,30 +156,26 @@ def with_neighbors(
     otherwise the neighbour is as arbitrary as in a plain window.
     """
     previous, following = dict(previous or {}), dict(following or {})
+    if not previous and not following:
+        raise ValueError("name at least one neighbour")
     order, by = list(order), list(by)
     sources = sorted({*previous.values(), *following.values()})
     ranged, numbers = with_ranges(df, order, ranges)
     keys = [*by, *numbers]
 
-    values = F.struct(*sources)
-    edges = ranged.groupBy(*keys).agg(
-        F.min_by(values, _sort_key(order)).alias("first"),
-        F.max_by(values, _sort_key(order)).alias("last"),
-    )
+    values, place = F.struct(*sources), _sort_key(order)
     # One row per non-empty (group, range): small, and at most MAX_RANGES rows for a group.
     along = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*numbers)
-    edges = edges.select(
-        *keys,
-        F.lag("last").over(along).alias("before"),
-        F.lead("first").over(along).alias("after"),
-    )
-    edges = edges.select(
-        *keys,
-        F.inline(F.array(
-            F.struct(F.lit(-1).alias(_EDGE), F.col("before").alias("v")),
-            F.struct(F.lit(1).alias(_EDGE), F.col("after").alias("v")),
-        )),
-    ).filter(F.col("v").isNotNull()).select(*keys, _EDGE, "v.*")
+    ends, carried = [], []
+    if previous:
+        ends.append(F.max_by(values, place).alias("last"))
+        carried.append(F.struct(F.lit(-1).alias(_EDGE), F.lag("last").over(along).alias("v")))
+    if following:
+        ends.append(F.min_by(values, place).alias("first"))
+        carried.append(F.struct(F.lit(1).alias(_EDGE), F.lead("first").over(along).alias("v")))
+    edges = ranged.groupBy(*keys).agg(*ends).select(*keys, F.array(*carried).alias("carried"))
+    edges = edges.select(*keys, F.inline("carried")).filter(F.col("v").isNotNull())
+    edges = edges.select(*keys, _EDGE, "v.*")
 
     rows = ranged.withColumn(_EDGE, F.lit(0)).unionByName(edges, allowMissingColumns=True)
     window = Window.partitionBy(*keys).orderBy(_EDGE, *_nulls_last(order))

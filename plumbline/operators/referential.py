@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import MAX_INLINE_ENTRIES
-from plumbline.operators.shaping import all_of, as_list, null_safe_on
+from plumbline.operators.shaping import all_of, any_of, as_list, null_safe_on
 
 
 def _child_groups(child: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -91,19 +91,30 @@ def lookup_rows(
 def unique_dimension(dim: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     """One row per key of a dimension with exact duplicates; differing rows stop the job.
 
-    Grouping on the key alone lets the join that follows reuse the exchange.
+    Grouping on the key alone lets the join that follows reuse the exchange, and plain minima
+    and maxima keep numbers and dates in hash aggregation.
     """
     keys = as_list(keys)
     rest = [c for c in dim.columns if c not in keys]
     if not rest:
         return dim.distinct()
-    attributes = F.struct(*rest)
-    ends = dim.groupBy(*keys).agg(F.min(attributes).alias("lo"), F.max(attributes).alias("hi"))
+    aggregates = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(rest):
+        aggregates += [F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}"),
+                       F.count(c).alias(f"_n{i}")]
+    groups = dim.groupBy(*keys).agg(*aggregates)
+    differs = any_of(
+        (F.col(f"_lo{i}") != F.col(f"_hi{i}"))
+        | ((F.col(f"_n{i}") > 0) & (F.col(f"_n{i}") < F.col("_n")))
+        for i in range(len(rest))
+    )
     shown = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
-    same = F.when(F.col("lo").eqNullSafe(F.col("hi")), F.col("lo")).otherwise(
-        F.raise_error(F.concat(F.lit("differing dimension rows for "), shown))
+    error = F.raise_error(F.concat(F.lit("differing dimension rows for "), shown))
+    return groups.select(
+        *keys,
+        *[F.when(differs, error.cast(dim.schema[c].dataType)).otherwise(F.col(f"_lo{i}")).alias(c)
+          for i, c in enumerate(rest)],
     )
-    return ends.select(*keys, same.alias("row")).select(*keys, "row.*")
 
 
 def enrich_join(

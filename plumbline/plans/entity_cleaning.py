@@ -16,6 +16,7 @@ from plumbline.functions.text import folded, mapped
 from plumbline.operators.cleaning import CleaningPlan, apply_plan, clean
 from plumbline.operators.keys import dedup_exact
 from plumbline.operators.ordering import with_neighbors
+from plumbline.sources.tables import written
 
 # Standard labels, found by lower case without outer spaces.
 PROJECT_STATUSES = {
@@ -241,7 +242,7 @@ def clean_labor(rows: DataFrame, fixes: Mapping[str, str] = LABOR_PROJECTS) -> D
 
 def clean_updates(rows: DataFrame) -> DataFrame:
     """As the other tables, after linking each update to the one before it in its project."""
-    unique = dedup_exact(rows, "update_id")
+    unique = written(dedup_exact(rows, "update_id"), "unique-updates")
     report = parse.parse_date_fallback(F.col("report_date").cast("string"))
     actual = parse.normalize_percent(F.col("actual_pct_complete").cast("string"), 4, 1)
     dated = unique.withColumns({"_report": report, "_actual": actual})

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.ordering import with_row_numbers
-from plumbline.sources.tables import read_table, shared_folder
+from plumbline.sources.tables import read_table
+from plumbline.sources.tables import written as written_table
 
 SQL = {
     "O": """
@@ -135,11 +136,7 @@ def updates_view(spark: SparkSession, sf_dir: str, written: bool = False) -> Dat
         F.when(F.col("event_id") % 173 == 0, F.concat(text, F.lit("%"))).otherwise(text)
         .alias("pct_text"),
     )
-    if not written:
-        return view
-    path = shared_folder(spark, "updates")
-    view.write.parquet(path)
-    return spark.read.parquet(path)
+    return written_table(view, "updates") if written else view
 
 
 def shipments_view(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,17 @@ def write_cleaned(
     return spark.read.parquet(path)
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Put an intermediate table into shared storage and read it back.
+
+    For frames that several passes read: the work behind them runs once, and an executor lost
+    later costs a re-read only.
+    """
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """New folder name in the shared storage the cluster names in ``spark.checkpoint.dir``.
 
