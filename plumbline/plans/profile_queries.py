@@ -54,7 +54,10 @@ def _orders_csv(spark: SparkSession, sf_dir: str) -> str:
         "o_totalprice": F.col("o_totalprice").cast("decimal(18,2)"),
         "o_orderdate": F.col("o_orderdate").cast("date"),
     })
-    rows.write.option("header", True).csv(path)
+    # The writer would otherwise trim outer spaces.
+    rows.write.options(
+        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
     return path
 
 

@@ -12,8 +12,15 @@ DATA = os.environ.get("TESTDATA_DIR", "/root/testdata")
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", master="local[4]", shuffle_partitions=8)
+def shared(tmp_path_factory):
+    return str(tmp_path_factory.mktemp("shared"))
+
+
+@pytest.fixture(scope="session")
+def spark(shared):
+    session = build_session(
+        "tests", master="local[4]", shuffle_partitions=8, extra={"spark.checkpoint.dir": shared}
+    )
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
