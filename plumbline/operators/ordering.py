@@ -1,10 +1,11 @@
 """Order-dependent values without sorting a table, or one large entity, in a single task.
 
-The first order key is cut into ranges of about equal row counts and the window runs inside
-(entity, range). What crosses a range border travels in one extra row per range: the neighbouring
-range's edge value, or the number of rows that come before. A range holds about
-rows / ranges rows, whatever share of the table an entity holds. A single key value that fills
-several ranges by itself is cut further by the next order key.
+An entity that fits one task is windowed as usual. A whole table, or an entity with more than
+its share of the rows, is cut by its first order key into ranges of about equal row counts, and
+the window runs inside (entity, range). What crosses a range border travels in one extra row per
+range: the neighbouring range's edge value, or the number of rows that come before. A range
+holds about rows / ranges rows, whatever share of the table an entity holds. A single key value
+(or NULL) that fills several ranges by itself is cut further by the next order key.
 """
 
 from __future__ import annotations
@@ -19,12 +20,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.operators.shaping import all_of
+
 ROWS_PER_RANGE = 4_000_000
 MAX_RANGES = 50_000
 # Several ranges per shuffle partition even out what hashing their numbers puts together.
 RANGES_PER_TASK = 4
 SAMPLED_ROWS_PER_RANGE = 200
 _EDGE = "_edge"
+_HOT = "_hot"
 _PREFIX_BYTES = 6
 
 
@@ -73,62 +77,92 @@ def _heavy_values(df: DataFrame, key: str, position: str, repeated: Sequence[flo
     return [r[position] for r in rows if r["lo"] == r["hi"]]
 
 
+def _heavy_groups(sample: DataFrame, by: Sequence[str], rows: float, ranges: int) -> list:
+    """Groups that hold at least one range's worth of the sample: never more than ``ranges``."""
+    floor = max(2, math.ceil(rows / ranges))
+    counts = sample.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.filter(F.col("_n") >= floor).select(*by).collect()
+
+
+def _mark_heavy(df: DataFrame, by: Sequence[str], heavy: list) -> DataFrame:
+    """Flag the rows of heavy groups with a broadcast join; the list holds at most one group
+    per range."""
+    kinds = df.select(*by).schema
+    names = [f"_by{i}" for i in range(len(by))]
+    listed = df.sparkSession.createDataFrame(heavy, kinds).toDF(*names)
+    same = all_of(F.col(k).eqNullSafe(F.col(n)) for k, n in zip(by, names))
+    marked = df.join(F.broadcast(listed.withColumn(_HOT, F.lit(True))), same, "left")
+    return marked.drop(*names)
+
+
 def with_ranges(
-    df: DataFrame, order: Sequence[str], ranges: int | None = None
+    df: DataFrame, order: Sequence[str], by: Sequence[str] = (), ranges: int | None = None
 ) -> tuple[DataFrame, list[str]]:
     """Add range-number columns that follow the order keys; NULL keys come last.
 
-    Cut points come from a small sample and only steer the balance: any cut points give the
-    same results, and no row is left out. The driver receives at most ``MAX_RANGES`` numbers
-    per key.
+    With ``by`` only groups too large for one task are cut, all others stay in range 0; without
+    any such group no column is added. Rows that were cut carry ``_hot``.
+
+    Cut points and large groups come from a small sample and only steer the balance: any choice
+    gives the same results, and no row is left out. The driver receives at most ``MAX_RANGES``
+    numbers per key and ``MAX_RANGES`` group keys.
     """
     bounds = df.agg(
         F.count(F.lit(1)).alias("n"),
         *[F.min(k).alias(f"lo{i}") for i, k in enumerate(order)],
         *[F.max(k).alias(f"hi{i}") for i, k in enumerate(order)],
+        *[F.count(k).alias(f"n{i}") for i, k in enumerate(order)],
     ).first()
     if ranges is None:
         by_size = math.ceil(bounds["n"] / ROWS_PER_RANGE)
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranges = min(MAX_RANGES, max(by_size, RANGES_PER_TASK * tasks))
-    usable = [k for i, k in enumerate(order) if bounds[f"lo{i}"] is not None]
-    if ranges < 2 or not usable or usable[0] != order[0]:
-        return df.withColumn("_range0", F.lit(0)), ["_range0"]
-
-    positions = {f"_pos{i}": _position(df, k, bounds[f"lo{i}"], bounds[f"hi{i}"])
-                 for i, k in enumerate(order) if k in usable}
-    placed = df.withColumns(positions)
-    share = min(1.0, ranges * SAMPLED_ROWS_PER_RANGE / max(bounds["n"], 1))
-    sample = df.select(*order).sample(fraction=share, seed=11) if share < 1 else df
+    usable = [i for i in range(len(order)) if bounds[f"n{i}"] > 0]
+    if not usable and bounds["n"] > ROWS_PER_RANGE:
+        raise ValueError(f"nothing to order by: {', '.join(order)} are all NULL")
+    if ranges < 2 or not usable:
+        return df, []
+
+    share = min(1.0, ranges * SAMPLED_ROWS_PER_RANGE / bounds["n"])
+    sample = df.select(*dict.fromkeys([*by, *order]))
+    sample = sample.sample(fraction=share, seed=11) if share < 1 else sample
+    heavy_groups = _heavy_groups(sample, by, share * bounds["n"], ranges) if by else []
+    if by and not heavy_groups:
+        return df, []
+
+    positions = {f"_pos{i}": _position(df, order[i], bounds[f"lo{i}"], bounds[f"hi{i}"])
+                 for i in usable}
     steps = [i / ranges for i in range(1, ranges)]
     cuts = sample.withColumns(positions).agg(
         *[F.percentile_approx(p, steps, max(10_000, 4 * ranges)).alias(p) for p in positions]
     ).first()
 
+    placed = _mark_heavy(df, by, heavy_groups) if by else df.withColumn(_HOT, F.lit(True))
+    placed = placed.withColumns(positions)
     columns: list[str] = []
-    still_heavy: Column | None = None
-    for i, key in enumerate(order):
-        position, output = f"_pos{i}", f"_range{i}"
-        if position not in positions:
-            break
+    cut_further = F.coalesce(F.col(_HOT), F.lit(False))
+    for i in usable:
+        key, position, output = order[i], f"_pos{i}", f"_range{i}"
         points = cuts[position] or []
         splits = sorted(set(points))
         repeated = sorted(p for p, n in Counter(points).items() if n > 1)
         heavy = []
-        if repeated and i + 1 < len(order):
+        many_nulls = bounds["n"] - bounds[f"n{i}"] >= bounds["n"] / ranges
+        if repeated and i != usable[-1]:
             heavy = _heavy_values(placed, key, position, repeated)
             for value in heavy:
                 after = math.nextafter(value, math.inf)
                 if splits[bisect.bisect_left(splits, value) + 1:][:1] != [after]:
                     bisect.insort(splits, after)
         placed = _cut(placed, position, output, splits)
-        if still_heavy is not None:
-            placed = placed.withColumn(output, F.when(still_heavy, F.col(output)).otherwise(0))
+        placed = placed.withColumn(output, F.when(cut_further, F.col(output)).otherwise(0))
         columns.append(output)
-        if not heavy:
+        if not heavy and not many_nulls:
             break
-        is_heavy = F.coalesce(F.col(position).isin(*heavy), F.lit(False))
-        still_heavy = is_heavy if still_heavy is None else still_heavy & is_heavy
+        held = F.col(position).isNull() & F.lit(many_nulls)
+        if heavy:
+            held = held | F.coalesce(F.col(position).isin(*heavy), F.lit(False))
+        cut_further = cut_further & held
     return placed.drop(*positions), columns
 
 
@@ -159,10 +193,18 @@ def with_neighbors(
     if not previous and not following:
         raise ValueError("name at least one neighbour")
     order, by = list(order), list(by)
-    sources = sorted({*previous.values(), *following.values()})
-    ranged, numbers = with_ranges(df, order, ranges)
-    keys = [*by, *numbers]
 
+    def linked(rows: DataFrame, keys: list, first: Sequence[str] = ()) -> DataFrame:
+        window = Window.partitionBy(*keys).orderBy(*first, *_nulls_last(order))
+        added = {name: F.lag(source).over(window) for name, source in previous.items()}
+        added |= {name: F.lead(source).over(window) for name, source in following.items()}
+        return rows.withColumns(added)
+
+    ranged, numbers = with_ranges(df, order, by, ranges)
+    if not numbers:
+        return linked(df, by or [F.lit(0)])
+    keys = [*by, *numbers]
+    sources = sorted({*previous.values(), *following.values()})
     values, place = F.struct(*sources), _sort_key(order)
     # One row per non-empty (group, range): small, and at most MAX_RANGES rows for a group.
     along = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*numbers)
@@ -173,15 +215,13 @@ def with_neighbors(
     if following:
         ends.append(F.min_by(values, place).alias("first"))
         carried.append(F.struct(F.lit(1).alias(_EDGE), F.lead("first").over(along).alias("v")))
-    edges = ranged.groupBy(*keys).agg(*ends).select(*keys, F.array(*carried).alias("carried"))
+    edges = ranged.filter(_HOT).groupBy(*keys).agg(*ends)
+    edges = edges.select(*keys, F.array(*carried).alias("carried"))
     edges = edges.select(*keys, F.inline("carried")).filter(F.col("v").isNotNull())
     edges = edges.select(*keys, _EDGE, "v.*")
 
     rows = ranged.withColumn(_EDGE, F.lit(0)).unionByName(edges, allowMissingColumns=True)
-    window = Window.partitionBy(*keys).orderBy(_EDGE, *_nulls_last(order))
-    added = {name: F.lag(source).over(window) for name, source in previous.items()}
-    added |= {name: F.lead(source).over(window) for name, source in following.items()}
-    return rows.withColumns(added).filter(F.col(_EDGE) == 0).drop(_EDGE, *numbers)
+    return linked(rows, keys, [_EDGE]).filter(F.col(_EDGE) == 0).drop(_EDGE, _HOT, *numbers)
 
 
 def with_row_numbers(
@@ -190,18 +230,22 @@ def with_row_numbers(
 ) -> DataFrame:
     """Number the rows of each group in order, starting at 1."""
     order, by = list(order), list(by)
-    ranged, numbers = with_ranges(df, order, ranges)
+    ranged, numbers = with_ranges(df, order, by, ranges)
+    if not numbers:
+        window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*_nulls_last(order))
+        return df.withColumn(output, F.row_number().over(window).cast("bigint"))
     keys = [*by, *numbers]
     along = (
         Window.partitionBy(*(by or [F.lit(0)])).orderBy(*numbers)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(
-        *keys, F.lit(-1).alias(_EDGE), F.coalesce(F.sum("n").over(along), F.lit(0)).alias("_offset")
-    )
+    counts = ranged.filter(_HOT).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # The extra row is numbered too, hence one less.
+    before = F.coalesce(F.sum("n").over(along), F.lit(0)) - 1
+    offsets = counts.select(*keys, F.lit(-1).alias(_EDGE), before.alias("_offset"))
     rows = ranged.withColumns({_EDGE: F.lit(0), "_offset": F.lit(None).cast("bigint")})
     rows = rows.unionByName(offsets, allowMissingColumns=True)
     window = Window.partitionBy(*keys).orderBy(_EDGE, *_nulls_last(order))
-    number = F.first("_offset").over(window) + F.row_number().over(window) - 1
+    number = F.coalesce(F.first("_offset").over(window), F.lit(0)) + F.row_number().over(window)
     numbered = rows.withColumn(output, number).filter(F.col(_EDGE) == 0)
-    return numbered.drop(_EDGE, "_offset", *numbers)
+    return numbered.drop(_EDGE, _HOT, "_offset", *numbers)
