@@ -97,24 +97,28 @@ class ConflictingDuplicates(ValueError):
     """Rows share a key but differ; keeping one of them would be a guess."""
 
 
+def require_consistent(df: DataFrame, keys: str | Sequence[str]) -> None:
+    """Raise if rows that share a key differ. Only keys and row hashes are shuffled."""
+    keys = as_list(keys)
+    row = F.xxhash64(*df.columns)
+    ends = df.groupBy(*keys).agg(F.min(row).alias("_low"), F.max(row).alias("_high"))
+    conflict = ends.filter(F.col("_low") != F.col("_high")).select(*keys).take(1)
+    if conflict:
+        raise ConflictingDuplicates(f"differing rows for {conflict[0].asDict()}")
+
+
 def dedup_exact(
     df: DataFrame, keys: str | Sequence[str] | None = None, on_conflict: str = "error"
 ) -> DataFrame:
-    """Keep one of each set of equal rows.
+    """Keep one of each set of equal rows; rows are dropped on full equality, never on a hash.
 
     With ``keys`` the result must be unique on them: ``on_conflict="error"`` runs a check and
-    raises, ``"keep"`` leaves all differing rows in place for review. The check shuffles only
-    keys and row hashes; rows are dropped on full equality, never on a hash.
+    raises, ``"keep"`` leaves all differing rows in place for review.
     """
     if on_conflict not in ("error", "keep"):
         raise ValueError("on_conflict is 'error' or 'keep'")
     if keys is not None and on_conflict == "error":
-        keys = as_list(keys)
-        row = F.xxhash64(*df.columns)
-        ends = df.groupBy(*keys).agg(F.min(row).alias("_low"), F.max(row).alias("_high"))
-        conflict = ends.filter(F.col("_low") != F.col("_high")).select(*keys).take(1)
-        if conflict:
-            raise ConflictingDuplicates(f"differing rows for {conflict[0].asDict()}")
+        require_consistent(df, keys)
     return df.distinct()
 
 

@@ -2,6 +2,7 @@
 
 from plumbline.plans import (  # noqa: F401
     cleaning_queries,
+    entity_queries,
     history_queries,
     profile_queries,
     rule_queries,

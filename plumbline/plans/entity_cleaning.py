@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import parsing as parse
 from plumbline.functions.text import folded, mapped
 from plumbline.operators.cleaning import CleaningPlan, apply_plan, clean
-from plumbline.operators.keys import dedup_exact
+from plumbline.operators.keys import dedup_exact, require_consistent
 from plumbline.operators.ordering import with_neighbors
 from plumbline.sources.tables import written
 
@@ -76,7 +76,7 @@ def projects_plan() -> CleaningPlan:
             "std_project_type": F.coalesce(F.trim(kind), F.lit("unknown")),
             "std_baseline_completion_date": parse.parse_ymd(done),
             "std_original_contract_value": parse.normalize_money(value, 18, 2),
-            "std_original_budget": F.col("original_budget").cast("decimal(18,2)"),
+            "std_original_budget": F.col("original_budget").try_cast("decimal(18,2)"),
         },
         flags={
             "status_standardized": _changed(status, std_status),
@@ -94,14 +94,14 @@ def budgets_plan() -> CleaningPlan:
     """Categories, money, and a candidate for a missing original amount kept apart."""
     category, change = F.col("cost_category"), F.col("approved_budget_change").cast("string")
     std_category = mapped(folded(category), COST_CATEGORIES, F.trim(category))
-    original = F.col("original_budget_amount").cast("decimal(10,2)")
+    original = F.col("original_budget_amount").try_cast("decimal(10,2)")
     return CleaningPlan(
         key="budget_line_id",
         standard={
             "std_cost_category": std_category,
             "std_original_budget_amount": original,
             "std_approved_budget_change": parse.normalize_money(change, *MONEY),
-            "std_revised_budget_amount": F.col("revised_budget_amount").cast("decimal(10,2)"),
+            "std_revised_budget_amount": F.col("revised_budget_amount").try_cast("decimal(10,2)"),
         },
         derived={
             "inferred_original_budget_amount": F.when(
@@ -160,12 +160,12 @@ def labor_plan(fixes: Mapping[str, str] = LABOR_PROJECTS) -> CleaningPlan:
     """
     trade, date = F.col("trade"), F.col("work_date").cast("string")
     project, corrected = _corrected("time_entry_id", "project_id", fixes)
-    regular = F.col("regular_hours").cast("decimal(10,4)")
-    overtime = F.col("overtime_hours").cast("decimal(10,2)")
-    cost = F.col("labor_cost").cast("decimal(10,2)")
-    raw_rate = F.col("hourly_rate").cast("decimal(10,2)")
+    regular = F.col("regular_hours").try_cast("decimal(10,4)")
+    overtime = F.col("overtime_hours").try_cast("decimal(10,2)")
+    cost = F.col("labor_cost").try_cast("decimal(10,2)")
+    raw_rate = F.col("hourly_rate").try_cast("decimal(10,2)")
     paid = regular + overtime * F.lit(OVERTIME_FACTOR).cast("decimal(2,1)")
-    implied = F.round(F.try_divide(cost, paid), 2).cast("decimal(10,2)")
+    implied = F.round(F.try_divide(cost, paid), 2).try_cast("decimal(10,2)")
     usable = F.when(labor_cost(regular, overtime, implied) == cost, implied)
     difference = F.col("std_labor_cost") - labor_cost(
         F.col("std_regular_hours"), F.col("std_overtime_hours"), F.col("std_hourly_rate"))
@@ -242,7 +242,8 @@ def clean_labor(rows: DataFrame, fixes: Mapping[str, str] = LABOR_PROJECTS) -> D
 
 def clean_updates(rows: DataFrame) -> DataFrame:
     """As the other tables, after linking each update to the one before it in its project."""
-    unique = written(dedup_exact(rows, "update_id"), "unique-updates")
+    unique = written(dedup_exact(rows), "unique-updates")
+    require_consistent(unique, "update_id")
     report = parse.parse_date_fallback(F.col("report_date").cast("string"))
     actual = parse.normalize_percent(F.col("actual_pct_complete").cast("string"), 4, 1)
     dated = unique.withColumns({"_report": report, "_actual": actual})
