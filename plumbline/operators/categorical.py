@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import MAX_INLINE_ENTRIES, bracketed, folded, full_match, mapped
+from plumbline.operators.referential import unique_dimension
 
 
 def value_frequency(df: DataFrame, column: str, where: Column | None = None) -> DataFrame:
@@ -45,14 +46,16 @@ def standardize_map(
     """Add the standard form of a category beside the raw value.
 
     Unlisted values become NULL, or stay as trimmed text with ``keep_unmapped``. A mapping may
-    be a table with columns ``value`` (unique) and ``standard``; it is then joined, and Spark
-    broadcasts it only while its size is under the session's threshold.
+    be a table with columns ``value`` and ``standard``; it is then joined, and Spark broadcasts
+    it only while its size is under the session's threshold. Two standards for one value stop
+    the job.
     """
     value = folded(F.col(column)) if fold else F.col(column)
     default = F.trim(F.col(column)) if keep_unmapped else None
     if isinstance(mapping, DataFrame):
-        table = mapping.select(F.col("value").alias("_value"), F.col("standard").alias("_std"))
-        found = df.join(table, value.eqNullSafe(F.col("_value")), "left")
+        pairs = mapping.select(F.col("value").alias("_value"), F.col("standard").alias("_std"))
+        table = unique_dimension(pairs.filter(F.col("_value").isNotNull()), "_value")
+        found = df.join(table, value == F.col("_value"), "left")
         std = F.col("_std") if default is None else F.coalesce("_std", default)
         return found.withColumn(output, std).drop("_value", "_std")
     if len(mapping) > MAX_INLINE_ENTRIES:
@@ -76,11 +79,13 @@ def keyed_correction(
 ) -> DataFrame:
     """Override a value for listed keys; the raw column stays and ``<output>_corrected`` says so.
 
-    Large fix lists come as a table with columns ``key`` (unique) and ``value``.
+    Large fix lists come as a table with columns ``key`` and ``value``; two values for one key
+    stop the job.
     """
     flag = f"{output}_corrected"
     if isinstance(fixes, DataFrame):
-        table = fixes.select(F.col("key").alias("_key"), F.col("value").alias("_fix"))
+        pairs = fixes.select(F.col("key").alias("_key"), F.col("value").alias("_fix"))
+        table = unique_dimension(pairs.filter(F.col("_key").isNotNull()), "_key")
         joined = df.join(table, F.col(key) == F.col("_key"), "left")
         return joined.select(
             *[F.col(c) for c in df.columns],

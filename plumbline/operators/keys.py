@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.text import is_blank
 from plumbline.operators.shaping import as_list, null_safe_on
+from plumbline.sources.tables import written
 
 
 def row_count(df: DataFrame) -> DataFrame:
@@ -71,26 +72,30 @@ def duplicate_keys(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
 
 
 def duplicate_rows(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
-    """All rows behind repeated keys; a NULL key counts as a key."""
+    """All rows behind repeated keys; a NULL key counts as a key.
+
+    A first pass over the keys alone writes the repeated ones. Their size is then known, so with
+    few of them Spark broadcasts the list and the wide rows are filtered without a shuffle.
+    """
     keys = as_list(keys)
-    repeated = duplicate_keys(df, keys).select(*[F.col(k).alias(k) for k in keys])
+    repeated = written(duplicate_keys(df, keys).select(*keys), "repeated-keys")
     return df.join(repeated, null_safe_on(df, repeated, keys), "left_semi")
 
 
 def duplicate_classification(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     """Repeated keys with their rows, their distinct rows, and whether the rows agree.
 
-    Equal rows collapse first, on all columns, so neither a hot key nor a large group of copies
-    reaches one task.
+    Only rows behind repeated keys are compared. Equal rows collapse first, on all columns, so
+    neither a hot key nor a large group of copies reaches one task.
     """
     keys = as_list(keys)
-    variants = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies"))
+    variants = duplicate_rows(df, keys).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies"))
     per_key = variants.groupBy(*keys).agg(
         F.sum("copies").cast("bigint").alias("occurrences"),
         F.count(F.lit(1)).alias("distinct_rows"),
     )
     kind = F.when(F.col("distinct_rows") == 1, "exact").otherwise("conflicting")
-    return per_key.filter(F.col("occurrences") > 1).withColumn("duplicate_kind", kind)
+    return per_key.withColumn("duplicate_kind", kind)
 
 
 class ConflictingDuplicates(ValueError):

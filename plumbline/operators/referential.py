@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.text import MAX_INLINE_ENTRIES
-from plumbline.operators.shaping import all_of, any_of, as_list, null_safe_on
+from plumbline.operators.shaping import all_of, any_of, as_list
 
 
 def _child_groups(child: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -146,9 +146,3 @@ def enrich_report(facts: DataFrame, dim: DataFrame, keys: str | Sequence[str]) -
         total(F.col("_found")).alias("matched_rows"),
         total(F.col("_found").isNull()).alias("unmatched_rows"),
     )
-
-
-def rows_with_keys(df: DataFrame, keys_of: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows whose key occurs in another table, NULL keys included."""
-    listed = keys_of.select(*[F.col(k).alias(k) for k in keys]).distinct()
-    return df.join(listed, null_safe_on(df, listed, keys), "left_semi")

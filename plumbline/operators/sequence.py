@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.ordering import with_neighbors
 from plumbline.operators.shaping import as_list
+from plumbline.sources.tables import written
 
 
 def block_starts(
@@ -64,12 +65,16 @@ def affected_histories(
     at: Mapping[str, dt.date] | None = None,
     ranges: int | None = None,
 ) -> DataFrame:
-    """Full history of each entity with a fall, or with a fall on a given date (``at``)."""
+    """Full history of each entity with a fall, or with a fall on a given date (``at``).
+
+    The falls come from the narrow columns; the entities found are written, so that Spark knows
+    their size and broadcasts a short list instead of shuffling the wide rows.
+    """
     narrow = df.select(*dict.fromkeys([entity, *order, column, *(at or {})]))
     fell = monotonic_violations(narrow, entity, order, column, ranges)
     for date_column, day in (at or {}).items():
         fell = fell.filter(F.col(date_column) == F.lit(day))
-    entities = fell.groupBy(entity).agg(F.count(F.lit(1)).alias("falls")).select(entity)
+    entities = written(fell.select(entity).distinct(), "affected-entities")
     return df.join(entities, entity, "left_semi")
 
 

@@ -19,7 +19,7 @@ def shared(tmp_path_factory):
 @pytest.fixture(scope="session")
 def spark(shared):
     session = build_session(
-        "tests", master="local[4]", shuffle_partitions=8, extra={"spark.checkpoint.dir": shared}
+        "tests", master="local[8]", shuffle_partitions=4, extra={"spark.checkpoint.dir": shared}
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -1,6 +1,8 @@
 """Operators against small tables whose right answers are worked out by hand or in Python."""
 
+import contextlib
 import datetime as dt
+import io
 import random
 from collections import Counter
 from decimal import Decimal as D
@@ -291,6 +293,30 @@ def test_conflicting_dimension_stops_the_job(spark):
         referential.enrich_join(facts, half, "id").collect()
 
 
+def test_hot_key_join_is_split(spark):
+    """A key with a third of all facts is spread over several tasks of the shuffled join."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        facts = spark.range(0, 120_000, 1, 8).selectExpr(
+            "if(id % 3 = 0, 7, id % 5000) as k", "uuid() as payload")
+        dim = spark.range(5000).selectExpr("id as k", "id * 2 as v")
+        joined = referential.enrich_join(facts, dim, "k")
+        joined.collect()
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            joined.explain()
+        assert "skew=true" in text.getvalue()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def test_rollup_lists_keep_null_last(spark):
     day = dt.date(2024, 1, 1)
     df = spark.createDataFrame(
