@@ -143,7 +143,7 @@ def with_ranges(
     cut_further = F.coalesce(F.col(_HOT), F.lit(False))
     for i in usable:
         key, position, output = order[i], f"_pos{i}", f"_range{i}"
-        points = cuts[position] or []
+        points = [p for p in cuts[position] or [] if math.isfinite(p)]
         splits = sorted(set(points))
         repeated = sorted(p for p, n in Counter(points).items() if n > 1)
         heavy = []
@@ -187,12 +187,16 @@ def with_neighbors(
     """Add values of the row before (``previous``) and after (``following``), per ``by`` group.
 
     Both map a new column to its source column. ``order`` must identify a row within its group,
-    otherwise the neighbour is as arbitrary as in a plain window.
+    otherwise the neighbour is as arbitrary as in a plain window. The table is read about four
+    times, three of them for a few columns: put costly derived input into a written table first.
     """
     previous, following = dict(previous or {}), dict(following or {})
     if not previous and not following:
         raise ValueError("name at least one neighbour")
     order, by = list(order), list(by)
+    sources = sorted({*previous.values(), *following.values()})
+    if set(sources) & set(by):
+        raise ValueError("a grouping column is the same on every row of its group")
 
     def linked(rows: DataFrame, keys: list, first: Sequence[str] = ()) -> DataFrame:
         window = Window.partitionBy(*keys).orderBy(*first, *_nulls_last(order))
@@ -204,7 +208,6 @@ def with_neighbors(
     if not numbers:
         return linked(df, by or [F.lit(0)])
     keys = [*by, *numbers]
-    sources = sorted({*previous.values(), *following.values()})
     values, place = F.struct(*sources), _sort_key(order)
     # One row per non-empty (group, range): small, and at most MAX_RANGES rows for a group.
     along = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*numbers)

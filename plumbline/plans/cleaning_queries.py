@@ -13,6 +13,7 @@ from plumbline.operators.ordering import with_neighbors
 from plumbline.plans.profile_queries import KEY_PROFILE_SQL
 from plumbline.plans.registry import query
 from plumbline.plans.rule_queries import IMPLIED_SQL
+from plumbline.plans.tables import table
 from plumbline.plans.value_queries import (
     CLEAN_MONEY,
     CLEAN_PERCENT,
@@ -29,17 +30,26 @@ from plumbline.plans.views import (
     orders_view,
     updates_view,
 )
-from plumbline.sources.tables import read_table, shared_folder, write_cleaned
+from plumbline.sources.tables import shared_folder, write_cleaned
 
 
-def _flags_sql(flags: dict[str, str]) -> str:
+def flags_sql(flags: dict[str, str]) -> str:
     cases = ", ".join(f"CASE WHEN {test} THEN '{code}' END" for code, test in flags.items())
     return f"[x for x in [{cases}] if x IS NOT NULL]"
 
 
+def flags_as_text(cleaned: DataFrame) -> DataFrame:
+    """Flag list as one text value, the form in which results are compared."""
+    return cleaned.withColumn("flags", F.array_join("flags", ","))
+
+
+def text_sql(query_sql: str) -> str:
+    return f"SELECT * REPLACE (array_to_string(flags, ',') AS flags) FROM ({query_sql})"
+
+
 STD_STATUS_SQL = """CASE LOWER(TRIM(status_raw)) WHEN 'f' THEN 'F' WHEN 'o' THEN 'O'
   WHEN 'p' THEN 'P' END"""
-ORDER_FLAGS_SQL = _flags_sql({
+ORDER_FLAGS_SQL = flags_sql({
     "customer_corrected": "o_orderkey IN (307, 614)",
     "customer_missing": "std_custkey IS NULL",
     "status_standardized": "status_raw <> std_status",
@@ -79,18 +89,18 @@ def orders_plan() -> CleaningPlan:
     )
 
 
-@query(CLEAN_ORDERS_SQL, "O")
+@query(text_sql(CLEAN_ORDERS_SQL), "O")
 def cleaned_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(orders_view(spark, sf_dir), orders_plan())
+    return flags_as_text(clean(orders_view(spark, sf_dir), orders_plan()))
 
 
-@query(CLEAN_ORDERS_SQL, "O")
+@query(text_sql(CLEAN_ORDERS_SQL), "O")
 def cleaned_orders_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned table written to Parquet by status and read back."""
     cleaned = clean(orders_view(spark, sf_dir), orders_plan())
     path = shared_folder(spark, "cleaned-orders")
     written = write_cleaned(cleaned, path, [sf_dir], partition_by=["std_status"])
-    return written.select(*cleaned.columns)
+    return flags_as_text(written.select(*cleaned.columns))
 
 
 @query(f"""SELECT flag, COUNT(*) AS row_count FROM (SELECT UNNEST(flags) AS flag
@@ -132,7 +142,7 @@ def lines_plan() -> CleaningPlan:
     )
 
 
-LINE_FLAGS_SQL = _flags_sql({
+LINE_FLAGS_SQL = flags_sql({
     "discount_inferred": "disc IS NULL AND std_disc IS NOT NULL",
     "discount_missing": "std_disc IS NULL",
     "off_by_one_cent": "ABS(difference) = 0.01",
@@ -142,16 +152,16 @@ WITH_CANDIDATE = COMBINED_SQL.replace("disc", "candidate")
 WITH_STANDARD = COMBINED_SQL.replace("disc", "std_disc")
 
 
-@query(f"""SELECT *, {LINE_FLAGS_SQL} AS flags FROM (
+@query(text_sql(f"""SELECT *, {LINE_FLAGS_SQL} AS flags FROM (
   SELECT *, CAST(recorded - {WITH_STANDARD} AS DECIMAL(20,2)) AS difference FROM (
   SELECT * EXCLUDE (candidate), COALESCE(disc, CASE WHEN {WITH_CANDIDATE} = recorded
     THEN candidate END) AS std_disc
-  FROM (SELECT DISTINCT L.*, {IMPLIED_SQL} AS candidate FROM L)))""", "L")
+  FROM (SELECT DISTINCT L.*, {IMPLIED_SQL} AS candidate FROM L)))"""), "L")
 def cleaned_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean(lines_view(spark, sf_dir), lines_plan())
+    return flags_as_text(clean(lines_view(spark, sf_dir), lines_plan()))
 
 
-UPDATE_FLAGS_SQL = _flags_sql({
+UPDATE_FLAGS_SQL = flags_sql({
     "percent_sign": "strpos(pct_text, '%') > 0",
     "actual_above_100": "std_actual_pct > 100",
     "actual_decreased": "std_actual_pct < previous_actual_pct",
@@ -159,10 +169,10 @@ UPDATE_FLAGS_SQL = _flags_sql({
 })
 
 
-@query(f"""SELECT *, {UPDATE_FLAGS_SQL} AS flags FROM (SELECT *, LAG(std_actual_pct)
+@query(text_sql(f"""SELECT *, {UPDATE_FLAGS_SQL} AS flags FROM (SELECT *, LAG(std_actual_pct)
   OVER (PARTITION BY user_id ORDER BY report_date, event_id) AS previous_actual_pct
   FROM (SELECT event_id, user_id, report_date, planned_pct, pct_text,
-        {CLEAN_PERCENT} AS std_actual_pct FROM U))""", "U")
+        {CLEAN_PERCENT} AS std_actual_pct FROM U))"""), "U")
 def cleaned_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     text, actual = F.col("pct_text"), F.col("std_actual_pct")
     rows = updates_view(spark, sf_dir, written=True).select(
@@ -178,7 +188,8 @@ def cleaned_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "actual_decreased": actual < F.col("previous_actual_pct"),
         "behind_plan": actual < F.col("planned_pct"),
     }
-    return apply_plan(linked, CleaningPlan(key="event_id", standard={}, flags=flags))
+    plan = CleaningPlan(key="event_id", standard={}, flags=flags)
+    return flags_as_text(apply_plan(linked, plan))
 
 
 # The remaining checks: the same operators with other tables as arguments.
@@ -188,20 +199,20 @@ def cleaned_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k="text", t="documents", blank="COUNT(*) FILTER (WHERE TRIM(text) = '')"))
 def key_profile_document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as a candidate key: repeats show as surplus rows."""
-    return keys.key_profile(read_table(spark, sf_dir, "documents").select("text"), "text")
+    return keys.key_profile(table(spark, sf_dir, "documents").select("text"), "text")
 
 
 @query("""SELECT conv_id, turn, COUNT(*) AS occurrences FROM conversations
   GROUP BY conv_id, turn HAVING COUNT(*) > 1""")
 def duplicate_keys_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keys.duplicate_keys(read_table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+    return keys.duplicate_keys(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
 
 
 @query("""SELECT role AS value, COUNT(*) AS row_count,
   regexp_full_match(role, 'user|assistant') AS matches_format FROM conversations GROUP BY role""")
 def format_check_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return categorical.format_check(
-        read_table(spark, sf_dir, "conversations"), "role", "user|assistant")
+        table(spark, sf_dir, "conversations"), "role", "user|assistant")
 
 
 @query("""SELECT labels.doc_id, COUNT(*) AS row_count FROM labels
@@ -209,21 +220,21 @@ def format_check_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
   GROUP BY labels.doc_id""")
 def orphan_counts_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return referential.orphan_counts(
-        read_table(spark, sf_dir, "labels"), read_table(spark, sf_dir, "documents"), "doc_id")
+        table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents"), "doc_id")
 
 
 @query("""SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def orphan_keys_unlabelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return referential.orphan_keys(
-        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), "doc_id")
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("""SELECT COUNT(*) AS fact_rows, COUNT(p_partkey) AS matched_rows,
   COUNT(*) - COUNT(p_partkey) AS unmatched_rows
   FROM lineitem LEFT JOIN part ON l_partkey = p_partkey""")
 def enrich_report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = read_table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
-    return referential.enrich_report(read_table(spark, sf_dir, "lineitem"), parts, "l_partkey")
+    parts = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "l_partkey")
+    return referential.enrich_report(table(spark, sf_dir, "lineitem"), parts, "l_partkey")
 
 
 @query("""SELECT column_name, CAST(v AS DECIMAL(38,6)) AS max_abs,
@@ -232,4 +243,4 @@ def enrich_report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT 'l_quantity', MAX(ABS(l_quantity)) FROM lineitem)""")
 def precision_profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numeric.precision_profile(
-        read_table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity"])
+        table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity"])

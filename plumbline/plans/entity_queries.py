@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import dates, exposure, referential
 from plumbline.operators.cleaning import flag_counts
 from plumbline.plans import entity_cleaning, entity_views
-from plumbline.plans.cleaning_queries import _flags_sql
+from plumbline.plans.cleaning_queries import flags_as_text, flags_sql, text_sql
 from plumbline.plans.registry import query
 
 
@@ -30,7 +30,7 @@ STATUS_SQL = _map_sql("project_status", entity_cleaning.PROJECT_STATUSES)
 CATEGORY_SQL = _map_sql("cost_category", entity_cleaning.COST_CATEGORIES, "TRIM(cost_category)")
 TRADE_SQL = _map_sql("trade", entity_cleaning.TRADES, "TRIM(trade)")
 
-PROJECTS_SQL = f"""SELECT *, {_flags_sql({
+PROJECTS_SQL = f"""SELECT *, {flags_sql({
     "status_standardized": "project_status <> std_project_status",
     "status_unknown": "std_project_status IS NULL",
     "type_unknown": "project_type IS NULL",
@@ -44,7 +44,7 @@ PROJECTS_SQL = f"""SELECT *, {_flags_sql({
   {_money_sql("original_contract_value", "18,2")} AS std_original_contract_value,
   CAST(original_budget AS DECIMAL(18,2)) AS std_original_budget FROM P)"""
 
-BUDGETS_SQL = f"""SELECT *, {_flags_sql({
+BUDGETS_SQL = f"""SELECT *, {flags_sql({
     "category_standardized": "cost_category <> std_cost_category",
     "change_reformatted": "std_approved_budget_change IS NOT NULL AND "
         "TRY_CAST(approved_budget_change AS DECIMAL(10,2)) IS NULL",
@@ -58,7 +58,7 @@ BUDGETS_SQL = f"""SELECT *, {_flags_sql({
   {_money_sql("approved_budget_change", "10,2")} AS std_approved_budget_change,
   CAST(revised_budget_amount AS DECIMAL(10,2)) AS std_revised_budget_amount FROM B))"""
 
-TRANSACTIONS_SQL = f"""SELECT *, {_flags_sql({
+TRANSACTIONS_SQL = f"""SELECT *, {flags_sql({
     "project_corrected": "transaction_id IN ('TX000316', 'TX000729')",
     "project_missing": "std_project_id IS NULL",
     "category_standardized": "cost_category <> std_cost_category",
@@ -77,7 +77,7 @@ RATE_SQL = """CAST(round(CAST(labor_cost AS DOUBLE) / CAST(nullif(regular_hours
 PAY_SQL = """CAST(round(regular_hours * {rate}
   + overtime_hours * {rate} * CAST(1.5 AS DECIMAL(2,1)), 2) AS DECIMAL(18,2))"""
 
-LABOR_SQL = f"""SELECT *, {_flags_sql({
+LABOR_SQL = f"""SELECT *, {flags_sql({
     "project_corrected": "time_entry_id = 'TE000408'",
     "trade_standardized": "trade <> std_trade",
     "trade_unresolved":
@@ -98,7 +98,7 @@ LABOR_SQL = f"""SELECT *, {_flags_sql({
     regular_hours AS std_regular_hours, overtime_hours AS std_overtime_hours,
     labor_cost AS std_labor_cost, {RATE_SQL} AS implied FROM H)))"""
 
-UPDATES_SQL = f"""SELECT *, {_flags_sql({
+UPDATES_SQL = f"""SELECT *, {flags_sql({
     "date_fallback": "TRY_CAST(report_date AS DATE) IS NULL AND std_report_date IS NOT NULL",
     "date_unparsed": "report_date IS NOT NULL AND std_report_date IS NULL",
     "forecast_missing": "std_forecast_completion_date IS NULL",
@@ -115,29 +115,34 @@ UPDATES_SQL = f"""SELECT *, {_flags_sql({
   FROM A))"""
 
 
-@query(PROJECTS_SQL, "OP")
+@query(text_sql(PROJECTS_SQL), "OP")
 def cleaned_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity_cleaning.clean_projects(entity_views.projects(spark, sf_dir))
+    return flags_as_text(
+        entity_cleaning.clean_projects(entity_views.projects(spark, sf_dir)))
 
 
-@query(BUDGETS_SQL, "OB")
+@query(text_sql(BUDGETS_SQL), "OB")
 def cleaned_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity_cleaning.clean_budgets(entity_views.budgets(spark, sf_dir))
+    return flags_as_text(
+        entity_cleaning.clean_budgets(entity_views.budgets(spark, sf_dir)))
 
 
-@query(TRANSACTIONS_SQL, "OT")
+@query(text_sql(TRANSACTIONS_SQL), "OT")
 def cleaned_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity_cleaning.clean_transactions(entity_views.transactions(spark, sf_dir))
+    return flags_as_text(
+        entity_cleaning.clean_transactions(entity_views.transactions(spark, sf_dir)))
 
 
-@query(LABOR_SQL, "H")
+@query(text_sql(LABOR_SQL), "H")
 def cleaned_labor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity_cleaning.clean_labor(entity_views.labor(spark, sf_dir))
+    return flags_as_text(
+        entity_cleaning.clean_labor(entity_views.labor(spark, sf_dir)))
 
 
-@query(UPDATES_SQL, "UA")
+@query(text_sql(UPDATES_SQL), "UA")
 def cleaned_project_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entity_cleaning.clean_updates(entity_views.updates(spark, sf_dir))
+    return flags_as_text(
+        entity_cleaning.clean_updates(entity_views.updates(spark, sf_dir)))
 
 
 @query(f"""SELECT UNNEST(flags) AS flag, COUNT(*) AS row_count FROM ({LABOR_SQL}) GROUP BY 1""", "H")

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from plumbline.functions.text import folded, mapped
 from plumbline.plans import views
 from plumbline.plans.entity_cleaning import labor_cost
+from plumbline.plans.tables import table
 from plumbline.plans.views import orders_view, updates_view
-from plumbline.sources.tables import read_table
 
 # Raw labels planted in the views.
 CATEGORY_LABELS = [
@@ -141,7 +141,7 @@ def labor(spark: SparkSession, sf_dir: str) -> DataFrame:
     rate = (key % 41 + 27).cast("decimal(10,2)")
     deviation = F.when(key % 997 == 0, 125.00).when(key % 53 == 0, -0.01).otherwise(0.00)
     paid = labor_cost(hours, overtime, rate).cast("decimal(10,2)")
-    return read_table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         F.format_string("TE%06d", key).alias("time_entry_id"),
         _numbered("P", key % 97).alias("project_id"),
         _numbered("E", F.col("user_id")).alias("employee_id"),

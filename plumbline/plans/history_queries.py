@@ -11,9 +11,9 @@ from plumbline.functions.parsing import normalize_money, normalize_percent
 from plumbline.functions.text import folded, mapped
 from plumbline.operators import exposure, referential, sequence
 from plumbline.plans.registry import query
+from plumbline.plans.tables import table
 from plumbline.plans.value_queries import CLEAN_MONEY, STATUSES
 from plumbline.plans.views import orders_view, updates_view
-from plumbline.sources.tables import read_table
 
 # Fixed value: the report date whose falls are looked at on their own.
 AT_DATE = dt.date(2024, 1, 15)
@@ -25,7 +25,7 @@ ALL_EVENTS = ["event_id", "user_id", "event_type", "ts"]
   LAG(event_type) OVER (ORDER BY event_id) AS previous_value FROM events
   WHERE event_type IS NOT NULL) WHERE event_type IS DISTINCT FROM previous_value""")
 def block_starts_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read_table(spark, sf_dir, "events").select("event_id", "event_type")
+    events = table(spark, sf_dir, "events").select("event_id", "event_type")
     return sequence.block_starts(events, ["event_id"], "event_type")
 
 
@@ -34,7 +34,7 @@ def block_starts_events(spark: SparkSession, sf_dir: str) -> DataFrame:
   LEAD(event_type) OVER (ORDER BY event_id) AS next_value FROM events)
   WHERE event_type = 'error'""")
 def neighbor_context_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read_table(spark, sf_dir, "events").select(*ALL_EVENTS)
+    events = table(spark, sf_dir, "events").select(*ALL_EVENTS)
     return sequence.neighbor_context(
         events, ["event_id"], "event_type", F.col("event_type") == "error")
 
@@ -43,13 +43,13 @@ def neighbor_context_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
   LAG(user_id) OVER (ORDER BY ts, event_id) AS previous_value,
   LEAD(user_id) OVER (ORDER BY ts, event_id) AS next_value FROM events)""")
 def neighbor_context_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read_table(spark, sf_dir, "events").select(*ALL_EVENTS)
+    events = table(spark, sf_dir, "events").select(*ALL_EVENTS)
     return sequence.neighbor_context(events, ["ts", "event_id"], "user_id")
 
 
 @query("SELECT * FROM orders WHERE o_orderkey BETWEEN 5000 AND 6000")
 def key_window_rows_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.key_window_rows(read_table(spark, sf_dir, "orders"), "o_orderkey", 5000, 6000)
+    return sequence.key_window_rows(table(spark, sf_dir, "orders"), "o_orderkey", 5000, 6000)
 
 
 FALLS_SQL = """SELECT event_id, user_id, ts, {c}, previous_value,
@@ -113,7 +113,7 @@ def variance_profile_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHERE o_custkey IS NOT NULL AND c_custkey IS NULL""", "O")
 def orphan_keys_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return referential.orphan_keys(
-        orders_view(spark, sf_dir), read_table(spark, sf_dir, "customer"),
+        orders_view(spark, sf_dir), table(spark, sf_dir, "customer"),
         "o_custkey", "c_custkey")
 
 
@@ -123,7 +123,7 @@ def orphan_keys_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHERE k IS NULL AND o_custkey IS NOT NULL AND status_raw IS NOT NULL""", "O")
 def orphan_keys_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return referential.orphan_keys(
-        orders_view(spark, sf_dir), read_table(spark, sf_dir, "orders"),
+        orders_view(spark, sf_dir), table(spark, sf_dir, "orders"),
         ["o_custkey", "status_raw"], ["o_custkey", "o_orderstatus"])
 
 
@@ -131,7 +131,7 @@ def orphan_keys_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
   LEFT JOIN customer ON o_custkey = c_custkey WHERE c_custkey IS NULL GROUP BY o_custkey""", "O")
 def orphan_counts_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return referential.orphan_counts(
-        orders_view(spark, sf_dir), read_table(spark, sf_dir, "customer"),
+        orders_view(spark, sf_dir), table(spark, sf_dir, "customer"),
         "o_custkey", "c_custkey")
 
 
@@ -147,7 +147,7 @@ def standardized_orphans_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     custkey = F.when(raw_key >= 1_000_000_000, raw_key - 1_000_000_000).otherwise(raw_key)
     status = mapped(folded(raw_status), STATUSES, F.trim(raw_status))
     return referential.standardized_orphans(
-        orders_view(spark, sf_dir), read_table(spark, sf_dir, "orders"),
+        orders_view(spark, sf_dir), table(spark, sf_dir, "orders"),
         {"custkey": (custkey, F.col("o_custkey")), "status": (status, F.col("o_orderstatus"))})
 
 
@@ -157,23 +157,23 @@ def standardized_orphans_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def key_presence_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {"orders": "o_custkey", "customer": "c_custkey", "events": "user_id"}
     return referential.key_presence(
-        {t: (read_table(spark, sf_dir, t), c) for t, c in tables.items()}, 42)
+        {t: (table(spark, sf_dir, t), c) for t, c in tables.items()}, 42)
 
 
 @query("""SELECT o_orderkey, o_custkey, o_orderstatus FROM orders
   WHERE o_custkey IN (1, 42, 99)""")
 def lookup_rows_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return referential.lookup_rows(
-        read_table(spark, sf_dir, "orders"), "o_custkey", [1, 42, 99],
+        table(spark, sf_dir, "orders"), "o_custkey", [1, 42, 99],
         ["o_orderkey", "o_custkey", "o_orderstatus"])
 
 
 @query("""SELECT o_orderkey, o_custkey FROM orders
   WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)""")
 def lookup_rows_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    overdrawn = read_table(spark, sf_dir, "customer").filter(F.col("c_acctbal") < 0)
+    overdrawn = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") < 0)
     return referential.lookup_rows(
-        read_table(spark, sf_dir, "orders"), "o_custkey", overdrawn.select("c_custkey"),
+        table(spark, sf_dir, "orders"), "o_custkey", overdrawn.select("c_custkey"),
         ["o_orderkey", "o_custkey"])
 
 
@@ -187,7 +187,7 @@ def enrich_join_late_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     flagged = updates_view(spark, sf_dir).filter(F.col("actual_pct") < F.col("planned_pct")).select(
         "event_id", "user_id", "report_date",
         normalize_percent(F.col("pct_text"), 5, 1).alias("std_actual_pct"))
-    dim = read_table(spark, sf_dir, "customer").select(
+    dim = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"),
         F.col("c_acctbal").cast("decimal(18,2)").alias("balance"))
     return referential.enrich_join(flagged, dim, "user_id")
@@ -197,7 +197,7 @@ def enrich_join_late_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
   COUNT(*) - COUNT(c_custkey) AS unmatched_rows
   FROM O LEFT JOIN customer ON o_custkey = c_custkey""", "O")
 def enrich_report_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim = read_table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey")
+    dim = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "o_custkey")
     return referential.enrich_report(orders_view(spark, sf_dir), dim, "o_custkey")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import completeness, keys, structure
 from plumbline.plans.registry import query
+from plumbline.plans.tables import table
 from plumbline.plans.views import orders_view, updates_view
 from plumbline.sources.tables import csv_ingest, read_table, shared_folder
 
@@ -50,7 +51,7 @@ CSV_SCHEMA = (
 def _orders_csv(spark: SparkSession, sf_dir: str) -> str:
     """The orders table as a CSV export in shared storage."""
     path = shared_folder(spark, "orders-csv")
-    rows = read_table(spark, sf_dir, "orders").withColumns({
+    rows = table(spark, sf_dir, "orders").withColumns({
         "o_totalprice": F.col("o_totalprice").cast("decimal(18,2)"),
         "o_orderdate": F.col("o_orderdate").cast("date"),
     })
@@ -94,7 +95,7 @@ def schema_profile_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")
 def preview_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.preview(read_table(spark, sf_dir, "orders"), 10, "o_orderkey")
+    return structure.preview(table(spark, sf_dir, "orders"), 10, "o_orderkey")
 
 
 @query("""SELECT 'VARCHAR' AS inferred_type, COUNT(*) AS total_rows, COUNT(price_text) AS populated,
@@ -106,7 +107,7 @@ def type_parse_counts_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT COUNT(*) AS row_count FROM lineitem")
 def row_count_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keys.row_count(read_table(spark, sf_dir, "lineitem"))
+    return keys.row_count(table(spark, sf_dir, "lineitem"))
 
 
 KEY_PROFILE_SQL = """SELECT COUNT(*) AS row_count, COUNT({k}) AS non_null_keys,
@@ -145,7 +146,7 @@ ORDER_KEYS = [["o_orderkey"], ["o_custkey"], ["o_custkey", "date_text"]]
 
 @query(_keyset_sql("lineitem", LINE_KEYS))
 def composite_key_profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keys.composite_key_profile(read_table(spark, sf_dir, "lineitem"), LINE_KEYS)
+    return keys.composite_key_profile(table(spark, sf_dir, "lineitem"), LINE_KEYS)
 
 
 @query(_keyset_sql("O", ORDER_KEYS), "O")
@@ -157,7 +158,7 @@ def composite_key_profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
   GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1""")
 def duplicate_keys_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.duplicate_keys(
-        read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+        table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 @query("""SELECT o_orderkey, COUNT(*) AS occurrences FROM O
@@ -176,7 +177,7 @@ def duplicate_rows_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
   (SELECT (l_orderkey, l_linenumber) FROM lineitem GROUP BY ALL HAVING COUNT(*) > 1)""")
 def duplicate_rows_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.duplicate_rows(
-        read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+        table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 CLASSIFY_SQL = """SELECT {keys}, CAST(SUM(n) AS BIGINT) AS occurrences, COUNT(*) AS distinct_rows,
@@ -192,7 +193,7 @@ def duplicate_classification_orders(spark: SparkSession, sf_dir: str) -> DataFra
 @query(CLASSIFY_SQL.format(keys="l_orderkey, l_linenumber", table="lineitem"))
 def duplicate_classification_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.duplicate_classification(
-        read_table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+        table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
 @query("SELECT DISTINCT * FROM O", "O")
@@ -203,13 +204,13 @@ def dedup_exact_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT text, lang, source FROM documents")
 def dedup_exact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.dedup_exact(
-        read_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+        table(spark, sf_dir, "documents").select("text", "lang", "source"))
 
 
 @query("""SELECT user_id, CAST(ts AS DATE) AS report_date, COUNT(DISTINCT event_id) AS distinct_ids,
   COUNT(*) AS row_count FROM events GROUP BY 1, 2 HAVING COUNT(DISTINCT event_id) > 1""")
 def business_grain_check_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read_table(spark, sf_dir, "events").select(
+    events = table(spark, sf_dir, "events").select(
         "event_id", "user_id", F.col("ts").cast("date").alias("report_date"))
     return keys.business_grain_check(events, ["user_id", "report_date"], "event_id")
 
@@ -221,7 +222,7 @@ def null_profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_per_column(LINEITEM_COLUMNS, "COUNT(*) - COUNT({c}) AS null_count", "lineitem"))
 def null_profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return completeness.null_profile(read_table(spark, sf_dir, "lineitem"))
+    return completeness.null_profile(table(spark, sf_dir, "lineitem"))
 
 
 @query(_per_column(O_TEXT, "COUNT(*) FILTER (WHERE TRIM({c}) = '') AS blank_count", "O"), "O")
@@ -237,7 +238,7 @@ def whitespace_profile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_per_column(CUSTOMER_TEXT, "COUNT(*) FILTER (WHERE {c} <> TRIM({c})) AS padded_count",
                    "customer"))
 def whitespace_profile_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return completeness.whitespace_profile(read_table(spark, sf_dir, "customer"))
+    return completeness.whitespace_profile(table(spark, sf_dir, "customer"))
 
 
 @query(_per_column(["pct_text"], "COUNT(*) FILTER (WHERE {c} <> TRIM({c})) AS padded_count", "U"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.parsing import parse_date_fallback, parse_ymd
 from plumbline.operators import dates, rules
 from plumbline.plans.registry import query
+from plumbline.plans.tables import table
 from plumbline.plans.views import (
     COMBINED_SQL,
     COMPONENT_SQL,
@@ -20,7 +21,6 @@ from plumbline.plans.views import (
     orders_view,
     shipments_view,
 )
-from plumbline.sources.tables import read_table
 
 # Fixed value: the reporting cutoff applied to the order and shipping dates.
 CUTOFF = dt.date(2001, 6, 30)
@@ -157,7 +157,7 @@ def candidate_search_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
   COUNT(*) AS row_count FROM (SELECT *, CAST(ts AS DATE) AS report_date FROM events)
   GROUP BY 1, 2""")
 def attribute_history_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "events").select(
+    rows = table(spark, sf_dir, "events").select(
         "user_id", "event_type", F.col("ts").cast("date").alias("report_date"))
     return rules.attribute_history(rows, "user_id", "event_type", "report_date")
 
@@ -174,7 +174,7 @@ def _date_range_sql(table: str, columns: dict[str, str]) -> str:
 @query(_date_range_sql("orders", {"o_orderdate": "CAST(o_orderdate AS DATE)"}) + "\nUNION ALL "
        + _date_range_sql("lineitem", {"l_shipdate": "CAST(l_shipdate AS DATE)"}))
 def date_range_profile_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, lines = (read_table(spark, sf_dir, t) for t in ("orders", "lineitem"))
+    orders, lines = (table(spark, sf_dir, t) for t in ("orders", "lineitem"))
     return dates.date_range_profile(
         orders, {"o_orderdate": F.col("o_orderdate").cast("date")}, CUTOFF
     ).unionAll(dates.date_range_profile(
@@ -215,10 +215,10 @@ def date_gap_rows_shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _timeline(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Line items as dated facts, orders as the plan: due on the order date plus 365 days."""
-    facts = read_table(spark, sf_dir, "lineitem").select(
+    facts = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("date").alias("ship_date"))
     start = F.col("o_orderdate").cast("date")
-    dim = read_table(spark, sf_dir, "orders").select(
+    dim = table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_orderpriority", start.alias("start_date"),
         F.date_add(start, 365).alias("due_date"))
     return facts, dim
@@ -268,7 +268,7 @@ def overrun_by_group_top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
   GROUP BY 1, 2""")
 def weekday_distribution_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dates.weekday_distribution(
-        read_table(spark, sf_dir, "events"), "user_id", F.col("ts").cast("date"))
+        table(spark, sf_dir, "events"), "user_id", F.col("ts").cast("date"))
 
 
 ROLLUP_TYPES = "CASE WHEN event_type = 'error' THEN NULL ELSE upper(event_type) END"
@@ -276,26 +276,31 @@ ROLLUP_TYPES = "CASE WHEN event_type = 'error' THEN NULL ELSE upper(event_type)
 
 @query(f"""SELECT user_id, report_date, COUNT(*) AS row_count,
   COUNT(DISTINCT event_type) AS distinct_ids,
-  LIST(DISTINCT event_type ORDER BY event_type) AS raw_types,
-  LIST(DISTINCT std_type ORDER BY std_type NULLS LAST) AS std_types,
+  array_to_string(LIST(DISTINCT event_type ORDER BY event_type), ',') AS raw_types,
+  array_to_string([COALESCE(x, 'NULL') FOR x IN
+    LIST(DISTINCT std_type ORDER BY std_type NULLS LAST)], ',') AS std_types,
   CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total_value
   FROM (SELECT *, CAST(ts AS DATE) AS report_date, {ROLLUP_TYPES} AS std_type FROM events)
   GROUP BY 1, 2 HAVING COUNT(*) > 1""")
 def entity_date_rollup_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
-    rows = read_table(spark, sf_dir, "events").select(
+    rows = table(spark, sf_dir, "events").select(
         "user_id", F.col("ts").cast("date").alias("report_date"), "event_type",
         F.when(kind == "error", None).otherwise(F.upper(kind)).alias("std_type"), "value")
     rollup = dates.entity_date_rollup(
         rows, "user_id", "report_date", "event_type",
         {"raw_types": "event_type", "std_types": "std_type"},
         {"total_value": F.col("value").cast("decimal(18,2)")})
-    return rollup.withColumn("total_value", F.col("total_value").cast("decimal(38,2)"))
+    return rollup.withColumns({
+        "total_value": F.col("total_value").cast("decimal(38,2)"),
+        "raw_types": F.array_join("raw_types", ","),
+        "std_types": F.array_join("std_types", ",", "NULL"),
+    })
 
 
 @query("""SELECT user_id, CAST(ts AS DATE) AS report_date, event_type, COUNT(*) AS row_count
   FROM events GROUP BY 1, 2, 3""")
 def entity_date_values_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "events").select(
+    rows = table(spark, sf_dir, "events").select(
         "user_id", F.col("ts").cast("date").alias("report_date"), "event_type")
     return dates.entity_date_values(rows, "user_id", "report_date", "event_type")

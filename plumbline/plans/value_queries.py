@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from plumbline.functions import parsing as parse
 from plumbline.operators import categorical, numeric, parsing
 from plumbline.plans.registry import query
+from plumbline.plans.tables import table
 from plumbline.plans.views import lines_view, orders_view, updates_view
-from plumbline.sources.tables import read_table
 
 # Standard order statuses and the day after which dates count as late.
 STATUSES = {"f": "F", "o": "O", "p": "P"}
@@ -32,13 +32,13 @@ def value_frequency_status(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM events WHERE value > 10 GROUP BY event_type""")
 def value_frequency_large_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return categorical.value_frequency(
-        read_table(spark, sf_dir, "events"), "event_type", F.col("value") > 10)
+        table(spark, sf_dir, "events"), "event_type", F.col("value") > 10)
 
 
 @query("""SELECT source AS value, '[' || source || ']' AS display, COUNT(*) AS row_count
   FROM documents GROUP BY source""")
 def value_frequency_document_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return categorical.value_frequency(read_table(spark, sf_dir, "documents"), "source")
+    return categorical.value_frequency(table(spark, sf_dir, "documents"), "source")
 
 
 @query("""SELECT * FROM O WHERE (LOWER(TRIM(status_raw)) IN ('f', 'o', 'p')
@@ -60,7 +60,7 @@ def standardize_map_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT p_partkey, p_type, lower(split_part(p_type, ' ', 1)) AS std_type FROM part""")
 def standardize_map_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mapping table derived from the data instead of a literal list."""
-    part = read_table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part")
     table = part.select(F.lower(F.trim("p_type")).alias("value")).distinct().withColumn(
         "standard", F.split_part("value", F.lit(" "), F.lit(1)))
     mapped = categorical.standardize_map(part, "p_type", table, "std_type")
@@ -83,7 +83,7 @@ def keyed_correction_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM O b LEFT JOIN orders o ON b.o_orderkey = o.o_orderkey""", "O")
 def keyed_correction_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corrections as a table: the order master overrides the defective export."""
-    fixes = read_table(spark, sf_dir, "orders").select(
+    fixes = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("value"))
     return categorical.keyed_correction(
         orders_view(spark, sf_dir), "o_orderkey", "o_custkey", fixes, "std_custkey")
@@ -179,12 +179,12 @@ MIDNIGHT_SQL = """SELECT COUNT(*) AS total_rows, COUNT({c}) AS populated,
 
 @query(MIDNIGHT_SQL.format(c="o_orderdate", t="orders"))
 def midnight_check_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.midnight_check(read_table(spark, sf_dir, "orders"), "o_orderdate")
+    return parsing.midnight_check(table(spark, sf_dir, "orders"), "o_orderdate")
 
 
 @query(MIDNIGHT_SQL.format(c="ts", t="events"))
 def midnight_check_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsing.midnight_check(read_table(spark, sf_dir, "events"), "ts")
+    return parsing.midnight_check(table(spark, sf_dir, "events"), "ts")
 
 
 def _range_sql(table: str, columns: list[str], low: str, high: str) -> str:
@@ -203,7 +203,7 @@ def _range_sql(table: str, columns: list[str], low: str, high: str) -> str:
 
 @query(_range_sql("customer", ["c_acctbal"], "0", "9000"))
 def range_profile_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numeric.range_profile(read_table(spark, sf_dir, "customer"), ["c_acctbal"], 0, 9000)
+    return numeric.range_profile(table(spark, sf_dir, "customer"), ["c_acctbal"], 0, 9000)
 
 
 @query(_range_sql("U", ["planned_pct", "actual_pct"], "0", "100"), "U")
@@ -227,7 +227,7 @@ FRACTION_COLUMNS = ["l_quantity", "l_discount", "l_extendedprice"]
 
 @query(_fraction_sql("lineitem", FRACTION_COLUMNS))
 def fractional_profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numeric.fractional_profile(read_table(spark, sf_dir, "lineitem"), FRACTION_COLUMNS)
+    return numeric.fractional_profile(table(spark, sf_dir, "lineitem"), FRACTION_COLUMNS)
 
 
 def _scale_sql(table: str, column: str) -> str:
@@ -241,7 +241,7 @@ def _scale_sql(table: str, column: str) -> str:
 
 @query(_scale_sql("(SELECT CAST(l_discount AS DECIMAL(18,6)) AS d FROM lineitem)", "d"))
 def scale_loss_profile_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "lineitem").select(
+    rows = table(spark, sf_dir, "lineitem").select(
         F.col("l_discount").cast("decimal(18,6)").alias("d"))
     return numeric.scale_loss_profile(rows, "d")
 
@@ -260,7 +260,7 @@ def precision_profile_money(spark: SparkSession, sf_dir: str) -> DataFrame:
     price = {"price": parse.normalize_money(F.col("price_text"), 18, 2)}
     balance = {"balance": F.col("c_acctbal").cast("decimal(18,2)")}
     return numeric.precision_profile(orders_view(spark, sf_dir), price).unionAll(
-        numeric.precision_profile(read_table(spark, sf_dir, "customer"), balance))
+        numeric.precision_profile(table(spark, sf_dir, "customer"), balance))
 
 
 @query("""WITH b AS (SELECT MIN(l_extendedprice) AS lo, MAX(l_extendedprice) AS hi,
@@ -271,7 +271,7 @@ def precision_profile_money(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT l.*, 'maximum l_quantity' FROM lineitem l, b WHERE l_quantity = qhi""")
 def extreme_rows_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numeric.extreme_rows(
-        read_table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity"])
+        table(spark, sf_dir, "lineitem"), ["l_extendedprice", "l_quantity"])
 
 
 @query("""WITH v AS (SELECT event_id, user_id, report_date, actual_pct - planned_pct AS variance
@@ -288,7 +288,7 @@ def extreme_rows_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT c_custkey, c_name, c_acctbal, CAST(c_acctbal AS DECIMAL(18,2)) AS balance
   FROM customer WHERE CAST(c_acctbal AS DECIMAL(18,2)) < 0""")
 def out_of_range_rows_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal")
     return numeric.out_of_range_rows(
         rows, F.col("c_acctbal").cast("decimal(18,2)"), "balance", low=Decimal(0))
 
@@ -307,7 +307,7 @@ def out_of_range_rows_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
   COUNT(*) FILTER (WHERE l_quantity > 40 AND l_tax > 0) AS taxed FROM lineitem)""")
 def threshold_crosstab_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numeric.threshold_crosstab(
-        read_table(spark, sf_dir, "lineitem"), F.col("l_quantity") > 40,
+        table(spark, sf_dir, "lineitem"), F.col("l_quantity") > 40,
         {"no_tax": F.col("l_tax") == 0, "taxed": F.col("l_tax") > 0})
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators.ordering import with_row_numbers
-from plumbline.sources.tables import read_table
+from plumbline.plans.tables import table
 from plumbline.sources.tables import written as written_table
 
 SQL = {
@@ -67,7 +67,7 @@ def orders_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     customer = F.col("o_custkey")
     day = F.col("o_orderdate")
     status = F.col("o_orderstatus")
-    rows = read_table(spark, sf_dir, "orders").select(
+    rows = table(spark, sf_dir, "orders").select(
         "o_orderkey",
         F.when(key % 499 == 0, None)
         .when(key % 307 == 0, customer + 1_000_000_000)
@@ -111,7 +111,7 @@ def lines_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     deviation = (
         F.when(F.col("l_suppkey") % 97 == 0, 125.00).when(part % 53 == 0, -0.01).otherwise(0.00)
     )
-    return read_table(spark, sf_dir, "lineitem").select(
+    return table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         price.alias("price"),
         F.when(part % 401 == 0, None).otherwise(discount).alias("disc"),
@@ -122,7 +122,7 @@ def lines_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def updates_view(spark: SparkSession, sf_dir: str, written: bool = False) -> DataFrame:
     """``written=True`` puts the view into shared storage for operators that read it repeatedly."""
-    events = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     ranked = with_row_numbers(events, ["ts", "event_id"], "rn", by=["user_id"])
     ten = F.lit(10).cast("decimal(3,0)")
     planned = F.least(F.col("rn") * 15, F.lit(1000)).cast("decimal(10,1)") / ten
@@ -141,8 +141,8 @@ def updates_view(spark: SparkSession, sf_dir: str, written: bool = False) -> Dat
 
 def shipments_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two large tables joined on the order key; a hot order is split by the skew join."""
-    lines = read_table(spark, sf_dir, "lineitem")
-    orders = read_table(spark, sf_dir, "orders")
+    lines = table(spark, sf_dir, "lineitem")
+    orders = table(spark, sf_dir, "orders")
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "o_orderpriority",
         F.col("l_shipdate").cast("date").alias("ship_date"),

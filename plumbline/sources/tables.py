@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def read_table(
+    spark: SparkSession, folder: str, name: str, schema: StructType | str | None = None
+) -> DataFrame:
+    """Parquet table of a folder. A given schema saves the job that reads file footers."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def csv_ingest(

@@ -295,7 +295,8 @@ def test_conflicting_dimension_stops_the_job(spark):
 
 def test_hot_key_join_is_split(spark):
     """A key with a third of all facts is spread over several tasks of the shuffled join."""
-    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+    settings = {"spark.sql.shuffle.partitions": "32",
+                "spark.sql.autoBroadcastJoinThreshold": "-1",
                 "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
                 "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
                 "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB"}
