@@ -24,8 +24,10 @@ from plumbline.operators.shaping import all_of
 
 ROWS_PER_RANGE = 4_000_000
 MAX_RANGES = 50_000
-# Several ranges per shuffle partition even out what hashing their numbers puts together.
+# Several ranges per shuffle partition even out what hashing their numbers puts together, but a
+# range of a small table is not worth less than this many rows.
 RANGES_PER_TASK = 4
+MIN_ROWS_PER_RANGE = 1_000
 SAMPLED_ROWS_PER_RANGE = 200
 _EDGE = "_edge"
 _HOT = "_hot"
@@ -114,9 +116,9 @@ def with_ranges(
         *[F.count(k).alias(f"n{i}") for i, k in enumerate(order)],
     ).first()
     if ranges is None:
-        by_size = math.ceil(bounds["n"] / ROWS_PER_RANGE)
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = min(MAX_RANGES, max(by_size, RANGES_PER_TASK * tasks))
+        by_tasks = min(RANGES_PER_TASK * tasks, math.ceil(bounds["n"] / MIN_ROWS_PER_RANGE))
+        ranges = min(MAX_RANGES, max(math.ceil(bounds["n"] / ROWS_PER_RANGE), by_tasks))
     usable = [i for i in range(len(order)) if bounds[f"n{i}"] > 0]
     if not usable and bounds["n"] > ROWS_PER_RANGE:
         raise ValueError(f"nothing to order by: {', '.join(order)} are all NULL")

@@ -24,11 +24,14 @@ def orphan_counts(
     parent_keys: str | Sequence[str] | None = None,
     include_null: bool = True,
 ) -> DataFrame:
-    """Child keys with no parent and the rows they hold. A key with a NULL part has no parent."""
+    """Child keys with no parent and the rows they hold. A key with a NULL part has no parent.
+
+    Both sides are one row per key before they meet, on the exchange the join uses anyway.
+    """
     keys = as_list(keys)
     parents = parent.select(
         *[F.col(p).alias(k) for p, k in zip(as_list(parent_keys or keys), keys, strict=True)]
-    )
+    ).distinct()
     groups = _child_groups(child, keys)
     if not include_null:
         groups = groups.filter(all_of(F.col(k).isNotNull() for k in keys))
@@ -83,7 +86,7 @@ def lookup_rows(
             return found.select(*select) if select else found
         kind = df.schema[column].dataType.simpleString()
         values = df.sparkSession.createDataFrame([(v,) for v in listed], f"{column} {kind}")
-    keys = values.select(F.col(values.columns[0]).alias(column))
+    keys = values.select(F.col(values.columns[0]).alias(column)).distinct()
     found = df.join(keys, column, "left_semi")
     return found.select(*select) if select else found
 
