@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import MAX_INLINE_ENTRIES, bracketed, folded, full_match, mapped
 from plumbline.operators.referential import unique_dimension
+from plumbline.sources.tables import written
 
 
 def value_frequency(df: DataFrame, column: str, where: Column | None = None) -> DataFrame:
@@ -54,7 +55,8 @@ def standardize_map(
     default = F.trim(F.col(column)) if keep_unmapped else None
     if isinstance(mapping, DataFrame):
         pairs = mapping.select(F.col("value").alias("_value"), F.col("standard").alias("_std"))
-        table = unique_dimension(pairs.filter(F.col("_value").isNotNull()), "_value")
+        pairs = pairs.filter(F.col("_value").isNotNull())
+        table = written(unique_dimension(pairs, "_value"), "mapping")
         found = df.join(table, value == F.col("_value"), "left")
         std = F.col("_std") if default is None else F.coalesce("_std", default)
         return found.withColumn(output, std).drop("_value", "_std")
@@ -85,7 +87,8 @@ def keyed_correction(
     flag = f"{output}_corrected"
     if isinstance(fixes, DataFrame):
         pairs = fixes.select(F.col("key").alias("_key"), F.col("value").alias("_fix"))
-        table = unique_dimension(pairs.filter(F.col("_key").isNotNull()), "_key")
+        pairs = pairs.filter(F.col("_key").isNotNull())
+        table = written(unique_dimension(pairs, "_key"), "fixes")
         joined = df.join(table, F.col(key) == F.col("_key"), "left")
         return joined.select(
             *[F.col(c) for c in df.columns],

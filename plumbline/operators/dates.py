@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators.referential import enrich_join
+from plumbline.operators.referential import unique_dimension
 from plumbline.operators.shaping import as_list, rows_from
 
 
@@ -60,6 +60,17 @@ def date_gap_rows(df: DataFrame, date: Column, anchor: Column) -> DataFrame:
         "gap_days", F.datediff(anchor, date).cast("bigint"))
 
 
+def _dated_facts(
+    facts: DataFrame, dim: DataFrame, keys: Sequence[str], columns: Sequence[str], how: str
+) -> DataFrame:
+    """Facts per key and date with their dimension row; ``n`` is the number of facts.
+
+    Folding the facts first leaves a hot key one row per date, so its join needs no special care.
+    """
+    grouped = facts.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    return grouped.join(unique_dimension(dim, keys), list(keys), how)
+
+
 def timeline_violations(
     facts: DataFrame,
     dim: DataFrame,
@@ -76,16 +87,17 @@ def timeline_violations(
     """
     keys = as_list(on)
     bounds = list(dict.fromkeys([*before.values(), *after.values()]))
-    timeline = enrich_join(
-        facts.select(*keys, date), dim.select(*keys, *bounds), keys, how="left"
-    )
+    timeline = _dated_facts(facts, dim.select(*keys, *bounds), keys, [*keys, date], "left")
     d = F.col(date)
-    counts = [F.count(F.lit(1)).alias("total_rows")]
-    counts += [F.count_if(d < F.col(c)).alias(name) for name, c in before.items()]
-    counts += [F.count_if(d > F.col(c)).alias(name) for name, c in after.items()]
+    tests = {"total_rows": F.lit(True)}
+    tests |= {name: d < F.col(c) for name, c in before.items()}
+    tests |= {name: d > F.col(c) for name, c in after.items()}
     if cutoff is not None:
-        counts.append(F.count_if(d > F.lit(cutoff)).alias("after_cutoff"))
-    return timeline.agg(*counts)
+        tests["after_cutoff"] = d > F.lit(cutoff)
+    return timeline.agg(*[
+        F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("bigint").alias(name)
+        for name, test in tests.items()
+    ])
 
 
 def overrun_by_group(
@@ -99,13 +111,11 @@ def overrun_by_group(
 ) -> DataFrame:
     """Per group: facts after the planned end, first and last such date, longest overrun."""
     keys = as_list(on)
-    columns = list(dict.fromkeys([*keys, end, *[g for g in group if g in dim.columns]]))
-    wanted = list(dict.fromkeys([*keys, date, *[g for g in group if g not in columns]]))
-    late = enrich_join(facts.select(*wanted), dim.select(*columns), keys).filter(
-        F.col(date) > F.col(end)
-    )
-    summary = late.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("late_rows"),
+    of_dim = list(dict.fromkeys([*keys, end, *[g for g in group if g in dim.columns]]))
+    of_facts = list(dict.fromkeys([*keys, date, *[g for g in group if g not in of_dim]]))
+    dated = _dated_facts(facts, dim.select(*of_dim), keys, of_facts, "inner")
+    summary = dated.filter(F.col(date) > F.col(end)).groupBy(*group).agg(
+        F.sum("n").cast("bigint").alias("late_rows"),
         F.min(date).alias("first_late_date"),
         F.max(date).alias("last_late_date"),
         F.max(F.datediff(date, end)).cast("bigint").alias("max_days_beyond"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.text import MAX_INLINE_ENTRIES
 from plumbline.operators.shaping import all_of, any_of, as_list
+from plumbline.sources.tables import written
 
 
 def _child_groups(child: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -86,7 +87,7 @@ def lookup_rows(
             return found.select(*select) if select else found
         kind = df.schema[column].dataType.simpleString()
         values = df.sparkSession.createDataFrame([(v,) for v in listed], f"{column} {kind}")
-    keys = values.select(F.col(values.columns[0]).alias(column)).distinct()
+    keys = written(values.select(F.col(values.columns[0]).alias(column)).distinct(), "keys")
     found = df.join(keys, column, "left_semi")
     return found.select(*select) if select else found
 
@@ -126,12 +127,14 @@ def enrich_join(
     """Facts with the attributes of a de-duplicated dimension.
 
     Each fact meets at most one dimension row, so an inner join can drop facts but not repeat
-    them; ``enrich_report`` counts the dropped ones. Spark broadcasts the dimension while its
-    measured size is under the session's threshold and splits a hot key in the shuffled join.
+    them; ``enrich_report`` counts the dropped ones. The reduced dimension is written first: its
+    rows are checked once, Spark knows its size and broadcasts it only below the session's
+    threshold, and otherwise both join sides are plain exchanges, which is what the skew join
+    needs to split a hot key.
     """
     if how not in ("inner", "left"):
         raise ValueError("how is 'inner' or 'left'")
-    return facts.join(unique_dimension(dim, keys), as_list(keys), how)
+    return facts.join(written(unique_dimension(dim, keys), "dimension"), as_list(keys), how)
 
 
 def enrich_report(facts: DataFrame, dim: DataFrame, keys: str | Sequence[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from plumbline.operators import (
     sequence, structure,
 )
 from plumbline.functions import parsing as parse
+from plumbline.sources.tables import written
 
 
 def rows(df, *order):
@@ -304,15 +305,17 @@ def test_hot_key_join_is_split(spark):
     for key, value in settings.items():
         spark.conf.set(key, value)
     try:
-        facts = spark.range(0, 120_000, 1, 8).selectExpr(
-            "if(id % 3 = 0, 7, id % 5000) as k", "uuid() as payload")
-        dim = spark.range(5000).selectExpr("id as k", "id * 2 as v")
-        joined = referential.enrich_join(facts, dim, "k")
-        joined.collect()
-        text = io.StringIO()
-        with contextlib.redirect_stdout(text):
-            joined.explain()
-        assert "skew=true" in text.getvalue()
+        facts = written(spark.range(0, 120_000, 1, 8).selectExpr(
+            "if(id % 3 = 0, 7, id % 5000) as k", "uuid() as payload"), "facts")
+        dim = written(spark.range(10_000).selectExpr("id % 5000 as k", "id % 5000 as v"), "dim")
+        for joined in (referential.enrich_join(facts, dim, "k"),
+                       referential.enrich_join(facts, dim, "k", how="left"),
+                       referential.lookup_rows(facts, "k", dim.select("k"))):
+            assert len(joined.collect()) == 120_000
+            text = io.StringIO()
+            with contextlib.redirect_stdout(text):
+                joined.explain()
+            assert "skew=true" in text.getvalue()
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
