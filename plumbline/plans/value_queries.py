@@ -61,9 +61,9 @@ def standardize_map_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 def standardize_map_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mapping table derived from the data instead of a literal list."""
     part = table(spark, sf_dir, "part")
-    table = part.select(F.lower(F.trim("p_type")).alias("value")).distinct().withColumn(
+    mapping = part.select(F.lower(F.trim("p_type")).alias("value")).distinct().withColumn(
         "standard", F.split_part("value", F.lit(" "), F.lit(1)))
-    mapped = categorical.standardize_map(part, "p_type", table, "std_type")
+    mapped = categorical.standardize_map(part, "p_type", mapping, "std_type")
     return mapped.select("p_partkey", "p_type", "std_type")
 
 
