@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.llm.decontaminate import find_contamination
+from plumbline.llm.language import identify_language
 from plumbline.llm.near_join import ngram_jaccard_join
 from plumbline.llm.shared import read_table
 
@@ -27,3 +29,15 @@ def query(sql: str | None = None):
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shingle count and the least document reachable by links."""
     return ngram_jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return identify_language(read_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the benchmark items of which it holds a passage."""
+    return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
