@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm.decontaminate import find_contamination
 from plumbline.llm.language import identify_language
 from plumbline.llm.near_join import ngram_jaccard_join
+from plumbline.llm.secret_scan import scan_secrets
 from plumbline.llm.shared import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +43,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the benchmark items of which it holds a passage."""
     return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the rules' findings, and all findings."""
+    found = scan_secrets(read_table(spark, sf_dir, "documents"))
+    place = "concat_ws(':', f.kind, cast(f.start as string), cast(f.end as string))"
+    base = "filter(findings, f -> f.kind <> 'network')"
+    return found.select(
+        "doc_id",
+        *[F.expr(f"cast(size(filter(findings, f -> f.kind = '{k}')) as bigint)").alias(f"n_{k}")
+          for k in ("assign", "access", "hex")],
+        F.expr(f"sha2(concat_ws(',', transform({base}, f -> {place})), 256)").alias("base_sha256"),
+        F.expr(f"concat_ws(',', transform(findings, f -> {place}))").alias("spans"),
+        F.expr("cast(size(filter(findings, f -> f.kind = 'network')) as bigint)").alias("n_network"))
