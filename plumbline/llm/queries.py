@@ -12,6 +12,7 @@ from plumbline.llm.language import identify_language
 from plumbline.llm.near_join import ngram_jaccard_join
 from plumbline.llm.secret_scan import scan_secrets
 from plumbline.llm.shared import read_table
+from plumbline.llm.toxicity import score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +59,9 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr(f"sha2(concat_ws(',', transform({base}, f -> {place})), 256)").alias("base_sha256"),
         F.expr(f"concat_ws(',', transform(findings, f -> {place}))").alias("spans"),
         F.expr("cast(size(filter(findings, f -> f.kind = 'network')) as bigint)").alias("n_network"))
+
+
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
