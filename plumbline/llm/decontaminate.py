@@ -105,19 +105,12 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     one pass over the documents, and no block grows with the test set.
     """
     base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    items = scratch(benchmark.select(F.col(item_col).cast("long").alias("item_id"),
-                                     F.col(item_text_col).cast("string").alias("text"))
-                    .filter("item_id IS NOT NULL AND text IS NOT NULL")
-                    .mapInPandas(_tokens, "item_id long, tokens binary"), "items")
-    total = items.agg(F.sum(F.length("tokens"))).first()[0] or 0
-    blocks = max(1, -(-total // (8 * BLOCK_TOKENS)))
+    indexes = index_blocks(benchmark, item_col, item_text_col)
+    blocks = len(indexes)
     kind = dict(base.dtypes)["doc_id"]
     schema = f"doc_id {kind}, contaminated boolean, items array<long>, matched_tokens long"
     result = None
-    for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
-        rows.sort(key=lambda r: (r.item_id, r.tokens))
-        index = df.sparkSession.sparkContext.broadcast([(r.item_id, np.frombuffer(r.tokens, np.uint64)) for r in rows])
+    for index in indexes:
         part = _scan(base, index, schema, numbered=blocks > 1)
         result = part if result is None else result.unionByName(part)
     if blocks == 1:
@@ -129,33 +122,65 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     return folded.select("doc_id", "contaminated", "items", "matched_tokens")
 
 
+def remove_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                        item_text_col: str = "text") -> DataFrame:
+    """The rows and columns of ``df`` without documents that hold a passage of an item."""
+    for index in index_blocks(benchmark, item_col, item_text_col):
+        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+            seeds = SeedIndex(index.value)
+            for batch in batches:
+                yield batch[[not found for found, _ in matches(batch[text_col], seeds)]]
+
+        df = df.mapInPandas(run, df.schema)
+    return df
+
+
+def index_blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> list:
+    """Broadcasts of the items' tokens, each of about ``BLOCK_TOKENS`` at most; one at least."""
+    items = scratch(benchmark.select(F.col(item_col).cast("long").alias("item_id"),
+                                     F.col(item_text_col).cast("string").alias("text"))
+                    .filter("item_id IS NOT NULL AND text IS NOT NULL")
+                    .mapInPandas(_tokens, "item_id long, tokens binary"), "items")
+    total = items.agg(F.sum(F.length("tokens"))).first()[0] or 0
+    blocks, out = max(1, -(-total // (8 * BLOCK_TOKENS))), []
+    for block in range(blocks):
+        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
+        rows.sort(key=lambda r: (r.item_id, r.tokens))
+        out.append(benchmark.sparkSession.sparkContext.broadcast(
+            [(r.item_id, np.frombuffer(r.tokens, np.uint64)) for r in rows]))
+    return out
+
+
+def matches(texts, seeds: SeedIndex) -> Iterator[tuple[set[int], int]]:
+    """For each text the ids of the items of which it holds a passage, and the longest agreement."""
+    data = [plain(t) for t in texts]
+    for begin, end in pieces(data):
+        hashes, at = word_hashes(data[begin:end])
+        for b, e in zip(at[:-1], at[1:]):
+            found, best = set(), 0
+            for start, k in seeds.hits(hashes[b:e]):
+                item_id, item = seeds.items[k]
+                same, _, _ = overlap(hashes[b:e], item, int(start))
+                if same >= min(MIN_MATCH, len(item)):
+                    found.add(item_id)
+                    best = max(best, same)
+            yield found, best
+
+
 def _scan(base: DataFrame, index, schema: str, numbered: bool) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds = SeedIndex(index.value)
         for batch in batches:
-            data = [plain(t) for t in batch["text"]]
-            listed, most = [], []
-            for begin, end in pieces(data):
-                hashes, at = word_hashes(data[begin:end])
-                for b, e in zip(at[:-1], at[1:]):
-                    found, best = set(), 0
-                    for start, k in seeds.hits(hashes[b:e]):
-                        item_id, item = seeds.items[k]
-                        same, _, _ = overlap(hashes[b:e], item, int(start))
-                        if same >= min(MIN_MATCH, len(item)):
-                            found.add(item_id)
-                            best = max(best, same)
-                    listed.append(sorted(found))
-                    most.append(best)
+            found = list(matches(batch["text"], seeds))
             out = batch.drop(columns="text")
-            out["contaminated"] = [bool(x) for x in listed]
-            out["items"], out["matched_tokens"] = listed, most
+            out["contaminated"] = [bool(x) for x, _ in found]
+            out["items"], out["matched_tokens"] = [sorted(x) for x, _ in found], [n for _, n in found]
             yield out
 
     if numbered:
         # The same rows get the same number in each pass: equal rows share one, and one result.
         base = base.select(F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.sha2("text", 256)), 256)
-                           .alias("row"), "doc_id", "text").dropDuplicates(["row"])
+                           .alias("row"), "doc_id", "text")
         schema = "row string, " + schema
     return base.mapInPandas(run, schema)
 

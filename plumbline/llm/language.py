@@ -130,34 +130,59 @@ def identify_language(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
                      F.col(lang_col).cast("string").alias("lang")).withColumn(
         "held_out", F.coalesce(fold_of(F.col("doc_id"), folds) == held_out, F.lit(False)))
     train = base.filter("NOT held_out AND doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    counts = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     schema = "doc_id " + dict(base.dtypes)["doc_id"] + ", held_out boolean, lang_pred string, score double, ambiguous boolean"
-    languages = sorted(counts)
-    model = _learn(train, counts, languages) if languages else None
+    predict = learn_predictor(train)
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            best, score, second = [], [], []
-            letters = []
-            for begin in range(0, len(batch), 256):
-                x, n = ngram_counts(batch["text"].iloc[begin:begin + 256].tolist())
-                letters.append(n)
-                if model is not None:
-                    coef, bias, reliability, code = model
-                    b, s, t = decode(x @ coef + bias, reliability, code)
-                    best.append(b), score.append(s), second.append(t)
-            found = np.concatenate(letters) > 0 if letters else np.zeros(0, bool)
             out = batch[["doc_id", "held_out"]].copy()
-            if model is None or not len(batch):
-                out["lang_pred"], out["score"], out["ambiguous"] = UNDETERMINED, 0.0, False
-            else:
-                best, score, second = np.concatenate(best), np.concatenate(score), np.concatenate(second)
-                out["lang_pred"] = np.where(found, np.array(languages, object)[best], UNDETERMINED)
-                out["score"] = np.where(found, score, 0.0)
-                out["ambiguous"] = found & (score - second < ambiguous_below)
+            out["lang_pred"], out["score"], second = predict(batch["text"].tolist())
+            out["ambiguous"] = (out["lang_pred"] != UNDETERMINED) & (out["score"] - second < ambiguous_below)
             yield out
 
-    return base.select("doc_id", "held_out", "text").mapInPandas(predict, schema)
+    return base.select("doc_id", "held_out", "text").mapInPandas(run, schema)
+
+
+def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+                    folds: int = 4, held_out: int = 2) -> DataFrame:
+    """The rows of ``df`` whose language can be told; rows that would be ``und`` go.
+
+    Learns from the labelled rows of ``df`` itself, as ``identify_language`` does.
+    """
+    base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                     F.col(lang_col).cast("string").alias("lang"))
+    train = base.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(
+        fold_of(F.col("doc_id"), folds) != held_out)
+    predict = learn_predictor(train)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found, _, _ = predict(batch[text_col].tolist())
+            yield batch[found != UNDETERMINED]
+
+    return df.mapInPandas(run, df.schema)
+
+
+def learn_predictor(train: DataFrame):
+    """A function from texts to languages, their probabilities and those of the runners-up."""
+    counts = {r.lang: r.n for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    languages = sorted(counts)
+    model = _learn(train, counts, languages) if languages else None
+
+    def predict(texts: list[str | None]):
+        names = np.full(len(texts), UNDETERMINED, object)
+        first, second = np.zeros(len(texts)), np.zeros(len(texts))
+        for begin in range(0, len(texts) if model is not None else 0, 256):
+            part = slice(begin, begin + 256)
+            x, letters = ngram_counts(texts[part])
+            coef, bias, reliability, code = model
+            best, score, runner_up = decode(x @ coef + bias, reliability, code)
+            told = letters > 0
+            names[part] = np.where(told, np.array(languages, object)[best], UNDETERMINED)
+            first[part], second[part] = np.where(told, score, 0.0), np.where(told, runner_up, 0.0)
+        return names, first, second
+
+    return predict
 
 
 def _learn(train: DataFrame, counts: dict[str, int], languages: list[str]):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.graph import components
-from plumbline.llm.shared import mix, scratch, semi_join_ids, shingle_sets, signed
+from plumbline.llm.shared import BROADCAST_IDS, mix, scratch, semi_join_ids, shingle_sets, signed
 
 SHINGLE = 5
 STARS = 6          # min-hashes per class in the star pass
@@ -35,7 +35,8 @@ BLOCK = 512        # classes of one side of a tile
 HINTS = 65_536     # frequent shingles that the order knows of; they only steer the speed
 CHUNK = 2_000_000  # shingles held at once while frequent ones are looked for
 
-_SKETCH = ("kind int, doc_id long, class_id long, n_shingles long, stars array<long>, bitmap binary")
+_SKETCH = ("kind int, doc_id long, text_hash long, class_id long, n_shingles long, stars array<long>, "
+           "bitmap binary")
 
 
 def class_of(hashes: np.ndarray) -> int:
@@ -79,24 +80,25 @@ def _sketches(percent: int):
             counts = np.diff(at, append=len(values))
             at, counts = at[counts >= 3], counts[counts >= 3]
             n = len(at)
-            return pd.DataFrame({"kind": np.ones(n, np.int32), "doc_id": pd.array([None] * n, "Int64"),
-                                 "class_id": signed(values[at]), "n_shingles": counts,
+            none = pd.array([None] * n, "Int64")
+            return pd.DataFrame({"kind": np.ones(n, np.int32), "doc_id": none, "text_hash": none, "class_id": signed(values[at]), "n_shingles": counts,
                                  "stars": [None] * n, "bitmap": [None] * n})
 
         for batch in batches:
             rows = []
-            for doc_id, h in zip(batch["doc_id"], shingle_sets(batch["text"].tolist(), SHINGLE)):
+            for doc_id, digest, h in zip(batch["doc_id"], batch["text_hash"],
+                                         shingle_sets(batch["text"].tolist(), SHINGLE)):
                 c = class_of(h)
                 stars = (h * odd).min(axis=1).view(np.int64) if len(h) else []
-                rows.append((0, doc_id, c, len(h), stars, bitmap_of(h)))
+                rows.append((0, doc_id, digest, c, len(h), stars, bitmap_of(h)))
                 if len(h) and c not in held:
                     held[c] = h
                     size += len(h)
                 if size >= CHUNK:
                     yield frequent()
                     held, size = {}, 0
-            out = pd.DataFrame(rows, columns=["kind", "doc_id", "class_id", "n_shingles", "stars",
-                                              "bitmap"])
+            out = pd.DataFrame(rows, columns=["kind", "doc_id", "text_hash", "class_id", "n_shingles",
+                                              "stars", "bitmap"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
         if held:
@@ -252,10 +254,11 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        percent: int = 75) -> DataFrame:
-    """``doc_id, n_shingles, class_id, component_id`` for every row of ``df``.
+    """``doc_id, text_hash, n_shingles, class_id, component, component_id`` for every row of ``df``.
 
     Documents link when ``100 * |A and B| >= percent * |A or B|`` over distinct 5-word shingles;
-    ``component_id`` is the least id reachable by links, ``class_id`` marks equal sets.
+    ``component_id`` is the least id reachable by links, ``class_id`` marks equal sets
+    and ``component`` is the least class of a component.
 
     A NULL or empty text, or one without words, has an empty set and links with nothing: its
     component is its own id. Rows without an id get the component of their class, NULL if no
@@ -263,8 +266,8 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Any further column of ``df`` is ignored. An empty table gives an empty table.
     """
     base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketch = scratch(base.mapInPandas(_sketches(percent), _SKETCH), "sketch")
-    docs = sketch.filter("kind = 0").select("doc_id", "class_id", "n_shingles")
+    sketch = scratch(base.withColumn("text_hash", F.xxhash64("text")).mapInPandas(_sketches(percent), _SKETCH), "sketch")
+    docs = sketch.filter("kind = 0").select("doc_id", "text_hash", "class_id", "n_shingles")
     classes = scratch(
         sketch.filter("kind = 0 AND n_shingles > 0").groupBy("class_id").agg(
             F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
@@ -286,14 +289,44 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     final = components(all_links)
 
     member = scratch(docs.join(final, docs.class_id == final.node, "left").select(
-        "doc_id", "class_id", "n_shingles", F.coalesce("component", "class_id").alias("component")), "members")
+        "doc_id", "text_hash", "class_id", "n_shingles", F.coalesce("component", "class_id").alias("component")), "members")
     least = member.filter("n_shingles > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return (member.join(least, "component", "left")
-            .select("doc_id", "n_shingles", "class_id",
+            .select("doc_id", "text_hash", "n_shingles", "class_id", "component",
                     F.when(F.col("n_shingles") == 0, F.col("doc_id"))
                     .otherwise(F.col("component_id")).alias("component_id")))
 
 
+def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each component the row with the least id
+    (rows without an id come last, ties go by a hash of the text) and of repeated rows one.
+    Texts without words are no duplicates and all stay."""
+    found = scratch(ngram_jaccard_join(df, id_col, text_col, percent), "joined")
+    keys = ["doc_id", "text_hash"]
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "text_hash")).alias("first")
+    least = found.filter("n_shingles > 0").groupBy("component").agg(first).select("first.doc_id", "first.text_hash")
+    counts = found.filter("n_shingles > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    match = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
+    kept = scratch(least.join(counts, match(least, counts)).select(least["doc_id"], least["text_hash"], "rows"), "kept")
+    wordless = found.filter("n_shingles = 0").select(*keys).distinct().withColumn("rows", F.lit(1).cast("long"))
+    kept = scratch(kept.unionByName(wordless).select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "rows"), "kept")
+    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+
+    def rows_of(part: DataFrame) -> DataFrame:
+        part = F.broadcast(part) if part.count() <= BROADCAST_IDS else part
+        return df.join(part, on, "left_semi")
+
+    single = rows_of(kept.filter("rows = 1").select("_id", "_hash"))
+    several = kept.filter("rows > 1").select("_id", "_hash")
+    if several.isEmpty():
+        return single
+    # Rows that share id and text: one of them, told apart by no more than those two.
+    folded = rows_of(several).groupBy(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")).agg(
+        *[F.first(c).alias(c) for c in df.columns]).select(*df.columns)
+    return single.unionByName(folded)
+
+
 def _order_hints(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """At most ``HINTS`` frequent shingles, sorted, with their rank from rare to frequent."""
     top = (sketch.filter("kind = 1").groupBy(F.col("class_id").alias("shingle"))

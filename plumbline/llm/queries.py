@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.decontaminate import find_contamination
 from plumbline.llm.language import identify_language
+from plumbline.llm.mixing import mix_sources
 from plumbline.llm.near_join import ngram_jaccard_join
 from plumbline.llm.secret_scan import scan_secrets
 from plumbline.llm.shared import read_table
@@ -31,7 +32,8 @@ def query(sql: str | None = None):
 @query()
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its shingle count and the least document reachable by links."""
-    return ngram_jaccard_join(read_table(spark, sf_dir, "documents"))
+    return ngram_jaccard_join(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id", "class_id")
 
 
 @query()
@@ -65,3 +67,11 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+@query()
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its calibrated probability and whether it is drawn."""
+    mixed = mix_sources(read_table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"),
+                        F.col("mix_probability").alias("probability"), F.col("mix_sampled").alias("sampled"))
