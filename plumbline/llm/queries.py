@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.decontaminate import find_contamination
+from plumbline.llm.fingerprint import fingerprint_edits
 from plumbline.llm.language import identify_language
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.near_join import ngram_jaccard_join
@@ -75,3 +76,9 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "lang", F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("n_tokens"),
                         F.col("mix_probability").alias("probability"), F.col("mix_sampled").alias("sampled"))
+
+
+@query()
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprint_edits(read_table(spark, sf_dir, "documents"))
