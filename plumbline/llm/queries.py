@@ -12,6 +12,7 @@ from plumbline.llm.fingerprint import fingerprint_edits
 from plumbline.llm.language import identify_language
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.near_join import ngram_jaccard_join
+from plumbline.llm.pseudonyms import pseudonymize_documents
 from plumbline.llm.secret_scan import scan_secrets
 from plumbline.llm.shared import read_table
 from plumbline.llm.toxicity import score_toxicity
@@ -82,3 +83,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text."""
     return fingerprint_edits(read_table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms in place of personal data."""
+    return pseudonymize_documents(read_table(spark, sf_dir, "documents"), key="example key of the test tables").withColumn(
+        "n_found", F.size("found").cast("long"))
