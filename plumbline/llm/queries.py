@@ -13,6 +13,7 @@ from plumbline.llm.language import identify_language
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.near_join import ngram_jaccard_join
 from plumbline.llm.pseudonyms import pseudonymize_documents
+from plumbline.llm.quotations import as_mail, reply_ordered
 from plumbline.llm.secret_scan import scan_secrets
 from plumbline.llm.shared import read_table
 from plumbline.llm.toxicity import score_toxicity
@@ -90,3 +91,9 @@ def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms in place of personal data."""
     return pseudonymize_documents(read_table(spark, sf_dir, "documents"), key="example key of the test tables").withColumn(
         "n_found", F.size("found").cast("long"))
+
+
+@query()
+def op10_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations as mail with nested quotations, put back into reply order without them."""
+    return reply_ordered(as_mail(read_table(spark, sf_dir, "conversations")))
