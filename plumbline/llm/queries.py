@@ -12,6 +12,7 @@ from plumbline.llm.fingerprint import fingerprint_edits
 from plumbline.llm.language import identify_language
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.near_join import ngram_jaccard_join
+from plumbline.llm.passages import repeated_passages
 from plumbline.llm.pseudonyms import pseudonymize_documents
 from plumbline.llm.quotations import as_mail, reply_ordered
 from plumbline.llm.secret_scan import scan_secrets
@@ -47,8 +48,9 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document with the benchmark items of which it holds a passage."""
-    return find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    """The contaminated documents with the benchmark items of which they hold a passage."""
+    found = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.filter("contaminated").drop("contaminated")
 
 
 @query()
@@ -97,3 +99,9 @@ def op7_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations as mail with nested quotations, put back into reply order without them."""
     return reply_ordered(as_mail(read_table(spark, sf_dir, "conversations")))
+
+
+@query()
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of 50 words or more that other documents hold too."""
+    return repeated_passages(read_table(spark, sf_dir, "documents"))
