@@ -1,26 +1,27 @@
 """Order-dependent values without sorting a table, or one large entity, in a single task.
 
 An entity that fits one task is windowed as usual. A whole table, or an entity with more than
-its share of the rows, is cut by its first order key into ranges of about equal row counts, and
+its share of the rows, is cut by its order keys into ranges of about equal row counts, and
 the window runs inside (entity, range). What crosses a range border travels in one extra row per
 range: the neighbouring range's edge value, or the number of rows that come before. A range
-holds about rows / ranges rows, whatever share of the table an entity holds. A single key value
-(or NULL) that fills several ranges by itself is cut further by the next order key.
+holds about rows / ranges rows, whatever share of the table an entity holds. The cuts are whole
+keys (all order keys, NULL last, then a hash of the row), so neither a value that fills several
+ranges, nor text with a long common beginning, nor rows without any order key stay together.
 """
 
 from __future__ import annotations
 
-import bisect
+import base64
+import json
 import math
-from collections import Counter
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.shaping import all_of
+from plumbline.sources.tables import written
 
 ROWS_PER_RANGE = 4_000_000
 MAX_RANGES = 50_000
@@ -28,144 +29,127 @@ MAX_RANGES = 50_000
 # range of a small table is not worth less than this many rows.
 RANGES_PER_TASK = 4
 MIN_ROWS_PER_RANGE = 1_000
-SAMPLED_ROWS_PER_RANGE = 200
+SAMPLED_ROWS_PER_RANGE = 60
 _EDGE = "_edge"
 _HOT = "_hot"
-_PREFIX_BYTES = 6
+_RANGE = "_range"
+_TIE = "_tie"
+_CUTS = "_cuts"
 
 
-def _position(df: DataFrame, key: str, low, high) -> Column:
-    """A double that never falls when the key rises; equal positions may hide different keys."""
+def _plain(df: DataFrame, key: str) -> Column:
+    """The key as a value of the same order that does not hang on the session's time zone."""
     kind, value = df.schema[key].dataType, F.col(key)
-    if isinstance(kind, T.StringType):
-        # Bytes after the prefix that all values share, read as one number.
-        first, last = low.encode(), high.encode()
-        shared = next((i for i, (a, b) in enumerate(zip(first, last)) if a != b), len(first))
-        tail = F.substring(F.encode(value, "UTF-8"), shared + 1, _PREFIX_BYTES)
-        digits = F.rpad(F.hex(tail), 2 * _PREFIX_BYTES, "0")
-        return F.conv(digits, 16, 10).cast("double")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, T.TimestampNTZType):
+        seconds = F.hour(value) * 3600 + F.minute(value) * 60
+        micros = (F.date_part(F.lit("SECOND"), value) * 1_000_000).cast("bigint")
+        days = F.unix_date(F.to_date(value)).cast("bigint")
+        return (days * 86_400 + seconds) * 1_000_000 + micros
     if isinstance(kind, T.DateType):
-        return F.unix_date(value).cast("double")
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        day = F.unix_date(F.to_date(value)).cast("double")
-        clock = F.hour(value) * 3600 + F.minute(value) * 60 + F.second(value)
-        return day * 86400 + clock.cast("double")
-    if isinstance(kind, T.NumericType):
-        return value.cast("double")
+        return F.unix_date(value)
+    if isinstance(kind, (T.StringType, T.NumericType, T.BooleanType, T.BinaryType)):
+        return value
     raise TypeError(f"cannot order ranges by {key}: {kind.simpleString()}")
 
 
-def _cut(df: DataFrame, position: str, output: str, splits: Sequence[float]) -> DataFrame:
-    """Range number by binary search over the cut points; NULL keys form the last range."""
-    if not splits:
-        return df.withColumn(output, F.when(F.col(position).isNull(), 1).otherwise(0))
-    raw = f"{output}_raw"
-    cutter = Bucketizer(
-        splits=[-math.inf, *splits, math.inf], inputCol=position, outputCol=raw,
-        handleInvalid="keep",
-    )
-    number = F.coalesce(F.col(raw).cast("int"), F.lit(len(splits) + 1))
-    return cutter.transform(df).withColumn(output, number).drop(raw)
-
+def _cut_key(df: DataFrame, order: Sequence[str]) -> Column:
+    """Order keys and the tie-break as one comparable value, NULL after everything else."""
+    parts = [part for k in order for part in (F.col(k).isNull(), _plain(df, k))]
+    return F.struct(*[part.alias(f"k{i}") for i, part in enumerate(parts)],
+                    F.col(_TIE).alias("tie"))
 
-def _heavy_values(df: DataFrame, key: str, position: str, repeated: Sequence[float]) -> list[float]:
-    """Repeated cut points that stand for exactly one key value, so the next key may cut them."""
-    rows = (
-        df.filter(F.col(position).isin(*repeated))
-        .groupBy(position)
-        .agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-        .collect()
-    )
-    return [r[position] for r in rows if r["lo"] == r["hi"]]
 
+def _with_tie(df: DataFrame) -> DataFrame:
+    """Rows with equal order keys are told apart by a hash of their columns."""
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    return df.withColumn(_TIE, F.xxhash64(*hashed))
 
-def _heavy_groups(sample: DataFrame, by: Sequence[str], rows: float, ranges: int) -> list:
-    """Groups that hold at least one range's worth of the sample: never more than ``ranges``."""
-    floor = max(2, math.ceil(rows / ranges))
-    counts = sample.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.filter(F.col("_n") >= floor).select(*by).collect()
 
+def _cut_points(sample: DataFrame, by: Sequence[str], per_range: float) -> DataFrame:
+    """``by, _cuts``: sorted cut keys of each group that fills more than one range.
 
-def _mark_heavy(df: DataFrame, by: Sequence[str], heavy: list) -> DataFrame:
-    """Flag the rows of heavy groups with a broadcast join; the list holds at most one group
-    per range."""
-    kinds = df.select(*by).schema
-    names = [f"_by{i}" for i in range(len(by))]
-    listed = df.sparkSession.createDataFrame(heavy, kinds).toDF(*names)
-    same = all_of(F.col(k).eqNullSafe(F.col(n)) for k, n in zip(by, names))
-    marked = df.join(F.broadcast(listed.withColumn(_HOT, F.lit(True))), same, "left")
-    return marked.drop(*names)
+    A group gets one cut per full share of sampled rows, so all groups together get at most
+    as many cuts as there are ranges. Without ``by`` the sample, whose size is set by the number
+    of ranges, is one group.
+    """
+    ranked = Window.partitionBy(*(by or [F.lit(0)])).orderBy("key")
+    number = F.floor((F.row_number().over(ranked) - 1) / F.lit(max(1.0, per_range)))
+    heads = sample.withColumn("range", number).filter("range > 0").groupBy(*by, "range").agg(
+        F.min("key").alias("cut"))
+    return heads.groupBy(*by).agg(F.sort_array(F.collect_list("cut")).alias(_CUTS))
+
+
+def _cuts_literal(points: DataFrame) -> Column | None:
+    """The cuts of the whole table as one constant, at most ``MAX_RANGES`` keys."""
+    rows = points.collect()
+    if not rows or not rows[0][_CUTS]:
+        return None
+
+    def text(value):
+        if isinstance(value, (bytes, bytearray)):
+            return base64.b64encode(value).decode()
+        return str(value)
+
+    kind = points.schema[_CUTS].dataType
+    listed = [c.asDict() for c in rows[0][_CUTS]]
+    return F.from_json(F.lit(json.dumps(listed, default=text)), kind)
+
+
+def _number(cuts: Column, key: Column, most: int) -> Column:
+    """Cuts that are not above the key, by binary search."""
+    steps = [1 << i for i in reversed(range(max(1, most).bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
+        lambda at, step: F.when(F.get(cuts, at + step - 1) <= key, at + step).otherwise(at),
+    )
 
 
 def with_ranges(
     df: DataFrame, order: Sequence[str], by: Sequence[str] = (), ranges: int | None = None
 ) -> tuple[DataFrame, list[str]]:
-    """Add range-number columns that follow the order keys; NULL keys come last.
+    """Add a range number that follows the order keys; NULL keys come last.
 
     With ``by`` only groups too large for one task are cut, all others stay in range 0; without
-    any such group no column is added. Rows that were cut carry ``_hot``.
+    any such group no column is added. Rows that were cut carry ``_hot``; ``_tie`` is the last
+    order key of all rows.
 
     Cut points and large groups come from a small sample and only steer the balance: any choice
-    gives the same results, and no row is left out. The driver receives at most ``MAX_RANGES``
-    numbers per key and ``MAX_RANGES`` group keys.
+    gives the same results, and no row is left out. Runs a count and a job on the sample at once.
     """
-    bounds = df.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.min(k).alias(f"lo{i}") for i, k in enumerate(order)],
-        *[F.max(k).alias(f"hi{i}") for i, k in enumerate(order)],
-        *[F.count(k).alias(f"n{i}") for i, k in enumerate(order)],
-    ).first()
+    order, by = list(order), list(by)
+    n = df.agg(F.count(F.lit(1))).first()[0]
     if ranges is None:
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        by_tasks = min(RANGES_PER_TASK * tasks, math.ceil(bounds["n"] / MIN_ROWS_PER_RANGE))
-        ranges = min(MAX_RANGES, max(math.ceil(bounds["n"] / ROWS_PER_RANGE), by_tasks))
-    usable = [i for i in range(len(order)) if bounds[f"n{i}"] > 0]
-    if not usable and bounds["n"] > ROWS_PER_RANGE:
-        raise ValueError(f"nothing to order by: {', '.join(order)} are all NULL")
-    if ranges < 2 or not usable:
+        by_tasks = min(RANGES_PER_TASK * tasks, math.ceil(n / MIN_ROWS_PER_RANGE))
+        ranges = min(MAX_RANGES, max(math.ceil(n / ROWS_PER_RANGE), by_tasks))
+    if ranges < 2 or not n:
         return df, []
 
-    share = min(1.0, ranges * SAMPLED_ROWS_PER_RANGE / bounds["n"])
-    sample = df.select(*dict.fromkeys([*by, *order]))
+    tied = _with_tie(df)
+    share = min(1.0, ranges * SAMPLED_ROWS_PER_RANGE / n)
+    sample = tied.select(*by, _cut_key(tied, order).alias("key"))
     sample = sample.sample(fraction=share, seed=11) if share < 1 else sample
-    heavy_groups = _heavy_groups(sample, by, share * bounds["n"], ranges) if by else []
-    if by and not heavy_groups:
+    points = _cut_points(sample, by, share * n / ranges)
+    key = _cut_key(tied, order)
+    if not by:
+        cuts = _cuts_literal(points)
+        if cuts is None:
+            return df, []
+        return tied.withColumns({_RANGE: _number(cuts, key, ranges), _HOT: F.lit(True)}), [_RANGE]
+
+    # At most one group per range: the list is written, so its size is known, and small.
+    listed = written(points, "cuts")
+    if listed.isEmpty():
         return df, []
-
-    positions = {f"_pos{i}": _position(df, order[i], bounds[f"lo{i}"], bounds[f"hi{i}"])
-                 for i in usable}
-    steps = [i / ranges for i in range(1, ranges)]
-    cuts = sample.withColumns(positions).agg(
-        *[F.percentile_approx(p, steps, max(10_000, 4 * ranges)).alias(p) for p in positions]
-    ).first()
-
-    placed = _mark_heavy(df, by, heavy_groups) if by else df.withColumn(_HOT, F.lit(True))
-    placed = placed.withColumns(positions)
-    columns: list[str] = []
-    cut_further = F.coalesce(F.col(_HOT), F.lit(False))
-    for i in usable:
-        key, position, output = order[i], f"_pos{i}", f"_range{i}"
-        points = [p for p in cuts[position] or [] if math.isfinite(p)]
-        splits = sorted(set(points))
-        repeated = sorted(p for p, n in Counter(points).items() if n > 1)
-        heavy = []
-        many_nulls = bounds["n"] - bounds[f"n{i}"] >= bounds["n"] / ranges
-        if repeated and i != usable[-1]:
-            heavy = _heavy_values(placed, key, position, repeated)
-            for value in heavy:
-                after = math.nextafter(value, math.inf)
-                if splits[bisect.bisect_left(splits, value) + 1:][:1] != [after]:
-                    bisect.insort(splits, after)
-        placed = _cut(placed, position, output, splits)
-        placed = placed.withColumn(output, F.when(cut_further, F.col(output)).otherwise(0))
-        columns.append(output)
-        if not heavy and not many_nulls:
-            break
-        held = F.col(position).isNull() & F.lit(many_nulls)
-        if heavy:
-            held = held | F.coalesce(F.col(position).isin(*heavy), F.lit(False))
-        cut_further = cut_further & held
-    return placed.drop(*positions), columns
+    names = [f"_by{i}" for i in range(len(by))]
+    listed = listed.toDF(*names, _CUTS)
+    same = all_of(F.col(k).eqNullSafe(F.col(n)) for k, n in zip(by, names))
+    marked = tied.join(F.broadcast(listed), same, "left")
+    number = F.coalesce(_number(F.col(_CUTS), key, ranges), F.lit(0))
+    marked = marked.withColumns({_RANGE: number, _HOT: F.col(_CUTS).isNotNull()})
+    return marked.drop(*names, _CUTS), [_RANGE]
 
 
 def _nulls_last(order: Sequence[str]) -> list[Column]:
@@ -173,8 +157,8 @@ def _nulls_last(order: Sequence[str]) -> list[Column]:
 
 
 def _sort_key(order: Sequence[str]) -> Column:
-    """Order keys as one comparable value with NULL after everything else."""
-    parts = [part for k in order for part in (F.col(k).isNull(), F.col(k))]
+    """Order keys and tie-break as one comparable value with NULL after everything else."""
+    parts = [part for k in order for part in (F.col(k).isNull(), F.col(k))] + [F.col(_TIE)]
     return F.struct(*[part.alias(f"k{i}") for i, part in enumerate(parts)])
 
 
@@ -191,6 +175,7 @@ def with_neighbors(
     Both map a new column to its source column. ``order`` must identify a row within its group,
     otherwise the neighbour is as arbitrary as in a plain window. The table is read about four
     times, three of them for a few columns: put costly derived input into a written table first.
+    The count and the sample run at once, before any action on the result.
     """
     previous, following = dict(previous or {}), dict(following or {})
     if not previous and not following:
@@ -201,7 +186,8 @@ def with_neighbors(
         raise ValueError("a grouping column is the same on every row of its group")
 
     def linked(rows: DataFrame, keys: list, first: Sequence[str] = ()) -> DataFrame:
-        window = Window.partitionBy(*keys).orderBy(*first, *_nulls_last(order))
+        last = [_TIE] if first else []
+        window = Window.partitionBy(*keys).orderBy(*first, *_nulls_last(order), *last)
         added = {name: F.lag(source).over(window) for name, source in previous.items()}
         added |= {name: F.lead(source).over(window) for name, source in following.items()}
         return rows.withColumns(added)
@@ -226,7 +212,7 @@ def with_neighbors(
     edges = edges.select(*keys, _EDGE, "v.*")
 
     rows = ranged.withColumn(_EDGE, F.lit(0)).unionByName(edges, allowMissingColumns=True)
-    return linked(rows, keys, [_EDGE]).filter(F.col(_EDGE) == 0).drop(_EDGE, _HOT, *numbers)
+    return linked(rows, keys, [_EDGE]).filter(F.col(_EDGE) == 0).drop(_EDGE, _HOT, _TIE, *numbers)
 
 
 def with_row_numbers(
@@ -250,7 +236,7 @@ def with_row_numbers(
     offsets = counts.select(*keys, F.lit(-1).alias(_EDGE), before.alias("_offset"))
     rows = ranged.withColumns({_EDGE: F.lit(0), "_offset": F.lit(None).cast("bigint")})
     rows = rows.unionByName(offsets, allowMissingColumns=True)
-    window = Window.partitionBy(*keys).orderBy(_EDGE, *_nulls_last(order))
+    window = Window.partitionBy(*keys).orderBy(_EDGE, *_nulls_last(order), _TIE)
     number = F.coalesce(F.first("_offset").over(window), F.lit(0)) + F.row_number().over(window)
     numbered = rows.withColumn(output, number).filter(F.col(_EDGE) == 0)
-    return numbered.drop(_EDGE, _HOT, "_offset", *numbers)
+    return numbered.drop(_EDGE, _HOT, _TIE, "_offset", *numbers)
