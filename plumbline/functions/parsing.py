@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The date shapes accepted as year-month-day and as month/day/year.
-YMD_SHAPE = r"^\s*(\d{4})([-/ ])(\d{1,2})\2(\d{1,2})(?=$|\s|T)"
+TIME_PART = r"(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\d{2}(?::?\d{2})?)?)?"
+YMD_SHAPE = rf"^\s*(\d{{4}})([-/ ])(\d{{1,2}})\2(\d{{1,2}}){TIME_PART}\s*$"
 MDY_SHAPE = r"^\d{1,2}/\d{1,2}/\d{4}$"
 MDY_FORMAT = "M/d/yyyy"
 
@@ -34,7 +35,7 @@ def has_percent_sign(text: Column) -> Column:
 
 
 def parse_ymd(text: Column) -> Column:
-    """Date of text that starts with a full year, month and day.
+    """Date of text that is a full year, month and day, with or without a time of day.
 
     The shape is tested first because a plain cast also takes a bare year as a date.
     """

@@ -7,9 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A mapping written into the plan stays this small; larger ones are joined as tables.
-MAX_INLINE_ENTRIES = 200
-
 
 def is_blank(value: Column) -> Column:
     """True where the text is empty or spaces only, NULL where it is NULL."""
@@ -37,13 +34,18 @@ def full_match(value: Column, pattern: str) -> Column:
 
 
 def mapped(value: Column, mapping: Mapping, default: Column | None = None) -> Column:
-    """Look the value up in a small mapping; NULL or ``default`` for values it does not list."""
-    if not mapping:
+    """Look the value up in a mapping; NULL or ``default`` for values it does not list.
+
+    The mapping is part of the plan; ``lookups.with_lookup`` joins long ones, with equal results.
+    """
+    entries = {k: v for k, v in mapping.items() if k is not None}
+    if not entries:
         return F.lit(None) if default is None else default
-    if len(mapping) > MAX_INLINE_ENTRIES:
-        raise ValueError(
-            f"{len(mapping)} entries: pass mappings above {MAX_INLINE_ENTRIES} as a table"
-        )
-    pairs = [F.lit(part) for entry in mapping.items() for part in entry]
-    found = F.try_element_at(F.create_map(*pairs), value)
-    return found if default is None else F.coalesce(found, default)
+    table = literal_map(entries)
+    if default is None:
+        return F.try_element_at(table, value)
+    return F.when(F.map_contains_key(table, value), F.try_element_at(table, value)).otherwise(default)
+
+
+def literal_map(entries: Mapping) -> Column:
+    return F.create_map(*[F.lit(part) for entry in entries.items() for part in entry])

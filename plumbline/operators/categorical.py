@@ -7,9 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import MAX_INLINE_ENTRIES, bracketed, folded, full_match, mapped
-from plumbline.operators.referential import unique_dimension
-from plumbline.sources.tables import written
+from plumbline.functions.text import bracketed, folded, full_match
+from plumbline.operators.lookups import with_lookup
 
 
 def value_frequency(df: DataFrame, column: str, where: Column | None = None) -> DataFrame:
@@ -26,14 +25,18 @@ def value_frequency(df: DataFrame, column: str, where: Column | None = None) ->
 def variant_rows(
     df: DataFrame, column: str, canonical: Sequence[str], watch: Sequence[str] = ()
 ) -> DataFrame:
-    """Rows that equal a canonical value only after folding, or that hold a watched value."""
+    """Rows that equal a canonical value only after folding, or that hold a watched value.
+
+    A canonical value itself is never a variant, also where two of them fold alike.
+    """
     value = F.col(column)
-    by_fold = {c.strip().lower(): c for c in canonical}
-    meant = mapped(folded(value), by_fold)
-    is_variant = meant.isNotNull() & (value != meant)
+    rows = with_lookup(df, folded(value), {c.strip().lower(): True for c in canonical}, "_fold", "_folds")
+    rows = with_lookup(rows, value, {c: True for c in canonical}, "_same", "_exact")
+    is_variant = F.col("_folds") & ~F.col("_exact")
     if watch:
-        is_variant = is_variant | value.isin(*watch)
-    return df.filter(is_variant)
+        rows = with_lookup(rows, value, {w: True for w in watch}, "_watch", "_watched")
+        is_variant = is_variant | F.col("_watched")
+    return rows.filter(is_variant).select(*df.columns)
 
 
 def standardize_map(
@@ -47,24 +50,16 @@ def standardize_map(
     """Add the standard form of a category beside the raw value.
 
     Unlisted values become NULL, or stay as trimmed text with ``keep_unmapped``. A mapping may
-    be a table with columns ``value`` and ``standard``; it is then joined, and Spark broadcasts
-    it only while its size is under the session's threshold. Two standards for one value stop
-    the job.
+    be a table of value and standard; it is then joined, and Spark broadcasts it only while its
+    size is under the session's threshold. Two standards for one value stop the job.
     """
-    value = folded(F.col(column)) if fold else F.col(column)
-    default = F.trim(F.col(column)) if keep_unmapped else None
     if isinstance(mapping, DataFrame):
-        pairs = mapping.select(F.col("value").alias("_value"), F.col("standard").alias("_std"))
-        pairs = pairs.filter(F.col("_value").isNotNull())
-        table = written(unique_dimension(pairs, "_value"), "mapping")
-        found = df.join(table, value == F.col("_value"), "left")
-        std = F.col("_std") if default is None else F.coalesce("_std", default)
-        return found.withColumn(output, std).drop("_value", "_std")
-    if len(mapping) > MAX_INLINE_ENTRIES:
-        spark = df.sparkSession
-        table = spark.createDataFrame(list(mapping.items()), "value string, standard string")
-        return standardize_map(df, column, table, output, fold, keep_unmapped)
-    return df.withColumn(output, mapped(value, mapping, default))
+        mapping = mapping.select("value", "standard")
+    value = folded(F.col(column)) if fold else F.col(column)
+    rows = with_lookup(df, value, mapping, "_std", "_listed")
+    other = F.trim(F.col(column)) if keep_unmapped else F.lit(None)
+    std = F.when(F.col("_listed"), F.col("_std")).otherwise(other)
+    return rows.withColumn(output, std).drop("_std", "_listed")
 
 
 def mapping_report(df: DataFrame, column: str, standard: str) -> DataFrame:
@@ -81,22 +76,14 @@ def keyed_correction(
 ) -> DataFrame:
     """Override a value for listed keys; the raw column stays and ``<output>_corrected`` says so.
 
-    Large fix lists come as a table with columns ``key`` and ``value``; two values for one key
-    stop the job.
+    A listed NULL takes the value away. Fixes may be a table with columns ``key`` and ``value``;
+    two values for one key stop the job.
     """
-    flag = f"{output}_corrected"
     if isinstance(fixes, DataFrame):
-        pairs = fixes.select(F.col("key").alias("_key"), F.col("value").alias("_fix"))
-        pairs = pairs.filter(F.col("_key").isNotNull())
-        table = written(unique_dimension(pairs, "_key"), "fixes")
-        joined = df.join(table, F.col(key) == F.col("_key"), "left")
-        return joined.select(
-            *[F.col(c) for c in df.columns],
-            F.coalesce("_fix", column).alias(output),
-            F.col("_fix").isNotNull().alias(flag),
-        )
-    fix = mapped(F.col(key), fixes)
-    return df.withColumns({output: F.coalesce(fix, F.col(column)), flag: fix.isNotNull()})
+        fixes = fixes.select("key", "value")
+    rows = with_lookup(df, F.col(key), fixes, "_fix", "_listed")
+    fixed = F.when(F.col("_listed"), F.col("_fix")).otherwise(F.col(column))
+    return rows.select(*df.columns, fixed.alias(output), F.col("_listed").alias(f"{output}_corrected"))
 
 
 def format_check(df: DataFrame, column: str, pattern: str) -> DataFrame:

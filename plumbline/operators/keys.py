@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,14 +46,24 @@ def key_profile(df: DataFrame, key: str) -> DataFrame:
 
 
 def composite_key_profile(df: DataFrame, keysets: Sequence[Sequence[str]]) -> DataFrame:
-    """Rows and distinct values of each candidate key; one narrow scan and shuffle per key.
+    """Rows and distinct values of each candidate key.
 
     A single-column key counts populated values; a row of several columns counts even where
-    parts are NULL.
+    parts are NULL. A key set within another one is counted from the groups of that one, so
+    nested sets share one scan of the table.
     """
-
-    def profile(columns: Sequence[str]) -> DataFrame:
-        groups = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    sets = [list(columns) for columns in keysets]
+    widest = {i: max((j for j in range(len(sets)) if set(sets[i]) <= set(sets[j])),
+                     key=lambda j: (len(set(sets[j])), -j)) for i in range(len(sets))}
+
+    def folded(columns: Sequence[str], rows: DataFrame, weight: Column) -> DataFrame:
+        return rows.groupBy(*dict.fromkeys(columns)).agg(F.sum(weight).alias("n"))
+
+    def profile(i: int) -> DataFrame:
+        columns = sets[i]
+        groups = folded(sets[widest[i]], df.select(*dict.fromkeys(sets[widest[i]])), F.lit(1))
+        if widest[i] != i:
+            groups = folded(columns, groups, F.col("n"))
         distinct = F.count(F.col(columns[0]) if len(columns) == 1 else F.lit(1))
         return groups.agg(
             F.lit(",".join(columns)).alias("key_columns"),
@@ -62,7 +72,7 @@ def composite_key_profile(df: DataFrame, keysets: Sequence[Sequence[str]]) -> Da
             F.count_if(F.col("n") > 1).alias("repeated_keys"),
         )
 
-    return reduce(DataFrame.unionAll, [profile(list(columns)) for columns in keysets])
+    return reduce(DataFrame.unionAll, [profile(i) for i in range(len(sets))])
 
 
 def duplicate_keys(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
@@ -102,28 +112,46 @@ class ConflictingDuplicates(ValueError):
     """Rows share a key but differ; keeping one of them would be a guess."""
 
 
-def require_consistent(df: DataFrame, keys: str | Sequence[str]) -> None:
-    """Raise if rows that share a key differ. Only keys and row hashes are shuffled."""
+def require_consistent(df: DataFrame, keys: str | Sequence[str], null_keys: str = "keep") -> None:
+    """Raise if rows that share a key differ, comparing every column by value. Runs a job.
+
+    Minimum, maximum and populated rows of each column are folded before the shuffle. With
+    ``null_keys="conflict"`` a NULL key counts as a key; otherwise rows without one are not checked.
+    """
     keys = as_list(keys)
-    row = F.xxhash64(*df.columns)
-    ends = df.groupBy(*keys).agg(F.min(row).alias("_low"), F.max(row).alias("_high"))
-    conflict = ends.filter(F.col("_low") != F.col("_high")).select(*keys).take(1)
+    if null_keys != "conflict":
+        df = df.dropna(subset=keys)
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    parts = [F.to_json(c) if "map<" in kinds[c] else F.col(c) for c in df.columns if c not in keys]
+    aggregates = [F.count(F.lit(1)).alias("_n")]
+    for i, c in enumerate(parts):
+        aggregates += [F.min(c).alias(f"_lo{i}"), F.max(c).alias(f"_hi{i}"), F.count(c).alias(f"_n{i}")]
+    differs = reduce(lambda a, b: a | b, [
+        (F.col(f"_lo{i}") != F.col(f"_hi{i}")) | ((F.col(f"_n{i}") > 0) & (F.col(f"_n{i}") < F.col("_n")))
+        for i in range(len(parts))], F.lit(False))
+    conflict = df.groupBy(*keys).agg(*aggregates).filter(differs).select(*keys).take(1)
     if conflict:
         raise ConflictingDuplicates(f"differing rows for {conflict[0].asDict()}")
 
 
 def dedup_exact(
-    df: DataFrame, keys: str | Sequence[str] | None = None, on_conflict: str = "error"
+    df: DataFrame, keys: str | Sequence[str] | None = None, on_conflict: str = "error",
+    null_keys: str = "keep",
 ) -> DataFrame:
     """Keep one of each set of equal rows; rows are dropped on full equality, never on a hash.
 
-    With ``keys`` the result must be unique on them: ``on_conflict="error"`` runs a check and
-    raises, ``"keep"`` leaves all differing rows in place for review.
+    With ``keys`` the result must be unique on them: ``on_conflict="error"`` runs a check at once
+    and raises, ``"keep"`` leaves all differing rows in place for review. Rows without a key stay
+    (``null_keys="keep"``), go (``"drop"``) or are held to the rule like any key (``"conflict"``).
     """
     if on_conflict not in ("error", "keep"):
         raise ValueError("on_conflict is 'error' or 'keep'")
+    if null_keys not in ("keep", "drop", "conflict"):
+        raise ValueError("null_keys is 'keep', 'drop' or 'conflict'")
+    if keys is not None and null_keys == "drop":
+        df = df.dropna(subset=as_list(keys))
     if keys is not None and on_conflict == "error":
-        require_consistent(df, keys)
+        require_consistent(df, keys, null_keys)
     return df.distinct()
 
 

@@ -9,15 +9,31 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.shaping import any_of, rows_from
 
-REPORT_TYPE = "decimal(38,6)"
+EXACT_TYPE = "decimal(38,6)"
+
+
+def _floating(df: DataFrame, column: Column) -> bool:
+    return df.select(column).schema[0].dataType.simpleString() in ("float", "double")
+
+
+def _report_type(df: DataFrame, columns: Sequence[Column]) -> str:
+    """Type in which extremes of several columns are reported: double as soon as one is floating,
+    so that infinity, NaN and tiny values show as they are; else a decimal of enough places."""
+    if any(_floating(df, c) for c in columns):
+        return "double"
+    scales = [getattr(f.dataType, "scale", 0) for f in df.select(*columns).schema.fields]
+    return EXACT_TYPE if max(scales, default=0) <= 6 else f"decimal(38,{max(scales)})"
 
 
 def range_profile(df: DataFrame, columns: Sequence[str], low=None, high=None) -> DataFrame:
-    """Minimum, maximum, zeros, negatives, and rows below, at and above the bounds."""
-    aggregates = []
+    """Minimum, maximum, zeros, negatives, rows below, at and above the bounds, and rows that are
+    no finite number. NaN counts as greater than everything, as it sorts."""
+    aggregates, kind = [], _report_type(df, [F.col(c) for c in columns])
     for i, c in enumerate(columns):
         v = F.col(c)
         tests = {"zero": v == 0, "negative": v < 0}
+        whole = v if _floating(df, v) else F.lit(0.0)
+        tests |= {"nan": F.isnan(whole), "infinite": F.abs(whole) == float("inf")}
         if low is not None:
             tests |= {"below_low": v < low, "at_low": v == low}
         if high is not None:
@@ -32,8 +48,8 @@ def range_profile(df: DataFrame, columns: Sequence[str], low=None, high=None) ->
             "column_name": F.lit(c),
             "total_rows": F.col("total"),
             "testable": F.col(f"testable{i}"),
-            "minimum": F.col(f"min{i}").cast(REPORT_TYPE),
-            "maximum": F.col(f"max{i}").cast(REPORT_TYPE),
+            "minimum": F.col(f"min{i}").cast(kind),
+            "maximum": F.col(f"max{i}").cast(kind),
             **{f"{name}_count": F.col(f"{name}{i}") for name in names},
         }
         for i, c in enumerate(columns)
@@ -42,7 +58,7 @@ def range_profile(df: DataFrame, columns: Sequence[str], low=None, high=None) ->
 
 def fractional_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NULLs, values with a fraction, minimum and maximum per column."""
-    aggregates = []
+    aggregates, kind = [], _report_type(df, [F.col(c) for c in columns])
     for i, c in enumerate(columns):
         v = F.col(c)
         aggregates += [F.count(v).alias(f"n{i}"), F.count_if(v % 1 != 0).alias(f"f{i}"),
@@ -53,8 +69,8 @@ def fractional_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             "column_name": F.lit(c),
             "null_count": F.col("total") - F.col(f"n{i}"),
             "fractional_count": F.col(f"f{i}"),
-            "minimum": F.col(f"lo{i}").cast(REPORT_TYPE),
-            "maximum": F.col(f"hi{i}").cast(REPORT_TYPE),
+            "minimum": F.col(f"lo{i}").cast(kind),
+            "maximum": F.col(f"hi{i}").cast(kind),
         }
         for i, c in enumerate(columns)
     ])
@@ -76,20 +92,23 @@ def scale_loss_profile(
 
 
 def precision_profile(df: DataFrame, columns: Mapping[str, Column] | Sequence[str]) -> DataFrame:
-    """Largest absolute value of each column or expression, and the integer digits it needs."""
+    """Largest absolute value of each column or expression, and the integer digits it needs (NULL
+    when that value is no finite number)."""
     if not isinstance(columns, Mapping):
         columns = {c: F.col(c) for c in columns}
     names = list(columns)
+    kind = _report_type(df, list(columns.values()))
     one_row = df.agg(*[F.max(F.abs(columns[c])).alias(f"m{i}") for i, c in enumerate(names)])
 
     def digits(value: Column) -> Column:
-        whole = F.floor(value.cast(REPORT_TYPE)).cast("decimal(32,0)")
+        whole = F.floor(value.cast("decimal(38,6)")) if kind != "double" else value - value % 1
+        whole = whole.try_cast("decimal(38,0)")
         return F.when(whole == 0, 0).otherwise(F.length(whole.cast("string"))).cast("bigint")
 
     return rows_from(one_row, [
         {
             "column_name": F.lit(c),
-            "max_abs": F.col(f"m{i}").cast(REPORT_TYPE),
+            "max_abs": F.col(f"m{i}").cast(kind),
             "integer_digits": digits(F.col(f"m{i}")),
         }
         for i, c in enumerate(names)

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.text import MAX_INLINE_ENTRIES
 from plumbline.operators.shaping import all_of, any_of, as_list
 from plumbline.sources.tables import written
 
@@ -79,27 +78,26 @@ def key_presence(tables: Mapping[str, tuple[DataFrame, str]], value) -> DataFram
 def lookup_rows(
     df: DataFrame, column: str, values: Sequence | DataFrame, select: Sequence[str] = ()
 ) -> DataFrame:
-    """Rows of listed keys. A long list becomes a semi join, a short one a pushed-down filter."""
+    """Rows of listed keys, their columns in place. A list becomes a filter that reaches the scan
+    (beyond a few hundred values Spark tests a hash set), a table a semi join."""
     if not isinstance(values, DataFrame):
-        listed = list(dict.fromkeys(values))
-        if len(listed) <= MAX_INLINE_ENTRIES:
-            found = df.filter(F.col(column).isin(*listed))
-            return found.select(*select) if select else found
-        kind = df.schema[column].dataType.simpleString()
-        values = df.sparkSession.createDataFrame([(v,) for v in listed], f"{column} {kind}")
-    keys = written(values.select(F.col(values.columns[0]).alias(column)).distinct(), "keys")
-    found = df.join(keys, column, "left_semi")
+        found = df.filter(F.col(column).isin(*dict.fromkeys(values)))
+    else:
+        keys = written(values.select(F.col(values.columns[0]).alias("_key")).distinct(), "keys")
+        found = df.join(keys, F.col(column) == F.col("_key"), "left_semi")
     return found.select(*select) if select else found
 
 
 def unique_dimension(dim: DataFrame, keys: str | Sequence[str]) -> DataFrame:
     """One row per key of a dimension with exact duplicates; differing rows stop the job.
 
+    Rows with a NULL part in their key can join nothing and are left out.
     Grouping on the key alone lets the join that follows reuse the exchange, and plain minima
     and maxima keep numbers and dates in hash aggregation.
     """
     keys = as_list(keys)
     rest = [c for c in dim.columns if c not in keys]
+    dim = dim.dropna(subset=keys)
     if not rest:
         return dim.distinct()
     aggregates = [F.count(F.lit(1)).alias("_n")]

@@ -8,10 +8,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_GRID = 100_000
 # In the order of 2 * (first matches) + (second matches).
 OUTCOMES = ("neither", "second_only", "first_only", "both")
 
@@ -122,26 +121,26 @@ def candidate_search(
     """Try every value of a grid on each row and keep those that reproduce the target exactly.
 
     The grid runs from ``start`` to ``stop`` (inclusive) in steps of ``10**-scale``, given in
-    those steps. It is tested inside the row, so rows are neither joined nor multiplied;
-    only matches leave. ``matching_candidates`` is 1 where the solution is unique.
+    those steps. Each row is dealt one grid value after the other and tested by compiled code;
+    only matches leave the task, so the grid may have any length. ``matching_candidates`` is 1
+    where the solution is unique.
     """
     size = stop - start + 1
-    if not 0 < size <= MAX_GRID:
-        raise ValueError(f"a grid holds 1 to {MAX_GRID} values, not {size}")
+    if size < 1:
+        raise ValueError("the grid is empty")
     kind = f"decimal({len(str(max(abs(start), abs(stop)))) + scale + 1},{scale})"
     step = F.lit(1).cast(f"decimal({scale + 1},{scale})") / (10**scale)
     step = step.cast(f"decimal({scale + 1},{scale})")
-    grid = F.transform(
-        F.sequence(F.lit(start), F.lit(stop)),
-        lambda i: (i.cast("decimal(18,0)") * step).cast(kind),
-    )
-    matches = F.filter(grid, lambda value: formula(value) == target)
+    # The target is worked out once per row, and rows with the same number keep one identity.
+    numbered = df.withColumns({"_target": target, "_row": F.monotonically_increasing_id()})
+    tried = numbered.withColumn("_i", F.explode(F.sequence(F.lit(start), F.lit(stop))))
+    tried = tried.withColumn("candidate", (F.col("_i").cast("decimal(18,0)") * step).cast(kind))
+    matches = tried.filter(formula(F.col("candidate")) == F.col("_target"))
+    per_row = Window.partitionBy("_row")
     return (
-        df.withColumn("_matches", matches)
-        .withColumn("candidates_tried", F.lit(size).cast("bigint"))
-        .withColumn("matching_candidates", F.size("_matches").cast("bigint"))
-        .withColumn("candidate", F.explode("_matches"))
-        .drop("_matches")
+        matches.withColumn("candidates_tried", F.lit(size).cast("bigint"))
+        .withColumn("matching_candidates", F.count(F.lit(1)).over(per_row))
+        .select(*df.columns, "candidates_tried", "matching_candidates", "candidate")
     )
 
 

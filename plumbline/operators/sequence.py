@@ -74,8 +74,8 @@ def affected_histories(
     fell = monotonic_violations(narrow, entity, order, column, ranges)
     for date_column, day in (at or {}).items():
         fell = fell.filter(F.col(date_column) == F.lit(day))
-    entities = written(fell.select(entity).distinct(), "affected-entities")
-    return df.join(entities, entity, "left_semi")
+    entities = written(fell.select(F.col(entity).alias("_entity")).distinct(), "affected-entities")
+    return df.join(entities, F.col(entity) == F.col("_entity"), "left_semi")
 
 
 def entity_history(

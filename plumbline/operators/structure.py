@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plumbline.functions.parsing import parse_ymd
 from plumbline.operators.shaping import as_list, rows_from, sql_type
 
 
@@ -35,9 +37,13 @@ def preview(df: DataFrame, n: int, key: str | list[str]) -> DataFrame:
 
 
 def type_parse_counts(df: DataFrame, column: str, target: str) -> DataFrame:
-    """Type found by the reader, and how many populated values convert to ``target``."""
+    """Type found by the reader, and how many populated values convert to ``target``.
+
+    Text is a date only with a full year, month and day, as ``parse_ymd`` has it.
+    """
     value = F.col(column)
-    parsed = value.try_cast(target)
+    is_text = isinstance(df.schema[column].dataType, T.StringType)
+    parsed = parse_ymd(value) if target == "date" and is_text else value.try_cast(target)
     return df.agg(
         F.count(F.lit(1)).alias("total_rows"),
         F.count(value).alias("populated"),

@@ -4,6 +4,7 @@ from plumbline.plans import (  # noqa: F401
     cleaning_queries,
     entity_queries,
     history_queries,
+    open_checks,
     profile_queries,
     rule_queries,
     value_queries,

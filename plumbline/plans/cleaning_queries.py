@@ -237,7 +237,7 @@ def enrich_report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return referential.enrich_report(table(spark, sf_dir, "lineitem"), parts, "l_partkey")
 
 
-@query("""SELECT column_name, CAST(v AS DECIMAL(38,6)) AS max_abs,
+@query("""SELECT column_name, CAST(v AS DOUBLE) AS max_abs,
   length(CAST(CAST(floor(v) AS BIGINT) AS VARCHAR))::BIGINT AS integer_digits FROM (
   SELECT 'l_extendedprice' AS column_name, MAX(ABS(l_extendedprice)) AS v FROM lineitem
   UNION ALL SELECT 'l_quantity', MAX(ABS(l_quantity)) FROM lineitem)""")

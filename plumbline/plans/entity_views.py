@@ -22,9 +22,15 @@ CATEGORY_LABELS = [
     "Subcontractors", "Materials", "Permits ",
 ]
 TRADE_LABELS = ["Carpenter", "Laborer", "Finisher", "Superintendent", "carpenter ", "General Labor"]
+CHANGE_STATUSES = ["approved", "pending", "Approved", "PENDING ", "rejected"]
+DELAY_REASONS = ["weather", "Weather ", "permit delay", "none", "material shortage"]
+SUBMITTERS = ["superintendent", "project manager", "Project Manager"]
 PAID_AS = {"f": "paid", "o": "approved", "p": "pending"}
 
 _CATEGORY_LIST = ", ".join(f"'{c}'" for c in CATEGORY_LABELS)
+_CHANGE_LIST = ", ".join(f"'{c}'" for c in CHANGE_STATUSES)
+_REASON_LIST = ", ".join(f"'{r}'" for r in DELAY_REASONS)
+_SUBMITTER_LIST = ", ".join(f"'{n}'" for n in SUBMITTERS)
 _TRADE_LIST = ", ".join(f"'{t}'" for t in TRADE_LABELS)
 
 ENTITY_SQL = {
@@ -78,6 +84,17 @@ A AS (SELECT format('UPD{:05d}', event_id) AS update_id, 'P' || user_id AS proje
   CASE WHEN event_id % 499 = 0 THEN NULL
        ELSE CAST(report_date + CAST(event_id % 40 - 10 AS INTEGER) AS TIMESTAMP) END
     AS forecast_completion_date FROM U)""",
+    "C": f"""
+C AS (SELECT format('CO{{:06d}}', o_orderkey - o_orderkey % 2 * (o_orderkey % 7 // 6)) AS change_order_id,
+  'P' || o_custkey AS project_id, CASE WHEN o_orderkey % 12 = 0 THEN 'deductive' ELSE 'additive' END AS change_order_type,
+  [{_CHANGE_LIST}][o_orderkey % 5 + 1] AS status, price_text AS approved_revenue_change,
+  CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE date_text END AS approval_date FROM O)""",
+    "D": f"""
+D AS (SELECT format('UPD{{:05d}}', event_id) AS update_id, 'P' || user_id AS project_id, actual_pct,
+  CASE WHEN event_id % 6 = 0 THEN NULL ELSE [{_REASON_LIST}][event_id % 5 + 1] END AS primary_delay_reason,
+  [{_SUBMITTER_LIST}][event_id % 3 + 1] AS submitted_by,
+  CASE WHEN event_id % 401 = 0 THEN NULL ELSE CAST((100 - COALESCE(actual_pct, 0)) * (event_id % 977)
+    AS DECIMAL(18,4)) END AS estimated_cost_to_complete FROM U)""",
 }
 views.SQL.update(ENTITY_SQL)
 
@@ -168,3 +185,29 @@ def updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("planned_pct").alias("planned_pct_complete"),
         F.when(key % 499 != 0, forecast).alias("forecast_completion_date"),
     )
+
+
+def change_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change orders: some ids occur twice, statuses vary in writing, approvals are partly open."""
+    key = F.col("o_orderkey")
+    return orders_view(spark, sf_dir).select(
+        F.format_string("CO%06d", key - key % 2 * F.floor(key % 7 / 6)).alias("change_order_id"),
+        _numbered("P", F.col("o_custkey")).alias("project_id"),
+        F.when(key % 12 == 0, "deductive").otherwise("additive").alias("change_order_type"),
+        _label(CHANGE_STATUSES, key).alias("status"),
+        F.col("price_text").alias("approved_revenue_change"),
+        F.when(key % 3 != 0, F.col("date_text")).alias("approval_date"),
+    )
+
+
+def update_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of the updates that say why, by whom and how much is still to be spent."""
+    key = F.col("event_id")
+    left = (F.lit(100) - F.coalesce("actual_pct", F.lit(0))) * (key % 977)
+    return updates_view(spark, sf_dir).select(
+        F.format_string("UPD%05d", key).alias("update_id"),
+        _numbered("P", F.col("user_id")).alias("project_id"), "actual_pct",
+        F.when(key % 6 != 0, _label(DELAY_REASONS, key)).alias("primary_delay_reason"),
+        _label(SUBMITTERS, key).alias("submitted_by"),
+        F.when(key % 401 != 0, left.cast("decimal(18,4)")).alias("estimated_cost_to_complete"),
+    )

@@ -218,3 +218,10 @@ def exposure_summary_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exposure.exposure_summary(
         orders_view(spark, sf_dir), "status_raw", normalize_money(F.col("price_text"), 18, 2),
         incurred=["f", "o"], pending=["p"])
+
+
+@query("""SELECT o_orderkey, o_custkey, status_raw FROM O WHERE o_orderkey % 3 = 0 AND o_orderkey < 1200""", "O")
+def lookup_rows_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four hundred listed keys."""
+    return referential.lookup_rows(
+        orders_view(spark, sf_dir), "o_orderkey", range(0, 1200, 3), ["o_orderkey", "o_custkey", "status_raw"])

@@ -57,7 +57,7 @@ def _orders_csv(spark: SparkSession, sf_dir: str) -> str:
     })
     # The writer would otherwise trim outer spaces.
     rows.write.options(
-        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
     ).csv(path)
     return path
 
@@ -256,3 +256,13 @@ def missing_rows_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
   GROUP BY status_raw""", "O")
 def missing_by_group_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return completeness.missing_by_group(orders_view(spark, sf_dir), "o_custkey", ["status_raw"])
+
+
+@query("""SELECT doc_id, text, n_chars FROM documents""")
+def csv_ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with quotes, commas and line breaks, written as CSV with doubled quotes and read by name."""
+    path = shared_folder(spark, "documents-csv")
+    rows = table(spark, sf_dir, "documents").select("n_chars", "text", "doc_id")
+    rows.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False,
+                       ignoreTrailingWhiteSpace=False).csv(path)
+    return csv_ingest(spark, path, "doc_id bigint, text string, n_chars bigint", multiline=True)

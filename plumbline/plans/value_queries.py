@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import parsing as parse
-from plumbline.operators import categorical, numeric, parsing
+from plumbline.operators import categorical, numeric, parsing, structure
 from plumbline.plans.registry import query
 from plumbline.plans.tables import table
 from plumbline.plans.views import lines_view, orders_view, updates_view
@@ -187,12 +187,14 @@ def midnight_check_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsing.midnight_check(table(spark, sf_dir, "events"), "ts")
 
 
-def _range_sql(table: str, columns: list[str], low: str, high: str) -> str:
+def _range_sql(table: str, columns: list[str], low: str, high: str, kind: str = "DECIMAL(38,6)") -> str:
     return "\nUNION ALL ".join(
         f"""SELECT '{c}' AS column_name, COUNT(*) AS total_rows, COUNT({c}) AS testable,
-        CAST(MIN({c}) AS DECIMAL(38,6)) AS minimum, CAST(MAX({c}) AS DECIMAL(38,6)) AS maximum,
+        CAST(MIN({c}) AS {kind}) AS minimum, CAST(MAX({c}) AS {kind}) AS maximum,
         COUNT(*) FILTER (WHERE {c} = 0) AS zero_count,
         COUNT(*) FILTER (WHERE {c} < 0) AS negative_count,
+        COUNT(*) FILTER (WHERE isnan(CAST({c} AS DOUBLE))) AS nan_count,
+        COUNT(*) FILTER (WHERE isinf(CAST({c} AS DOUBLE))) AS infinite_count,
         COUNT(*) FILTER (WHERE {c} < {low}) AS below_low_count,
         COUNT(*) FILTER (WHERE {c} = {low}) AS at_low_count,
         COUNT(*) FILTER (WHERE {c} > {high}) AS above_high_count,
@@ -201,7 +203,7 @@ def _range_sql(table: str, columns: list[str], low: str, high: str) -> str:
     )
 
 
-@query(_range_sql("customer", ["c_acctbal"], "0", "9000"))
+@query(_range_sql("customer", ["c_acctbal"], "0", "9000", "DOUBLE"))
 def range_profile_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numeric.range_profile(table(spark, sf_dir, "customer"), ["c_acctbal"], 0, 9000)
 
@@ -216,7 +218,7 @@ def _fraction_sql(table: str, columns: list[str]) -> str:
     return "\nUNION ALL ".join(
         f"""SELECT '{c}' AS column_name, COUNT(*) - COUNT({c}) AS null_count,
         COUNT(*) FILTER (WHERE {c} <> TRUNC({c})) AS fractional_count,
-        CAST(MIN({c}) AS DECIMAL(38,6)) AS minimum, CAST(MAX({c}) AS DECIMAL(38,6)) AS maximum
+        CAST(MIN({c}) AS DOUBLE) AS minimum, CAST(MAX({c}) AS DOUBLE) AS maximum
         FROM {table}"""
         for c in columns
     )
@@ -315,3 +317,25 @@ def threshold_crosstab_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def range_profile_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numeric.range_profile(
         lines_view(spark, sf_dir), ["price", "disc", "tax", "recorded"], 0, 100000)
+
+
+@query("""SELECT 'VARCHAR' AS inferred_type, COUNT(*) AS total_rows, COUNT(date_text) AS populated,
+  COUNT(TRY_CAST(date_text AS DATE)) AS parsed,
+  COUNT(*) FILTER (WHERE date_text IS NOT NULL AND TRY_CAST(date_text AS DATE) IS NULL) AS failed FROM O""", "O")
+def type_parse_counts_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many date texts are full dates."""
+    return structure.type_parse_counts(orders_view(spark, sf_dir), "date_text", "date")
+
+
+MANY_FIXES = {key: key + 7 for key in range(4, 2004, 4)}
+
+
+@query("""SELECT *, CASE WHEN o_orderkey % 4 = 0 AND o_orderkey BETWEEN 4 AND 2003 THEN o_orderkey + 7 ELSE o_custkey END
+    AS std_custkey, COALESCE(o_orderkey % 4 = 0 AND o_orderkey BETWEEN 4 AND 2003, FALSE) AS std_custkey_corrected
+  FROM O""", "O")
+def keyed_correction_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five hundred listed fixes."""
+    return categorical.keyed_correction(
+        orders_view(spark, sf_dir), "o_orderkey", "o_custkey",
+        {k: v for k, v in MANY_FIXES.items()}, "std_custkey").withColumn(
+        "std_custkey", F.col("std_custkey").cast("bigint"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def read_table(
@@ -18,40 +20,93 @@ def read_table(
     return reader.parquet(f"{folder}/{name}.parquet")
 
 
+class BadRows(ValueError):
+    """A CSV table does not fit the schema asked for."""
+
+
+CORRUPT = "_corrupt_record"
+BAD_VALUES = "_bad_values"
+
+
 def csv_ingest(
     spark: SparkSession,
     path: str,
     schema: StructType | str | None = None,
     typed: bool = False,
     multiline: bool = False,
+    on_bad: str = "fail",
 ) -> DataFrame:
-    """Load CSV with a header.
+    """Load CSV with a header; quotes inside quoted fields are doubled.
 
     Without a schema every column is text, which costs no extra pass and lets the parse
     operators report what would not convert. ``typed=True`` infers the types and reads the
     file twice. ``multiline`` accepts line breaks inside quotes but makes a file unsplittable.
+
+    A schema is matched with the header by name, in any order. A line with too many or too few
+    fields, or a value that does not convert, stops the job (``on_bad="fail"``), or is kept and
+    flagged (``"flag"``): ``_corrupt_record`` then holds the line, and ``_bad_values`` names the
+    columns whose text became NULL. The header line is read at once.
     """
-    reader = spark.read.option("header", True).option("multiLine", multiline)
-    if schema is not None:
-        reader = reader.schema(schema)
-    elif typed:
-        reader = reader.option("inferSchema", True)
-    return reader.csv(path)
+    if on_bad not in ("fail", "flag"):
+        raise ValueError("on_bad is 'fail' or 'flag'")
+    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
+    if typed and schema is None:
+        return reader.option("inferSchema", True).csv(path)
+    names = reader.csv(path).columns
+    text = StructType([StructField(n, StringType()) for n in [*names, CORRUPT]])
+    rows = reader.schema(text).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    if on_bad == "fail":
+        # Every kept column hangs on the check, so a narrow read of the table is checked too.
+        stop = F.raise_error(F.concat(F.lit("malformed CSV line: "), F.col(CORRUPT)))
+        rows = rows.select(*[F.when(F.col(CORRUPT).isNotNull(), stop.cast("string")).otherwise(F.col(n)).alias(n)
+                             for n in names])
+    if schema is None:
+        return rows
+    kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if missing := [f.name for f in kinds if f.name not in names]:
+        raise BadRows(f"no column {', '.join(missing)} in the header {', '.join(names)}")
+    values, bad = [], []
+    for f in kinds:
+        raw = F.col(f.name)
+        value = raw if isinstance(f.dataType, StringType) else raw.try_cast(f.dataType)
+        failed = raw.isNotNull() & value.isNull()
+        bad.append(F.when(failed, F.lit(f.name)))
+        if on_bad == "fail" and not isinstance(f.dataType, StringType):
+            stop = F.raise_error(F.concat(F.lit(f"{f.name}: does not convert: "), raw)).cast(f.dataType)
+            value = F.when(failed, stop).otherwise(value)
+        values.append(value.alias(f.name))
+    if on_bad == "fail":
+        return rows.select(*values)
+    return rows.select(*values, CORRUPT, F.array_compact(F.array(*bad)).alias(BAD_VALUES))
 
 
 def write_cleaned(
     df: DataFrame, path: str, raw_paths: Sequence[str] = (), partition_by: Sequence[str] = ()
 ) -> DataFrame:
-    """Write a cleaned table to Parquet and read it back; raw inputs are never written over."""
+    """Write a cleaned table to Parquet and read it back with its own types and column order.
+
+    Raw inputs are never written over. An empty text in a partition column would come back as
+    NULL and stops the job.
+    """
     spark = df.sparkSession
     for raw in raw_paths:
-        if path.rstrip("/").startswith(raw.rstrip("/")):
+        if _parts(path)[:len(_parts(raw))] == _parts(raw):
             raise ValueError(f"{path} lies in the raw input {raw}")
-    writer = df.write.mode("errorifexists")
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    checked = df
+    for c in partition_by:
+        if isinstance(kinds[c], StringType):
+            stop = F.raise_error(F.lit(f"empty text in partition column {c}")).cast("string")
+            checked = checked.withColumn(c, F.when(F.col(c) == "", stop).otherwise(F.col(c)))
+    writer = checked.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def _parts(path: str) -> list[str]:
+    return [part for part in path.removeprefix("file:").split("/") if part]
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
@@ -65,6 +120,9 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+_MADE: list[str] = []
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """New folder name in the shared storage the cluster names in ``spark.checkpoint.dir``.
 
@@ -75,4 +133,22 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to storage that all executors share")
         base = tempfile.mkdtemp(prefix="plumbline-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _MADE.append(f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[None]:
+    """Deletes the shared folders that operators made inside the block when it ends.
+
+    Results must be written or collected inside it: they may still read those folders.
+    """
+    begin = len(_MADE)
+    try:
+        yield
+    finally:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in _MADE[begin:]:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+        del _MADE[begin:]

@@ -251,8 +251,10 @@ def test_candidate_grid_finds_the_single_solution(spark):
         target, 2700, 6800, 2, lambda c: F.round(F.col("hours") * c, 2), F.col("cost")))
     assert [(r["candidate"], r["matching_candidates"], r["candidates_tried"]) for r in found] == [
         (D("38.96"), 1, 4101)]
+    wide = rows(rules.candidate_search(target, 0, 200_000, 2, lambda c: c, F.col("cost")))
+    assert [(r["candidate"], r["matching_candidates"]) for r in wide] == [(D("1697.49"), 1)]
     with pytest.raises(ValueError):
-        rules.candidate_search(target, 0, 10**7, 2, lambda c: c, F.col("cost"))
+        rules.candidate_search(target, 2, 1, 2, lambda c: c, F.col("cost"))
 
 
 def test_dates(spark):
