@@ -30,13 +30,14 @@ from plumbline.llm.graph import components
 from plumbline.llm.shared import BROADCAST_IDS, mix, scratch, semi_join_ids, shingle_sets, signed
 
 SHINGLE = 5
-STARS = 6          # min-hashes per class in the star pass
+STARS = 16         # min-hashes per class in the star pass; two by two they make its buckets
 BLOCK = 512        # classes of one side of a tile
-HINTS = 65_536     # frequent shingles that the order knows of; they only steer the speed
+NARROW = 8         # 64-bit words of the bitmaps that are dealt to tiles
+HINTS = 131_072    # frequent shingles that the order knows of; they only steer the speed
 CHUNK = 2_000_000  # shingles held at once while frequent ones are looked for
 
 _SKETCH = ("kind int, doc_id long, text_hash long, class_id long, n_shingles long, stars array<long>, "
-           "bitmap binary")
+           "bitmap binary, narrow binary")
 
 
 def class_of(hashes: np.ndarray) -> int:
@@ -49,8 +50,8 @@ def band_of(n: int, percent: int) -> int:
 
 
 def bitmap_of(hashes: np.ndarray) -> bytes:
-    """Parity bitmap, as wide as the next power of two above twice the size (64 bits at least)."""
-    width = max(64, 1 << (2 * max(1, len(hashes)) - 1).bit_length())
+    """Parity bitmap, as wide as the next power of two above twice the size (``NARROW`` words at least)."""
+    width = max(64 * NARROW, 1 << (2 * max(1, len(hashes)) - 1).bit_length())
     places = (mix(hashes) % np.uint64(width)).astype(np.int64)
     bits = (np.bincount(places, minlength=width) & 1).astype(np.uint8)
     return np.packbits(bits, bitorder="little").tobytes()
@@ -80,9 +81,9 @@ def _sketches(percent: int):
             counts = np.diff(at, append=len(values))
             at, counts = at[counts >= 3], counts[counts >= 3]
             n = len(at)
-            none = pd.array([None] * n, "Int64")
+            none, nothing = pd.array([None] * n, "Int64"), pd.Series([None] * n, dtype=object)
             return pd.DataFrame({"kind": np.ones(n, np.int32), "doc_id": none, "text_hash": none, "class_id": signed(values[at]), "n_shingles": counts,
-                                 "stars": [None] * n, "bitmap": [None] * n})
+                                 "stars": nothing, "bitmap": nothing, "narrow": nothing})
 
         for batch in batches:
             rows = []
@@ -90,7 +91,9 @@ def _sketches(percent: int):
                                          shingle_sets(batch["text"].tolist(), SHINGLE)):
                 c = class_of(h)
                 stars = (h * odd).min(axis=1).view(np.int64) if len(h) else []
-                rows.append((0, doc_id, digest, c, len(h), stars, bitmap_of(h)))
+                bits = bitmap_of(h)
+                rows.append((0, doc_id, digest, c, len(h), stars, bits,
+                             fold(np.frombuffer(bits, np.uint64), NARROW).tobytes()))
                 if len(h) and c not in held:
                     held[c] = h
                     size += len(h)
@@ -98,7 +101,7 @@ def _sketches(percent: int):
                     yield frequent()
                     held, size = {}, 0
             out = pd.DataFrame(rows, columns=["kind", "doc_id", "text_hash", "class_id", "n_shingles",
-                                              "stars", "bitmap"])
+                                              "stars", "bitmap", "narrow"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
         if held:
@@ -166,11 +169,10 @@ def bound_allows(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) ->
 def _tile_pairs(percent: int):
     """Pairs of one tile that differ in component and that size and bit counts allow.
 
-    Rows come sorted by tile; a tile has at most two blocks of each of two size bands. Pairs are
-    first bounded by bitmaps folded to one common width, then by the full ones.
+    Rows come sorted by tile; a tile has at most two blocks of each of two size bands. A pair that
+    several tiles of a batch hold is looked at once.
     """
     keys = ["shingle", "band", "block_a", "block_b"]
-    common = 8
 
     def pairs(batch: pd.DataFrame, starts: np.ndarray, ends: np.ndarray):
         n, comp, ids, high, block = (batch[c].to_numpy(np.int64) for c in (
@@ -201,19 +203,11 @@ def _tile_pairs(percent: int):
         new = np.concatenate([[True], (ids[i[1:]] != ids[i[:-1]]) | (ids[j[1:]] != ids[j[:-1]])])
         i, j = i[new], j[new]
         used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-        full = [np.frombuffer(b, np.uint64) for b in batch["bitmap"].iloc[used]]
-        # A narrower bitmap is repeated in zeros: it may only lower the count of differing bits.
-        narrow = np.zeros((len(used), common), np.uint64)
-        for k, bits in enumerate(full):
-            bits = fold(bits, common)
-            narrow[k, :len(bits)] = bits
+        bits = np.frombuffer(b"".join(batch["narrow"].iloc[used]), np.uint64).reshape(-1, NARROW)
         x, y = back[:len(i)], back[len(i):]
-        width = np.array([min(common, len(b)) for b in full])
-        differing = np.bitwise_count(narrow[x] ^ narrow[y]).sum(axis=1).astype(np.int64)
-        differing[width[x] != width[y]] = 0
+        differing = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1).astype(np.int64)
         most = np.minimum(np.minimum(n[i], n[j]), (n[i] + n[j] - differing) // 2)
         keep = np.flatnonzero(100 * most >= percent * (n[i] + n[j] - most))
-        keep = [k for k in keep if bound_allows(full[x[k]], full[y[k]], int(n[i[k]]), int(n[j[k]]), percent)]
         return pd.DataFrame({"a": ids[i[keep]], "b": ids[j[keep]]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -271,21 +265,22 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = scratch(
         sketch.filter("kind = 0 AND n_shingles > 0").groupBy("class_id").agg(
             F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
-            F.first("stars").alias("stars"), F.first("bitmap").alias("bitmap")), "classes")
+            F.first("stars").alias("stars"), F.first("bitmap").alias("bitmap"),
+            F.first("narrow").alias("narrow")), "classes")
     sizes = classes.select("class_id", "n_shingles", "bitmap")
 
     star_links = _verify(base, classes, sizes, _star_pairs(classes, percent), percent)
     reached = components(star_links)
     known = scratch(
-        classes.select("class_id", "n_shingles", "bitmap").join(
+        classes.select("class_id", "n_shingles", "narrow").join(
             reached, classes.class_id == reached.node, "left").select(
-            "class_id", "n_shingles", "bitmap", F.coalesce("component", "class_id").alias("component")),
+            "class_id", "n_shingles", "narrow", F.coalesce("component", "class_id").alias("component")),
         "known")
 
     rows = scratch(base.mapInPandas(_prefixes(percent, *_order_hints(sketch)), "shingle long, class_id long"),
                    "prefixes")
     pairs = _contested_pairs(rows, known, percent)
-    all_links = star_links.unionByName(_verify(base, classes, sizes, pairs, percent, checked=True))
+    all_links = star_links.unionByName(_verify(base, classes, sizes, pairs, percent))
     final = components(all_links)
 
     member = scratch(docs.join(final, docs.class_id == final.node, "left").select(
@@ -339,13 +334,21 @@ def _order_hints(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _star_pairs(classes: DataFrame, percent: int) -> DataFrame:
+    """Each class with up to three classes that stand for its bucket, for every bucket it is in.
+
+    A bucket is a size band and two min-hashes, so that a passage which many texts share rarely
+    makes one. The three are the least and the greatest class and the least by another hash.
+    """
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent) + 1e-9)
-    dealt = classes.select("class_id", F.posexplode("stars").alias("j", "value"), band.alias("band")).select(
-        "class_id", F.xxhash64("j", "value", "band").alias("bucket"))
-    least = dealt.groupBy("bucket").agg(F.min("class_id").alias("a"), F.max("class_id").alias("last")).filter(
-        "a < last").select("bucket", "a")
-    return dealt.join(least, "bucket").filter("a < class_id").select(
-        "a", F.col("class_id").alias("b")).distinct()
+    couples = F.array(*[F.xxhash64(F.lit(j), F.col("stars")[2 * j], F.col("stars")[2 * j + 1], band)
+                        for j in range(STARS // 2)])
+    dealt = classes.select("class_id", F.explode(couples).alias("bucket"))
+    heads = dealt.groupBy("bucket").agg(
+        F.min("class_id").alias("least"), F.max("class_id").alias("greatest"),
+        F.min(F.struct(F.xxhash64("class_id"), "class_id")).alias("third")).filter("least < greatest").select(
+        "bucket", F.array_distinct(F.array("least", "greatest", F.col("third.class_id"))).alias("heads"))
+    return dealt.join(heads, "bucket").select("class_id", F.explode("heads").alias("head")).filter(
+        "class_id <> head").select(F.least("class_id", "head").alias("a"), F.greatest("class_id", "head").alias("b")).distinct()
 
 
 def _contested_pairs(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
@@ -371,21 +374,18 @@ def _contested_pairs(rows: DataFrame, known: DataFrame, percent: int) -> DataFra
         "shingle", "band", "class_id", "n_shingles", "component", "high", "block",
         F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"))
     keys = ["shingle", "band", "block_a", "block_b"]
-    sigs = known.select("class_id", "bitmap")
+    sigs = known.select("class_id", "narrow")
     ready = tiles.join(sigs, "class_id").repartition(*keys).sortWithinPartitions(*keys)
     return ready.mapInPandas(_tile_pairs(percent), "a long, b long").distinct()
 
 
-def _verify(base: DataFrame, classes: DataFrame, sizes: DataFrame, pairs: DataFrame, percent: int,
-            checked: bool = False) -> DataFrame:
-    """Pairs that link, by intersecting the arrays of one text of each class."""
-    if not checked:
-        a = sizes.select(F.col("class_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("bitmap").alias("bits_a"))
-        b = sizes.select(F.col("class_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("bitmap").alias("bits_b"))
-        pairs = pairs.join(a, "a").join(b, "b").filter(
-            f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").mapInPandas(
-            _bound_pairs(percent), "a long, b long")
-    pairs = scratch(pairs, "pairs")
+def _verify(base: DataFrame, classes: DataFrame, sizes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs that link: bounded by full bitmaps, then by the arrays of one text of each class."""
+    a = sizes.select(F.col("class_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("bitmap").alias("bits_a"))
+    b = sizes.select(F.col("class_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("bitmap").alias("bits_b"))
+    pairs = scratch(pairs.join(a, "a").join(b, "b").filter(
+        f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").mapInPandas(
+        _bound_pairs(percent), "a long, b long"), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
     ids = scratch(classes.select("class_id", "doc_id").join(wanted, "class_id", "left_semi")
                   .select("doc_id").distinct(), "wanted")
