@@ -23,12 +23,21 @@ def row_count(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def key_profile(df: DataFrame, key: str) -> DataFrame:
-    """Rows, populated, distinct, NULL and blank keys, and rows beyond the first of their key."""
+def key_profile(df: DataFrame, key: str, long_text: bool = False) -> DataFrame:
+    """Rows, populated, distinct, NULL and blank keys, and rows beyond the first of their key.
+
+    With ``long_text`` the shuffle carries a 256-bit digest of each key instead of the key.
+    """
     k, n = F.col(key), F.col("n")
     is_text = isinstance(df.schema[key].dataType, T.StringType)
     blank = is_blank(k) if is_text else F.lit(False)
-    groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    if long_text:
+        df = df.select(F.when(is_blank(k), F.lit("")).otherwise(F.sha2(key, 256)).alias("digest"),
+                       F.when(is_blank(k), F.sha2(key, 256)).alias("blanks"))
+        groups = df.groupBy("digest", "blanks").agg(F.count(F.lit(1)).alias("n"))
+        groups = groups.withColumnRenamed("digest", key)
+    else:
+        groups = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
 
     def total(condition):
         return F.coalesce(F.sum(F.when(condition, n)), F.lit(0)).cast("bigint")

@@ -199,7 +199,7 @@ def cleaned_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     k="text", t="documents", blank="COUNT(*) FILTER (WHERE TRIM(text) = '')"))
 def key_profile_document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts as a candidate key: repeats show as surplus rows."""
-    return keys.key_profile(table(spark, sf_dir, "documents").select("text"), "text")
+    return keys.key_profile(table(spark, sf_dir, "documents").select("text"), "text", long_text=True)
 
 
 @query("""SELECT conv_id, turn, COUNT(*) AS occurrences FROM conversations
