@@ -9,6 +9,8 @@ Built-in DataFrame functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ def topic_of(text_col: str) -> Column:
 
 
 def rake(cells: DataFrame, dims: list[str], budget: float, targets: dict[str, dict[str, float]] | None = None,
-         temperature: float = 0.5, tolerance: float = 1e-3, max_rounds: int = 40) -> DataFrame:
+         temperature: float = 0.7, tolerance: float = 1e-3, max_rounds: int = 40) -> DataFrame:
     """``cells`` (dims, tokens) with ``weight``: raked to ``budget`` times each target share.
 
     Targets are shares by value; values without a target get none of the budget. A dimension
@@ -44,8 +46,8 @@ def rake(cells: DataFrame, dims: list[str], budget: float, targets: dict[str, di
     Shares are scaled to add up to one over the values that have tokens. The weight of a cell is
     its tokens times one factor for each of its values, its tokens at most. A round fits the
     factors of one dimension after the other; only these small tables are written. Ends when every
-    marginal is within ``tolerance`` of the budget, or after ``max_rounds``: targets that the
-    tokens of the cells can't meet are approached from below. Cells without tokens weigh 0.
+    marginal is within ``tolerance`` of the budget, when three rounds bring no more, or after
+    ``max_rounds``: targets that the tokens of the cells can't meet are approached from below. Cells without tokens weigh 0.
     """
     cells = scratch(cells, "cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -62,15 +64,18 @@ def rake(cells: DataFrame, dims: list[str], budget: float, targets: dict[str, di
         whole = mass.agg(F.sum("wanted")).first()[0] or 1.0
         factors[dim] = scratch(mass.select("value", (F.col("wanted") / whole * goal).alias("goal"),
                                            F.lit(1.0).alias("factor"), F.lit(0.0).alias("off")), "factors")
+    best, stalled = float("inf"), 0
     for _ in range(max_rounds if total else 0):
         for dim in dims:
             got = _weighted(cells, dims, factors, budget).groupBy(F.col(dim).alias("value")).agg(F.sum("weight").alias("got"))
             factors[dim] = scratch(factors[dim].join(got, "value").select(
                 "value", "goal", F.when(F.col("got") > 0, F.col("factor") * F.col("goal") / F.col("got"))
                 .otherwise(0.0).alias("factor"), F.abs(F.col("got") - F.col("goal")).alias("off")), "factors")
-        # The last dimension fits exactly now; how far off the others were shows how settled all are.
-        worst = [factors[dim].agg(F.max("off")).first()[0] or 0.0 for dim in dims]
-        if max(worst) <= tolerance * goal:
+        # How far each dimension was off before its own step shows how settled all are.
+        worst = reduce(DataFrame.unionAll, [factors[dim].select("off") for dim in dims]).agg(F.max("off")).first()[0] or 0.0
+        stalled = stalled + 1 if worst > 0.98 * best else 0
+        best = min(best, worst)
+        if worst <= tolerance * goal or stalled == 3:
             break
     return _weighted(cells, dims, factors, budget)
 
@@ -84,8 +89,8 @@ def _weighted(cells: DataFrame, dims: list[str], factors: dict[str, DataFrame],
 
 
 def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source",
-                lang_col: str = "lang", topic: Column | None = None, budget: float = 0.5,
-                targets: dict[str, dict[str, float]] | None = None, temperature: float = 0.5,
+                lang_col: str = "lang", topic: Column | None = None, budget: float = 0.25,
+                targets: dict[str, dict[str, float]] | None = None, temperature: float = 0.7,
                 seed: int = 2) -> DataFrame:
     """The rows of ``df`` with ``mix_topic, mix_tokens, mix_probability, mix_sampled``.
 
