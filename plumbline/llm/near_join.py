@@ -111,7 +111,7 @@ def _sketches(percent: int):
 
 
 def _prefixes(percent: int, hints: np.ndarray, ranks: np.ndarray):
-    """Rows (shingle, class_id, n) of the leading shingles, rare ones first."""
+    """Rows (shingle, class_id, place) of the leading shingles, rare ones first."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -141,6 +141,7 @@ def _prefixes(percent: int, hints: np.ndarray, ranks: np.ndarray):
         return pd.DataFrame({
             "shingle": signed(np.concatenate([h for h, _ in parts])),
             "class_id": np.repeat(np.array([c for _, c in parts], np.int64), lengths),
+            "place": np.concatenate([np.arange(n, dtype=np.int32) for n in lengths]),
         })
 
     return run
@@ -169,14 +170,18 @@ def bound_allows(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int) ->
 def _tile_pairs(percent: int):
     """Pairs of one tile that differ in component and that size and bit counts allow.
 
-    Rows come sorted by tile; a tile has at most two blocks of each of two size bands. A pair that
-    several tiles of a batch hold is looked at once.
+    Rows come sorted by tile; a tile has at most two blocks of each of two size bands. In the tile
+    of the first shingle two classes have in common, all else they share comes after it: with
+    ``place`` shingles before it, n - place bounds the overlap. Pairs that this excludes are left
+    out of a tile; a pair that links is never excluded from that first one. A pair that several
+    tiles of a batch hold is looked at once.
     """
     keys = ["shingle", "band", "block_a", "block_b"]
 
     def pairs(batch: pd.DataFrame, starts: np.ndarray, ends: np.ndarray):
-        n, comp, ids, high, block = (batch[c].to_numpy(np.int64) for c in (
-            "n_shingles", "component", "class_id", "high", "block"))
+        n, comp, ids, high, block, place = (batch[c].to_numpy(np.int64) for c in (
+            "n_shingles", "component", "class_id", "high", "block", "place"))
+        rest = n - place
         apart = (batch["block_a"] != batch["block_b"]).to_numpy()
         left, right, held = [], [], 0
         for s, e in zip(starts, ends):
@@ -186,6 +191,7 @@ def _tile_pairs(percent: int):
             if apart[s]:
                 ok &= block[i] != block[j]
             ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            ok &= (100 + percent) * np.minimum(rest[i], rest[j]) >= percent * (n[i] + n[j])
             left.append(i[ok])
             right.append(j[ok])
             held += len(left[-1])
@@ -277,7 +283,8 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             "class_id", "n_shingles", "narrow", F.coalesce("component", "class_id").alias("component")),
         "known")
 
-    rows = scratch(base.mapInPandas(_prefixes(percent, *_order_hints(sketch)), "shingle long, class_id long"),
+    rows = scratch(base.mapInPandas(_prefixes(percent, *_order_hints(sketch)),
+                                    "shingle long, class_id long, place int"),
                    "prefixes")
     pairs = _contested_pairs(rows, known, percent)
     all_links = star_links.unionByName(_verify(base, classes, sizes, pairs, percent))
@@ -358,12 +365,12 @@ def _contested_pairs(rows: DataFrame, known: DataFrame, percent: int) -> DataFra
     kept = rows.join(shared, "shingle").distinct()
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent) + 1e-9)
     placed = scratch(kept.join(known, "class_id").select(
-        "shingle", "class_id", "n_shingles", "component", band.alias("own")), "placed")
+        "shingle", "class_id", "place", "n_shingles", "component", band.alias("own")), "placed")
     # A tile (shingle, band) holds its own band, and the next one up for comparison with it.
-    dealt = placed.select("shingle", "class_id", "n_shingles", "component", F.explode(F.array(
+    dealt = placed.select("shingle", "class_id", "place", "n_shingles", "component", F.explode(F.array(
         F.struct(F.col("own").alias("band"), F.lit(0).alias("high")),
         F.struct((F.col("own") - 1).alias("band"), F.lit(1).alias("high")))).alias("t")).select(
-        "shingle", "class_id", "n_shingles", "component", "t.band", "t.high")
+        "shingle", "class_id", "place", "n_shingles", "component", "t.band", "t.high")
     mixed = dealt.groupBy("shingle", "band").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("high").alias("low_side"),
         F.count(F.lit(1)).alias("rows")).filter("lo < hi AND low_side = 0").select(
@@ -371,7 +378,7 @@ def _contested_pairs(rows: DataFrame, known: DataFrame, percent: int) -> DataFra
     tiles = dealt.join(mixed, ["shingle", "band"]).withColumn(
         "block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "shingle", "band", "class_id", "n_shingles", "component", "high", "block",
+        "shingle", "band", "class_id", "place", "n_shingles", "component", "high", "block",
         F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"))
     keys = ["shingle", "band", "block_a", "block_b"]
     sigs = known.select("class_id", "narrow")
