@@ -32,6 +32,7 @@ from plumbline.llm.shared import BROADCAST_IDS, mix, scratch, semi_join_ids, shi
 SHINGLE = 5
 STARS = 16         # min-hashes per class in the star pass; two by two they make its buckets
 BLOCK = 512        # classes of one side of a tile
+PAIRS = 50_000     # pairs of a tile whose bitmaps are held at once
 NARROW = 8         # 64-bit words of the bitmaps that are dealt to tiles
 HINTS = 131_072    # frequent shingles that the order knows of; they only steer the speed
 CHUNK = 2_000_000  # shingles held at once while frequent ones are looked for
@@ -195,7 +196,7 @@ def _tile_pairs(percent: int):
             left.append(i[ok])
             right.append(j[ok])
             held += len(left[-1])
-            if held > 500_000:
+            if held > PAIRS:
                 yield bounded(batch, ids, n, np.concatenate(left), np.concatenate(right))
                 left, right, held = [], [], 0
         if held:
@@ -211,7 +212,9 @@ def _tile_pairs(percent: int):
         used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
         bits = np.frombuffer(b"".join(batch["narrow"].iloc[used]), np.uint64).reshape(-1, NARROW)
         x, y = back[:len(i)], back[len(i):]
-        differing = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1).astype(np.int64)
+        differing = np.concatenate([
+            np.bitwise_count(bits[x[k:k + PAIRS]] ^ bits[y[k:k + PAIRS]]).sum(axis=1, dtype=np.int64)
+            for k in range(0, len(x), PAIRS)])
         most = np.minimum(np.minimum(n[i], n[j]), (n[i] + n[j] - differing) // 2)
         keep = np.flatnonzero(100 * most >= percent * (n[i] + n[j] - most))
         return pd.DataFrame({"a": ids[i[keep]], "b": ids[j[keep]]})
