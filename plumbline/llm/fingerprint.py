@@ -109,13 +109,14 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                      sketch_of(text, k).alias("sketch")).withColumn("n_distinct", distinct_shingles(F.col("sketch"), k))
 
 
-def edited_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, edited, next_id``: each text with its last half replaced by the next document's beginning.
+def edited_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry=None) -> DataFrame:
+    """``doc_id, text, edited, next_id, carried``: each text with its last half replaced by the next document's beginning.
 
     The last floor(n/2) code points give way to the first as many (or all) of the document with
     the next higher id; the one after the last is the first. NULL texts count as empty. Rows that
     repeat an id stand as one document in the order, with the least of their texts; each of
-    them is edited. Rows without an id come before all others.
+    them is edited. Rows without an id come before all others. ``carried`` is ``carry`` of the next
+    document's text, worked out where that text is, so that only its beginning travels.
     """
     docs = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sizes = scratch(docs.groupBy("id").agg(F.max(F.length("text")).alias("n_chars"), F.count(F.lit(1)).alias("rows")), "sizes")
@@ -134,12 +135,13 @@ def edited_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated = not sizes.filter("rows > 1").isEmpty()
     given = docs.groupBy("id").agg(F.min("text").alias("text")) if repeated else docs
     heads = links.join(given, links.next_id.eqNullSafe(given.id)).select(
-        links.id.alias("of"), "next_id", F.expr("substring(text, 1, half)").alias("head"))
+        links.id.alias("of"), "next_id", F.expr("substring(text, 1, half)").alias("head"),
+        (carry(F.col("text")) if carry else F.lit(None).cast("string")).alias("carried"))
     half = F.floor(F.length("text") / 2).cast("int")
     return docs.join(heads, docs.id.eqNullSafe(heads.of)).select(
         F.col("id").alias("doc_id"), "text", F.concat(
             F.substring(F.col("text"), F.lit(1), F.length("text") - half),
-            F.substring(F.col("head"), F.lit(1), half)).alias("edited"), "next_id")
+            F.substring(F.col("head"), F.lit(1), half)).alias("edited"), "next_id", "carried")
 
 
 def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -148,12 +150,12 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Columns: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next, n_distinct. See ``edited_texts`` for NULLs, ties and repeated rows.
     """
-    text = edited_texts(df, id_col, text_col)
-    both = scratch(text.select(
-        "doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        sketch_of(F.col("text"), k).alias("sketch"), sketch_of(F.col("edited"), k).alias("edited_sketch")), "fingerprints")
-    following = both.groupBy("doc_id").agg(F.min("sketch").alias("next_sketch")).withColumnRenamed("doc_id", "of")
-    return both.join(following, both.next_id.eqNullSafe(following.of)).select(
+    text = edited_texts(df, id_col, text_col, lambda t: sketch_of(t, k))
+    both = text.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        sketch_of(F.col("text"), k).alias("sketch"), sketch_of(F.col("edited"), k).alias("edited_sketch"),
+        F.col("carried").alias("next_sketch"))
+    return both.select(
         "doc_id", "n_chars", "edited_sha256", to_text(F.col("sketch")).alias("fingerprint"),
         to_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         resemblance(F.col("sketch"), F.col("edited_sketch"), k).alias("near_edited"),
