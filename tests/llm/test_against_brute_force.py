@@ -150,6 +150,21 @@ def test_passages_with_substitutions(spark):
     assert set(got) == {1, 2} and got[1].spans[0].start <= 35 and got[1].spans[0].end >= 115
 
 
+def test_exact_repeats_in_the_buckets_of_a_frequent_line(spark):
+    """Each pair shares 50 words of which 35 are a line of all texts, so that most buckets belong to others."""
+    rng = np.random.default_rng(8)
+    fresh = lambda n: [f"f{x}" for x in rng.integers(0, 10**9, n)]
+    line, texts = fresh(35), [fresh(60) for _ in range(300)]
+    texts = [t[:30] + line + t[30:] for t in texts]
+    for k in range(0, 100, 2):
+        tail = fresh(15)
+        texts[k][65:80] = texts[k + 1][65:80] = tail
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in passages.repeated_passages(df).collect()}
+    for k in range(100):
+        assert got[k].partner_id == k ^ 1 and got[k].spans[0].start <= 30 and got[k].spans[0].end >= 80
+
+
 def test_base_secrets(spark, sf_dir, documents):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     for r in queries.QUERIES["op4_secret_scan"](spark, sf_dir).collect():
