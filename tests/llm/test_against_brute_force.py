@@ -165,6 +165,42 @@ def test_exact_repeats_in_the_buckets_of_a_frequent_line(spark):
         assert got[k].partner_id == k ^ 1 and got[k].spans[0].start <= 30 and got[k].spans[0].end >= 80
 
 
+def test_passages_with_added_words(spark):
+    """Nine of ten pairs with a window pair at 0.75 or more are found; a pair without one never is."""
+    rng = np.random.default_rng(12)
+    fresh = lambda n: [f"f{x}" for x in rng.integers(0, 10**9, n)]
+    texts, wanted = [], []
+    for k in range(400):
+        passage = fresh(int(rng.integers(50, 61)))
+        changed = list(passage)
+        for _ in range(int(rng.integers(1, 3))):
+            at = int(rng.integers(5, len(changed) - 5))
+            changed[at:at + int(rng.integers(0, 2))] = fresh(int(rng.integers(0, 2)))
+        pair = [fresh(40) + passage + fresh(40), fresh(25) + changed + fresh(50)]
+        texts += pair
+        a, b = ([w[i:i + 5] for i in range(len(w) - 4)] for w in pair)
+        a, b = ([{tuple(x) for x in s[i:i + 46]} for i in range(len(s) - 45)] for s in (a, b))
+        wanted.append(any(100 * len(p & q) >= 75 * len(p | q) for p in a for q in b if p & q))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r.partner_id for r in passages.repeated_passages(df).collect()}
+    found = [got.get(2 * k) == 2 * k + 1 for k in range(400)]
+    assert sum(wanted) >= 150 and not any(f and not w for f, w in zip(found, wanted))
+    assert sum(f and w for f, w in zip(found, wanted)) >= 0.9 * sum(wanted)
+
+
+def test_like_windows_match_sets():
+    rng = np.random.default_rng(3)
+    for n in (400, 60):
+        x = rng.integers(0, n, 120).astype(np.uint64)
+        y = np.concatenate([x[20:50], rng.integers(0, n, 1).astype(np.uint64), x[50:110]])
+        windows = passages.Windows(x, y, 46, 75)
+        sets = lambda v: [set(v[i:i + 46].tolist()) for i in range(len(v) - 45)]
+        a, b = sets(x), sets(y)
+        good = [(i, j) for i in range(10, 50) for j in range(40) if 100 * len(a[i] & b[j]) >= 75 * len(a[i] | b[j])]
+        i, j = zip(*good)
+        assert windows.alike(10, 49, 0, 39) == (min(i), max(i) + 46, min(j), max(j) + 46)
+
+
 def test_base_secrets(spark, sf_dir, documents):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     for r in queries.QUERIES["op4_secret_scan"](spark, sf_dir).collect():
