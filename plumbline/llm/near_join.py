@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.graph import components
-from plumbline.llm.shared import BROADCAST_IDS, mix, scratch, semi_join_ids, shingle_sets, signed
+from plumbline.llm.shared import BROADCAST_IDS, mix, scratch, shingle_sets, signed, texts_of
 
 SHINGLE = 5
 STARS = 16         # min-hashes per class in the star pass; two by two they make its buckets
@@ -273,7 +273,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     docs = sketch.filter("kind = 0").select("doc_id", "text_hash", "class_id", "n_shingles")
     classes = scratch(
         sketch.filter("kind = 0 AND n_shingles > 0").groupBy("class_id").agg(
-            F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
+            F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("n_shingles"),
             F.first("stars").alias("stars"), F.first("bitmap").alias("bitmap"),
             F.first("narrow").alias("narrow")), "classes")
     sizes = classes.select("class_id", "n_shingles", "bitmap")
@@ -397,9 +397,7 @@ def _verify(base: DataFrame, classes: DataFrame, sizes: DataFrame, pairs: DataFr
         f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").mapInPandas(
         _bound_pairs(percent), "a long, b long"), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).distinct()
-    ids = scratch(classes.select("class_id", "doc_id").join(wanted, "class_id", "left_semi")
-                  .select("doc_id").distinct(), "wanted")
-    sets = scratch(semi_join_ids(base, ids, "doc_id").mapInPandas(
+    sets = scratch(texts_of(base, classes.select("class_id", "doc_id", "text_hash").join(wanted, "class_id", "left_semi")).mapInPandas(
         _sets, "class_id long, members binary"), "sets")
     a = sets.select(F.col("class_id").alias("a"), F.col("members").alias("set_a"))
     b = sets.select(F.col("class_id").alias("b"), F.col("members").alias("set_b"))

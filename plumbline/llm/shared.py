@@ -50,6 +50,21 @@ def semi_join_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return df.join(ids, key, "left_semi")
 
 
+def texts_of(base: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) of ``base`` that hold the classes of ``wanted``, a table of ``doc_id, text_hash``.
+
+    A class is found by its id, one whose rows all lack an id by the hash of a text, of which one row is returned.
+    """
+    ids = scratch(wanted.filter("doc_id IS NOT NULL").select("doc_id").distinct(), "wanted")
+    found = semi_join_ids(base, ids, "doc_id")
+    hashes = scratch(wanted.filter("doc_id IS NULL").select("text_hash").distinct(), "wanted")
+    if hashes.isEmpty():
+        return found
+    unnamed = base.filter("doc_id IS NULL").withColumn("text_hash", F.xxhash64("text"))
+    one = semi_join_ids(unnamed, hashes, "text_hash").groupBy("text_hash").agg(F.first("text").alias("text"))
+    return found.unionByName(one.select(F.lit(None).cast("long").alias("doc_id"), "text"))
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Scramble 64-bit values, so that any bits of the result can be used as a hash."""
     values = (values ^ (values >> np.uint64(30))) * _MIX1

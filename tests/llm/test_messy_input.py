@@ -36,6 +36,33 @@ def test_keep_one_of_each(messy, empty):
     assert near_join.keep_one_of_each(empty).count() == 0
 
 
+def test_near_join_of_rows_without_id(spark):
+    w = [f"n{i}" for i in range(100)]
+    variant = lambda *at: " ".join("x" if i in at else v for i, v in enumerate(w))
+    other = [f"o{i}" for i in range(60)]
+    data = [(1, variant()), (None, variant(20)), (3, variant(20, 60)), (4, "alone in the world of words"),
+            (None, " ".join(other)), (None, " ".join(other[:50])), (None, " ".join(other[:50]))]
+    df = spark.createDataFrame(data, "doc_id bigint, text string")
+    got = by_id(near_join.ngram_jaccard_join(df, percent=85))
+    # 1 and 3 have 86 of 106 shingles in common, so only the row without an id links them.
+    assert [got[k][0]["component_id"] for k in (1, 3, 4)] == [1, 1, 4]
+    assert sorted(map(str, (r["component_id"] for r in got[None]))) == ["1", "None", "None", "None"]
+    kept = rows(near_join.keep_one_of_each(df))
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "4", "None"]
+
+
+def test_passages_of_rows_without_id(spark):
+    """Each document's only partner has no id: an exact passage, or one with another word in its middle."""
+    data = []
+    for k in range(40):
+        passage = [f"p{k}_{i}" for i in range(60)]
+        changed = [*passage[:30], f"c{k}", *passage[31:]] if k % 2 else passage
+        data += [(k, " ".join([f"a{k}_{i}" for i in range(40)] + passage)), (None, " ".join(changed + [f"b{k}_{i}" for i in range(40)]))]
+    got = by_id(passages.repeated_passages(spark.createDataFrame(data, "doc_id bigint, text string")))
+    assert set(range(0, 40, 2)) <= set(got) and len(got) >= 36
+    assert all(r["partner_id"] is None and r["spans"][0]["start"] >= 30 for v in got.values() for r in v)
+
+
 def test_language(messy, empty):
     got = by_id(language.identify_language(messy))
     assert [r["lang_pred"] for k in (3, 4, 5, 6) for r in got[k]] == ["und"] * 4
