@@ -22,6 +22,7 @@ MASKS = ("110110110111", "111010011101", "101111000111")
 MIN_MATCH = 12            # tokens that must agree (all of them in a shorter item)
 MISMATCH_COST = 3         # agreeing tokens that make up for a differing one
 BLOCK_TOKENS = 1_000_000  # test tokens that one pass over the documents looks up
+CHAIN = 4                 # passes whose blocks executors hold at once; the documents are written after so many
 
 _PUNCTUATION = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -102,24 +103,18 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     longest agreement. Items with a NULL id, a NULL text or no token match nothing; documents
     with a NULL or empty text are clean. Equal items are all listed. Repeated documents each get
     a row. The test set is looked up in blocks of ``BLOCK_TOKENS`` tokens: each block is
-    one pass over the documents, and no block grows with the test set.
+    one pass over the documents, which hands on the findings of the passes before with each row.
     """
-    base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    indexes = index_blocks(benchmark, item_col, item_text_col)
-    blocks = len(indexes)
-    kind = dict(base.dtypes)["doc_id"]
-    schema = f"doc_id {kind}, contaminated boolean, items array<long>, matched_tokens long"
-    result = None
-    for index in indexes:
-        part = _scan(base, index, schema, numbered=blocks > 1)
-        result = part if result is None else result.unionByName(part)
-    if blocks == 1:
-        return result
-    folded = result.groupBy("row").agg(
-        F.first("doc_id").alias("doc_id"), F.max("contaminated").alias("contaminated"),
-        F.array_sort(F.flatten(F.collect_list("items"))).alias("items"),
-        F.max("matched_tokens").alias("matched_tokens"))
-    return folded.select("doc_id", "contaminated", "items", "matched_tokens")
+    base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                     F.expr("cast(array() as array<bigint>)").alias("items"), F.lit(0).cast("long").alias("matched_tokens"))
+    found = f"doc_id {dict(base.dtypes)['doc_id']}, items array<bigint>, matched_tokens long"
+    *others, last = index_blocks(benchmark, item_col, item_text_col)
+    for k, index in enumerate(others):
+        base = base.mapInPandas(_scan(index, keep=True), found + ", text string")
+        if k % CHAIN == CHAIN - 1:
+            base = scratch(base, "scanned")
+    return base.mapInPandas(_scan(last, keep=False), found).select(
+        "doc_id", (F.size("items") > 0).alias("contaminated"), "items", "matched_tokens")
 
 
 def remove_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
@@ -167,22 +162,18 @@ def matches(texts, seeds: SeedIndex) -> Iterator[tuple[set[int], int]]:
             yield found, best
 
 
-def _scan(base: DataFrame, index, schema: str, numbered: bool) -> DataFrame:
+def _scan(index, keep: bool):
+    """Add the findings of a block to those of the blocks before; the text is kept for the next one."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seeds = SeedIndex(index.value)
         for batch in batches:
             found = list(matches(batch["text"], seeds))
-            out = batch.drop(columns="text")
-            out["contaminated"] = [bool(x) for x, _ in found]
-            out["items"], out["matched_tokens"] = [sorted(x) for x, _ in found], [n for _, n in found]
-            yield out
-
-    if numbered:
-        # The same rows get the same number in each pass: equal rows share one, and one result.
-        base = base.select(F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.sha2("text", 256)), 256)
-                           .alias("row"), "doc_id", "text")
-        schema = "row string, " + schema
-    return base.mapInPandas(run, schema)
+            out = batch if keep else batch.drop(columns="text")
+            yield out.assign(items=[sorted({*x, *before}) for (x, _), before in zip(found, batch["items"])],
+                             matched_tokens=[max(n, before) for (_, n), before in zip(found, batch["matched_tokens"])])
+
+    return run
 
 
 def _tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

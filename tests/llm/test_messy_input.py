@@ -95,6 +95,13 @@ def test_decontamination_in_blocks(messy, benchmark, monkeypatch):
     assert decontaminate.remove_contaminated(messy, benchmark).count() == 7
 
 
+def test_decontamination_of_repeated_rows_in_blocks(messy, benchmark, monkeypatch):
+    whole = sorted(map(str, rows(decontaminate.find_contamination(messy, benchmark))))
+    monkeypatch.setattr(decontaminate, "BLOCK_TOKENS", 3)
+    assert len(whole) == 12
+    assert sorted(map(str, rows(decontaminate.find_contamination(messy, benchmark)))) == whole
+
+
 def test_secrets(messy, empty):
     got = by_id(secret_scan.scan_secrets(messy))
     (found,) = got[9][0]["findings"]
