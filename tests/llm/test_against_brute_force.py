@@ -258,6 +258,13 @@ def test_raking_matches_numpy(spark):
     assert all(abs(got[k] - v) <= 1e-3 * v for k, v in w.items())
 
 
+def test_mixing_defaults():
+    import inspect
+
+    given = inspect.signature(mixing.mix_sources).parameters
+    assert (given["budget"].default, given["temperature"].default) == (0.5, 0.5)
+
+
 def test_mixture_draws_what_it_promises(spark, sf_dir):
     rows = queries.QUERIES["op2_source_mixing"](spark, sf_dir).collect()
     expected = sum(r.n_tokens * r.probability for r in rows)
