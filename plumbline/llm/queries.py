@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.conversation_trie import prefix_trie, shared_openings, turn_chains
 from plumbline.llm.decontaminate import find_contamination
 from plumbline.llm.fingerprint import fingerprint_edits
 from plumbline.llm.language import identify_language
@@ -105,3 +106,55 @@ def op10_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with passages of 50 words or more that other documents hold too."""
     return repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
+_TRIE = """
+WITH turns AS (
+    SELECT conv_id, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS digest,
+           length(coalesce(text, '')) AS len, turn FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+    SELECT conv_id, list({'d': digest, 'l': len} ORDER BY turn NULLS FIRST, digest) AS ts FROM turns GROUP BY conv_id),
+bytes AS (
+    SELECT *, list_transform(range(length(cast(conv_id AS varchar))),
+        lambda i: ascii(substr(cast(conv_id AS varchar), i + 1, 1))) AS bs FROM own),
+tab AS (
+    SELECT list(v ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v
+        FROM (SELECT unnest(range(256)) AS i))),
+opened AS (
+    SELECT conv_id, ts, conv_id - conv_id % 100 AS opener, xor(list_reduce(bs,
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 6 AS h FROM bytes, tab),
+rebuilt AS (
+    SELECT o.conv_id, list_concat(coalesce(b.ts[1:o.h], []), o.ts[o.h + 1:]) AS ts
+    FROM opened o LEFT JOIN own b ON b.conv_id = o.opener),
+steps AS (
+    SELECT conv_id, len(ts) AS total, unnest(range(len(ts) + 1)) AS depth, ts FROM rebuilt),
+members AS (
+    SELECT conv_id, depth, total, array_to_string(list_transform(ts[1:depth], lambda t: t.d), '') AS key,
+           CASE WHEN depth > 0 THEN array_to_string(list_transform(ts[1:depth - 1], lambda t: t.d), '') END AS above,
+           CASE WHEN depth > 0 THEN ts[depth].l ELSE 0 END AS len FROM steps),
+nodes AS (
+    SELECT key, depth, any_value(above) AS above, any_value(len) AS len, min(conv_id) AS conv_id, count(*) AS n_convs,
+           sha256(coalesce(string_agg(CASE WHEN total = depth THEN cast(conv_id AS varchar) END, ',' ORDER BY conv_id), '')) AS ends
+    FROM members GROUP BY key, depth),
+kids AS (SELECT above AS key, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY above),
+tree AS (
+    SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN kids k USING (key)),
+sums AS (
+    SELECT a.key, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((u.n_convs - 1) * u.len) AS saved
+    FROM tree u JOIN members m ON m.conv_id = u.conv_id AND m.depth <= u.depth JOIN tree a ON a.key = m.key GROUP BY a.key)
+SELECT t.conv_id, t.depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children, cast(s.n_leaves AS bigint) AS n_leaves,
+       cast(s.saved AS bigint) AS saved_tokens, t.ends AS ends_sha256
+FROM tree t JOIN sums s USING (key) LEFT JOIN nodes p ON p.key = t.above
+"""
+
+
+@query(_TRIE)
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of the conversations, each opened by some turns of the first one of its hundred.
+
+    The remainder of a negative id is negative, as in SQL."""
+    conv = F.col("conv_id")
+    chains = shared_openings(turn_chains(read_table(spark, sf_dir, "conversations")), conv - conv % 100,
+                             F.crc32(conv.cast("string").cast("binary")) % 6)
+    return prefix_trie(chains).drop("node", "parent")
