@@ -16,6 +16,7 @@ from plumbline.llm.near_join import ngram_jaccard_join
 from plumbline.llm.passages import repeated_passages
 from plumbline.llm.pseudonyms import pseudonymize_documents
 from plumbline.llm.quotations import as_mail, reply_ordered
+from plumbline.llm.resampling import resample_towards
 from plumbline.llm.secret_scan import scan_secrets
 from plumbline.llm.shared import read_table
 from plumbline.llm.toxicity import score_toxicity
@@ -158,3 +159,50 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     chains = shared_openings(turn_chains(read_table(spark, sf_dir, "conversations")), conv - conv % 100,
                              F.crc32(conv.cast("string").cast("binary")) % 6)
     return prefix_trie(chains).drop("node", "parent")
+
+
+_RESAMPLE = """
+WITH tab AS (
+    SELECT list(v ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v
+        FROM (SELECT unnest(range(256)) AS i))),
+texts AS (
+    SELECT row_number() OVER () AS r, doc_id, text FROM documents
+    UNION ALL SELECT -row_number() OVER (), NULL, text FROM benchmark),
+worded AS (
+    SELECT r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM texts),
+runs AS (
+    SELECT r, array_to_string(ws[i:i + k - 1], ' ') AS f FROM (
+        SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM worded), (SELECT unnest([1, 2, 3]) AS k)
+    WHERE i + k - 1 <= len(ws)),
+counted AS (SELECT r, f, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (
+    SELECT f, xor(list_reduce(list_transform(range(octet_length(encode(f))),
+        lambda i: cast('0x' || substr(hex(encode(f)), 2 * i + 1, 2) AS bigint)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+    FROM (SELECT DISTINCT f FROM counted), tab),
+bucketed AS (SELECT r, bucket, sum(n) AS n FROM counted JOIN hashed USING (f) GROUP BY ALL),
+per_bucket AS (
+    SELECT bucket, coalesce(sum(n) FILTER (r > 0), 0) AS s, coalesce(sum(n) FILTER (r < 0), 0) AS t FROM bucketed GROUP BY bucket),
+gains AS (
+    SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE
+        / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS gain FROM per_bucket),
+weights AS (SELECT r, sum(n * gain) AS weight, sum(n) AS n_features FROM bucketed JOIN gains USING (bucket) WHERE r > 0 GROUP BY r),
+scored AS (
+    SELECT d.r, d.doc_id, len(d.ws) AS n_words, cast(coalesce(w.n_features, 0) AS bigint) AS n_features,
+        cast(coalesce(w.weight, 0) AS bigint) AS weight, cast(coalesce(w.weight, 0) + floor(-1000 * ln(-ln(
+            (cast('0x' || substr(sha256('42:' || coalesce(cast(d.doc_id AS varchar), '')), 1, 8) AS bigint) + 0.5::DOUBLE)
+            / 4294967296::DOUBLE))) AS bigint) AS score
+    FROM worded d LEFT JOIN weights w USING (r) WHERE d.r > 0),
+ranked AS (
+    SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN k.rank <= 5 * k.n // 100 THEN k.rank END AS rank
+FROM scored s LEFT JOIN ranked k USING (r)
+"""
+
+
+@query(_RESAMPLE)
+def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its weight towards the benchmark's texts, and the five in a hundred that are drawn."""
+    return resample_towards(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("n_words")
