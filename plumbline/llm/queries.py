@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.conversation_trie import prefix_trie, shared_openings, turn_chains
+from plumbline.llm.curve_shards import hilbert_shards
 from plumbline.llm.decontaminate import find_contamination
 from plumbline.llm.fingerprint import fingerprint_edits
 from plumbline.llm.language import identify_language
@@ -206,3 +207,56 @@ FROM scored s LEFT JOIN ranked k USING (r)
 def op11_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its weight towards the benchmark's texts, and the five in a hundred that are drawn."""
     return resample_towards(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+_CRC_TABLE = """WITH tab AS (
+    SELECT list(v ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS v
+        FROM (SELECT unnest(range(256)) AS i))), """
+_CRC = """xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce({0}, ''))), '..'), lambda h: cast('0x' || h AS bigint)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"""
+
+
+def _curve_sql(dimensions: list[str], bits: int, shards: int) -> str:
+    """The shards in SQL: cells by rank, a step of the curve for each bit and dimension, runs of equal rows."""
+    x = [f"x{i}" for i in range(len(dimensions))]
+    cells = ", ".join(f"cast(floor((rank() OVER (ORDER BY {d} NULLS FIRST) - 1) * {1 << bits} / count(*) OVER ()) AS bigint) AS {n}"
+                      for d, n in zip(dimensions, x))
+    steps = [f"""WITH s0 AS (
+        SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {_CRC.format('text')} AS text_crc32, {cells}
+        FROM documents, tab)"""]
+    for b in range(bits - 1, 0, -1):
+        for i, n in enumerate(x):
+            p = (1 << b) - 1
+            swap = f"CASE WHEN {n} & {1 << b} <> 0 THEN 0 ELSE xor(x0, {n}) & {p} END"
+            first = f"CASE WHEN {n} & {1 << b} <> 0 THEN xor(x0, {p}) ELSE xor(x0, {swap}) END"
+            new = [f"{first} AS x0"] + [f"xor({n}, {swap}) AS {n}" if k == i else v for k, v in enumerate(x) if k]
+            steps.append(f"s{len(steps)} AS (SELECT doc_id, size, text_crc32, {', '.join(new)} FROM s{len(steps) - 1})")
+    gray = [x[0]]
+    for n in x[1:]:
+        gray.append(f"xor({n}, {gray[-1]})")
+    steps.append(f"g AS (SELECT doc_id, size, text_crc32, {', '.join(f'{e} AS {n}' for e, n in zip(gray, x))} FROM s{len(steps) - 1})")
+    turn = "0"
+    for b in range(bits - 1, 0, -1):
+        turn = f"xor({turn}, CASE WHEN {x[-1]} & {1 << b} <> 0 THEN {(1 << b) - 1} ELSE 0 END)"
+    steps.append(f"t AS (SELECT *, {turn} AS turn FROM g)")
+    places = [f"((xor({n}, turn) >> {b}) & 1) * {1 << (b * len(x) + len(x) - 1 - i)}" for b in range(bits) for i, n in enumerate(x)]
+    steps.append(f"c AS (SELECT doc_id, size, text_crc32, {' + '.join(places)} AS curve FROM t)")
+    steps.append("p AS (SELECT *, row_number() OVER (ORDER BY curve, text_crc32, doc_id NULLS LAST) - 1 AS place, count(*) OVER () AS n FROM c)")
+    steps.append(f"h AS (SELECT *, cast(place * {shards} // n AS integer) AS shard FROM p)")
+    return _CRC_TABLE + ", ".join(steps).replace("WITH s0", "s0", 1) + """
+        SELECT doc_id, size, text_crc32, 'rows' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot,
+               cast(NULL AS integer) AS grown_shard FROM h"""
+
+
+CURVE_DIMENSIONS = ["lang", "source", "n_chars"]
+
+
+@query(_curve_sql(CURVE_DIMENSIONS, 8, 16))
+def op12_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards along a Hilbert curve over language, source and length."""
+    text = F.coalesce("text", F.lit(""))
+    sized = read_table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), *CURVE_DIMENSIONS)
+    return hilbert_shards(sized, CURVE_DIMENSIONS, ties=["text_crc32", "doc_id"]).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
