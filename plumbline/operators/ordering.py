@@ -11,24 +11,21 @@ ranges, nor text with a long common beginning, nor rows without any order key st
 
 from __future__ import annotations
 
-import base64
-import json
 import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.operators.shaping import all_of
 from plumbline.sources.tables import written
 
 ROWS_PER_RANGE = 4_000_000
 MAX_RANGES = 50_000
-# Several ranges per shuffle partition even out what hashing their numbers puts together, but a
-# range of a small table is not worth less than this many rows.
+# Several ranges per shuffle partition even out what hashing their numbers puts together, but
+# what one task sorts in a second is not worth cutting; the rows come out the same either way.
 RANGES_PER_TASK = 4
-MIN_ROWS_PER_RANGE = 1_000
+MIN_ROWS_PER_RANGE = 250_000
 SAMPLED_ROWS_PER_RANGE = 60
 _EDGE = "_edge"
 _HOT = "_hot"
@@ -37,28 +34,10 @@ _TIE = "_tie"
 _CUTS = "_cuts"
 
 
-def _plain(df: DataFrame, key: str) -> Column:
-    """The key as a value of the same order that does not hang on the session's time zone."""
-    kind, value = df.schema[key].dataType, F.col(key)
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(value)
-    if isinstance(kind, T.TimestampNTZType):
-        seconds = F.hour(value) * 3600 + F.minute(value) * 60
-        micros = (F.date_part(F.lit("SECOND"), value) * 1_000_000).cast("bigint")
-        days = F.unix_date(F.to_date(value)).cast("bigint")
-        return (days * 86_400 + seconds) * 1_000_000 + micros
-    if isinstance(kind, T.DateType):
-        return F.unix_date(value)
-    if isinstance(kind, (T.StringType, T.NumericType, T.BooleanType, T.BinaryType)):
-        return value
-    raise TypeError(f"cannot order ranges by {key}: {kind.simpleString()}")
-
-
-def _cut_key(df: DataFrame, order: Sequence[str]) -> Column:
-    """Order keys and the tie-break as one comparable value, NULL after everything else."""
-    parts = [part for k in order for part in (F.col(k).isNull(), _plain(df, k))]
-    return F.struct(*[part.alias(f"k{i}") for i, part in enumerate(parts)],
-                    F.col(_TIE).alias("tie"))
+def _cut_key(order: Sequence[str]) -> Column:
+    """Order keys and the tie-break as one value of their own types, NULL after everything else."""
+    parts = [part for k in order for part in (F.col(k).isNull(), F.col(k))]
+    return F.struct(*[part.alias(f"k{i}") for i, part in enumerate(parts)], F.col(_TIE).alias("tie"))
 
 
 def _with_tie(df: DataFrame) -> DataFrame:
@@ -81,22 +60,6 @@ def _cut_points(sample: DataFrame, by: Sequence[str], per_range: float) -> DataF
     return heads.groupBy(*by).agg(F.sort_array(F.collect_list("cut")).alias(_CUTS))
 
 
-def _cuts_literal(points: DataFrame) -> Column | None:
-    """The cuts of the whole table as one constant, at most ``MAX_RANGES`` keys."""
-    rows = points.collect()
-    if not rows or not rows[0][_CUTS]:
-        return None
-
-    def text(value):
-        if isinstance(value, (bytes, bytearray)):
-            return base64.b64encode(value).decode()
-        return str(value)
-
-    kind = points.schema[_CUTS].dataType
-    listed = [c.asDict() for c in rows[0][_CUTS]]
-    return F.from_json(F.lit(json.dumps(listed, default=text)), kind)
-
-
 def _number(cuts: Column, key: Column, most: int) -> Column:
     """Cuts that are not above the key, by binary search."""
     steps = [1 << i for i in reversed(range(max(1, most).bit_length()))]
@@ -116,40 +79,53 @@ def with_ranges(
     order key of all rows.
 
     Cut points and large groups come from a small sample and only steer the balance: any choice
-    gives the same results, and no row is left out. Runs a count and a job on the sample at once.
+    gives the same results, and no row is left out. Cuts keep the types of the keys, so whatever
+    Spark can order can be cut. Runs a count, the projection and a job on the sample at once.
     """
-    order, by = list(order), list(by)
+    ranged, _, numbers = _ranged(df, list(order), list(by), [], ranges)
+    return ranged, numbers
+
+
+def _ranged(
+    df: DataFrame, order: list[str], by: list[str], sources: list[str], ranges: int | None
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``with_ranges``, and besides its rows those of a written projection (``by``, keys, ``sources``)."""
     n = df.agg(F.count(F.lit(1))).first()[0]
     if ranges is None:
         tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         by_tasks = min(RANGES_PER_TASK * tasks, math.ceil(n / MIN_ROWS_PER_RANGE))
         ranges = min(MAX_RANGES, max(math.ceil(n / ROWS_PER_RANGE), by_tasks))
     if ranges < 2 or not n:
-        return df, []
+        return df, df, []
 
     tied = _with_tie(df)
+    narrow = written(tied.select(*dict.fromkeys([*by, *order, *sources, _TIE])), "order-keys")
     share = min(1.0, ranges * SAMPLED_ROWS_PER_RANGE / n)
-    sample = tied.select(*by, _cut_key(tied, order).alias("key"))
+    sample = narrow.select(*by, _cut_key(order).alias("key"))
     sample = sample.sample(fraction=share, seed=11) if share < 1 else sample
-    points = _cut_points(sample, by, share * n / ranges)
-    key = _cut_key(tied, order)
+    # At most MAX_RANGES keys in all; written, so that every use finds the same cuts, in their own types.
+    listed = written(_cut_points(sample, by, share * n / ranges), "cuts")
+    if listed.isEmpty():
+        return df, df, []
     if not by:
-        cuts = _cuts_literal(points)
-        if cuts is None:
-            return df, []
-        return tied.withColumns({_RANGE: _number(cuts, key, ranges), _HOT: F.lit(True)}), [_RANGE]
+        def numbered(rows: DataFrame) -> DataFrame:
+            cuts = listed.select(_CUTS).scalar()
+            return rows.withColumn(_CUTS, cuts).withColumns(
+                {_RANGE: _number(F.col(_CUTS), _cut_key(order), ranges), _HOT: F.lit(True)}).drop(_CUTS)
+
+        return numbered(tied), numbered(narrow), [_RANGE]
 
     # At most one group per range: the list is written, so its size is known, and small.
-    listed = written(points, "cuts")
-    if listed.isEmpty():
-        return df, []
     names = [f"_by{i}" for i in range(len(by))]
     listed = listed.toDF(*names, _CUTS)
-    same = all_of(F.col(k).eqNullSafe(F.col(n)) for k, n in zip(by, names))
-    marked = tied.join(F.broadcast(listed), same, "left")
-    number = F.coalesce(_number(F.col(_CUTS), key, ranges), F.lit(0))
-    marked = marked.withColumns({_RANGE: number, _HOT: F.col(_CUTS).isNotNull()})
-    return marked.drop(*names, _CUTS), [_RANGE]
+
+    def marked(rows: DataFrame) -> DataFrame:
+        same = all_of(F.col(k).eqNullSafe(F.col(n)) for k, n in zip(by, names))
+        found = rows.join(F.broadcast(listed), same, "left")
+        number = F.coalesce(_number(F.col(_CUTS), _cut_key(order), ranges), F.lit(0))
+        return found.withColumns({_RANGE: number, _HOT: F.col(_CUTS).isNotNull()}).drop(*names, _CUTS)
+
+    return marked(tied), marked(narrow), [_RANGE]
 
 
 def _nulls_last(order: Sequence[str]) -> list[Column]:
@@ -173,9 +149,10 @@ def with_neighbors(
     """Add values of the row before (``previous``) and after (``following``), per ``by`` group.
 
     Both map a new column to its source column. ``order`` must identify a row within its group,
-    otherwise the neighbour is as arbitrary as in a plain window. The table is read about four
-    times, three of them for a few columns: put costly derived input into a written table first.
-    The count and the sample run at once, before any action on the result.
+    otherwise the neighbour is as arbitrary as in a plain window. Keys may be of any type that Spark
+    orders. A table that is cut is read twice, once to write its keys and sources and once for the
+    result, and counted: put costly derived input into a written table first. The count, the written
+    projection and the sample run at once, before any action on the result.
     """
     previous, following = dict(previous or {}), dict(following or {})
     if not previous and not following:
@@ -192,7 +169,7 @@ def with_neighbors(
         added |= {name: F.lead(source).over(window) for name, source in following.items()}
         return rows.withColumns(added)
 
-    ranged, numbers = with_ranges(df, order, by, ranges)
+    ranged, narrow, numbers = _ranged(df, order, by, sources, ranges)
     if not numbers:
         return linked(df, by or [F.lit(0)])
     keys = [*by, *numbers]
@@ -206,7 +183,7 @@ def with_neighbors(
     if following:
         ends.append(F.min_by(values, place).alias("first"))
         carried.append(F.struct(F.lit(1).alias(_EDGE), F.lead("first").over(along).alias("v")))
-    edges = ranged.filter(_HOT).groupBy(*keys).agg(*ends)
+    edges = narrow.filter(_HOT).groupBy(*keys).agg(*ends)
     edges = edges.select(*keys, F.array(*carried).alias("carried"))
     edges = edges.select(*keys, F.inline("carried")).filter(F.col("v").isNotNull())
     edges = edges.select(*keys, _EDGE, "v.*")
@@ -221,7 +198,7 @@ def with_row_numbers(
 ) -> DataFrame:
     """Number the rows of each group in order, starting at 1."""
     order, by = list(order), list(by)
-    ranged, numbers = with_ranges(df, order, by, ranges)
+    ranged, narrow, numbers = _ranged(df, order, by, [], ranges)
     if not numbers:
         window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*_nulls_last(order))
         return df.withColumn(output, F.row_number().over(window).cast("bigint"))
@@ -230,7 +207,7 @@ def with_row_numbers(
         Window.partitionBy(*(by or [F.lit(0)])).orderBy(*numbers)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    counts = ranged.filter(_HOT).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    counts = narrow.filter(_HOT).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     # The extra row is numbered too, hence one less.
     before = F.coalesce(F.sum("n").over(along), F.lit(0)) - 1
     offsets = counts.select(*keys, F.lit(-1).alias(_EDGE), before.alias("_offset"))

@@ -97,5 +97,6 @@ def test_mapping(spark):
     assert got == ["A", None, None]
     got = _apply(spark, ["a", "b", None], lambda c: text.mapped(c, {"a": "A"}, c))
     assert got == ["A", "b", None]
-    with pytest.raises(ValueError):
-        text.mapped(F.col("x"), {str(i): "x" for i in range(201)})
+    for entries in (200, 201, 1500):
+        mapping = {str(i): f"v{i}" for i in range(entries)}
+        assert _apply(spark, ["0", "199", "x", None], lambda c: text.mapped(c, mapping, c)) == ["v0", "v199", "x", None]

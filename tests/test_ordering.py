@@ -155,3 +155,40 @@ def test_empty_and_all_null(spark):
     assert with_neighbors(empty, ["id"], {"before": "v"}).count() == 0
     nulls = spark.createDataFrame([(None, 1)], "id bigint, v int")
     assert with_neighbors(nulls, ["id"], {"before": "v"}).collect()[0]["before"] is None
+
+
+@pytest.mark.parametrize("key", [
+    "array(cast(id % 7 as int), if(id % 5 = 0, null, cast(id as int)))",
+    "named_struct('a', id % 3, 'b', named_struct('c', if(id % 11 = 0, null, id), 'd', date_add(date'2024-01-01', cast(id as int))))",
+    "make_dt_interval(0, 0, cast(id as int), 0)",
+    "make_ym_interval(cast(id % 9 as int), cast(id as int))",
+    "array(named_struct('s', format_string('common %05d', id)))",
+    "cast(id as decimal(30, 7))", "if(id % 4 = 0, double('NaN'), id / 3.0)", "cast(format_string('%05d', id) as binary)",
+    "if(id % 3 = 0, null, array(id))", "timestamp_seconds(id * 61)", "id % 2 = 0",
+])
+def test_keys_of_any_type_order_alike_at_every_size(spark, monkeypatch, key):
+    """What Spark can order can be cut: no type works for a small table only."""
+    from plumbline.operators import ordering
+
+    for n in (3000,) if "interval" in key else (400, 3000):
+        df = spark.range(n).selectExpr("id", f"{key} as k", "cast(id % 5 as int) as v", "id % 3 as entity")
+        monkeypatch.setattr(ordering, "MIN_ROWS_PER_RANGE", 250_000)
+        whole = with_neighbors(df, ["k", "id"], {"before": "v"}, {"after": "v"})
+        monkeypatch.setattr(ordering, "MIN_ROWS_PER_RANGE", 300)
+        cut, numbers = with_ranges(df, ["k", "id"])
+        assert numbers and cut.select(*numbers).distinct().count() > 1
+        columns = ["id", "v", "before", "after"]
+        got = with_neighbors(df, ["k", "id"], {"before": "v"}, {"after": "v"})
+        assert _sorted(got, columns) == _sorted(whole, columns)
+
+
+def test_a_cut_table_is_read_once_for_its_keys_and_once_for_the_rows(table):
+    import contextlib
+    import io
+
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        with_neighbors(table, ["day", "id"], {"before": "v"}, ranges=20).explain()
+    plan = text.getvalue()
+    assert plan.count("InMemoryTableScan") == 1 and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert all(column not in line for line in plan.splitlines() if "parquet" in line.lower() for column in ("code", "entity"))
