@@ -290,6 +290,7 @@ def resample_towards(df: DataFrame, target: DataFrame, id_col: str = "doc_id", t
                                 (F.col("weight") + noise(F.col("doc_id").cast("string"), seed)).alias("score")), "scored")
     fit = scored.filter(F.col("n_words") >= min_words)
     drawn = percent * fit.count() // 100
-    ordered = with_row_numbers(fit.select("row", "doc_id", (-F.col("score")).alias("from_top")), ["from_top", "doc_id", "row"], "rank")
+    ordered = with_row_numbers(fit.select("row", "doc_id", (-F.col("score")).alias("from_top")), ["from_top", "doc_id", "row"], "rank",
+                               ranges=int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     ranks = ordered.filter(F.col("rank") <= drawn).select("row", "rank")
     return scored.join(ranks, "row", "left").drop("row")
