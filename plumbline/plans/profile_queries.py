@@ -9,7 +9,7 @@ from plumbline.operators import completeness, keys, structure
 from plumbline.plans.registry import query
 from plumbline.plans.tables import table
 from plumbline.plans.views import orders_view, updates_view
-from plumbline.sources.tables import csv_ingest, read_table, shared_folder
+from plumbline.sources.tables import csv_ingest, ingest_account, read_table, shared_folder
 
 LINEITEM_COLUMNS = (
     "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax "
@@ -83,6 +83,34 @@ def csv_ingest_inferred_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""SELECT o_orderkey, o_custkey, o_orderstatus,
+  CAST(o_totalprice AS DECIMAL(18,2)) AS o_totalprice, CAST(o_orderdate AS DATE) AS o_orderdate,
+  o_orderpriority FROM orders""")
+def csv_ingest_mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders as exports of two programs that order the columns differently, in one folder each."""
+    path = shared_folder(spark, "orders-exports")
+    rows = table(spark, sf_dir, "orders").withColumns({
+        "o_totalprice": F.col("o_totalprice").cast("decimal(18,2)"), "o_orderdate": F.col("o_orderdate").cast("date")})
+    halves = {"old": (rows.columns, "o_orderkey % 2 = 0"), "new": (rows.columns[::-1], "o_orderkey % 2 <> 0")}
+    for name, (columns, half) in halves.items():
+        rows.filter(half).select(*columns).write.options(
+            header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(f"{path}/{name}")
+    return csv_ingest(spark, f"{path}/*", CSV_SCHEMA)
+
+
+@query("""SELECT column_name, COUNT(*) AS row_count, 0::BIGINT AS malformed_lines,
+  COUNT(*) FILTER (WHERE column_name = 'price_text' AND price_text IS NOT NULL AND TRY_CAST(price_text AS DECIMAL(18,2)) IS NULL
+    OR column_name = 'date_text' AND date_text IS NOT NULL AND TRY_CAST(date_text AS DATE) IS NULL) AS bad_values
+  FROM O, (SELECT unnest(['o_orderkey', 'price_text', 'date_text', 'status_raw']) AS column_name) GROUP BY column_name""", "O")
+def ingest_account_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of an export with planted defects converts when it is read by a schema."""
+    path = shared_folder(spark, "defect-orders-csv")
+    orders_view(spark, sf_dir).select("o_orderkey", "price_text", "date_text", "status_raw").write.options(
+        header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    flagged = csv_ingest(spark, path, "o_orderkey bigint, price_text decimal(18,2), date_text date, status_raw string", on_bad="flag")
+    return ingest_account(flagged)
+
+
 @query(_schema_sql("lineitem", LINEITEM_COLUMNS))
 def schema_profile_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.schema_profile(read_table(spark, sf_dir, "lineitem"))

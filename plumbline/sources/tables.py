@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +31,20 @@ CORRUPT = "_corrupt_record"
 BAD_VALUES = "_bad_values"
 
 
+HEADER_JOBS = 16  # header lines read at the same time
+# What a text column can be, from narrow to wide: the first type that holds every populated value.
+# The pattern keeps out what a cast alone would let pass, such as a bare year as a date.
+_LATTICE = [
+    ("boolean", r"(?i)true|false"),
+    ("int", r"[+-]?\d+"),
+    ("bigint", r"[+-]?\d+"),
+    ("decimal(38,0)", r"[+-]?\d+"),
+    ("double", r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|NaN|[+-]?Infinity"),
+    ("date", r"\d{4}-\d{1,2}-\d{1,2}"),
+    ("timestamp", r"\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?"),
+]
+
+
 def csv_ingest(
     spark: SparkSession,
     path: str,
@@ -36,35 +53,51 @@ def csv_ingest(
     multiline: bool = False,
     on_bad: str = "fail",
 ) -> DataFrame:
-    """Load CSV with a header; quotes inside quoted fields are doubled.
+    """Load one or many CSV files with headers; quotes inside quoted fields are doubled.
+
+    The header line of every file is read at once (one short job a file), and its columns are
+    matched by name: files may order them differently. Files that do not have the same columns are
+    refused, unless a schema asks only for columns that all of them have. Files without a line are empty.
 
-    Without a schema every column is text, which costs no extra pass and lets the parse
-    operators report what would not convert. ``typed=True`` infers the types and reads the
-    file twice. ``multiline`` accepts line breaks inside quotes but makes a file unsplittable.
+    Without a schema every column is text, which costs no extra pass and lets the parse operators report
+    what would not convert. ``typed=True`` finds the narrowest type that holds every populated value of a
+    column (``infer_types``; it reads the files once more) and then reads as with that schema.
+    ``multiline`` accepts line breaks inside quotes but makes a file unsplittable.
 
-    A schema is matched with the header by name, in any order. A line with too many or too few
-    fields, or a value that does not convert, stops the job (``on_bad="fail"``), or is kept and
-    flagged (``"flag"``): ``_corrupt_record`` then holds the line, and ``_bad_values`` names the
-    columns whose text became NULL. The header line is read at once.
+    A line with too many or too few fields, or a value that does not convert, stops the job
+    (``on_bad="fail"``), or is kept and flagged (``"flag"``): ``_corrupt_record`` then holds the line, and
+    ``_bad_values`` names the columns whose text became NULL. ``ingest_account`` counts both.
     """
     if on_bad not in ("fail", "flag"):
         raise ValueError("on_bad is 'fail' or 'flag'")
+    kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
-    if typed and schema is None:
-        return reader.option("inferSchema", True).csv(path)
-    names = reader.csv(path).columns
-    text = StructType([StructField(n, StringType()) for n in [*names, CORRUPT]])
-    rows = reader.schema(text).option("columnNameOfCorruptRecord", CORRUPT).csv(path)
+    headers = _headers(spark, path, multiline)
+    names = [f.name for f in kinds] if kinds else list(next(iter(headers), ()))
+    for header, files in headers.items():
+        if missing := [n for n in names if n not in header]:
+            raise BadRows(f"no column {', '.join(missing)} in the header {', '.join(header)} of {files[0]}")
+        if kinds is None and (surplus := [n for n in header if n not in names]):
+            raise BadRows(f"column {', '.join(surplus)} of {files[0]} is not in every file")
+    parts = []
+    for header, files in headers.items():
+        text = StructType([StructField(n, StringType()) for n in [*header, CORRUPT]])
+        part = reader.schema(text).option("columnNameOfCorruptRecord", CORRUPT).csv(path if len(headers) == 1 else files)
+        parts.append(part.select(*names, CORRUPT))
+    if not parts:
+        rows = spark.createDataFrame([], StructType([StructField(n, StringType()) for n in [*names, CORRUPT]]))
+    else:
+        rows = reduce(DataFrame.unionAll, parts)
     if on_bad == "fail":
         # Every kept column hangs on the check, so a narrow read of the table is checked too.
         stop = F.raise_error(F.concat(F.lit("malformed CSV line: "), F.col(CORRUPT)))
         rows = rows.select(*[F.when(F.col(CORRUPT).isNotNull(), stop.cast("string")).otherwise(F.col(n)).alias(n)
                              for n in names])
-    if schema is None:
+    if typed and kinds is None:
+        sound = rows.filter(F.col(CORRUPT).isNull()) if on_bad == "flag" else rows
+        kinds = infer_types(sound, names)
+    if kinds is None:
         return rows
-    kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    if missing := [f.name for f in kinds if f.name not in names]:
-        raise BadRows(f"no column {', '.join(missing)} in the header {', '.join(names)}")
     values, bad = [], []
     for f in kinds:
         raw = F.col(f.name)
@@ -80,6 +113,61 @@ def csv_ingest(
     return rows.select(*values, CORRUPT, F.array_compact(F.array(*bad)).alias(BAD_VALUES))
 
 
+def _headers(spark: SparkSession, path: str, multiline: bool) -> dict[tuple[str, ...], list[str]]:
+    """The files of a path by their header, in the order of the files. Only header lines are read."""
+    files = sorted(unquote(f) for f in spark.read.text(path).inputFiles())
+
+    def header(file: str) -> tuple[str, ...]:
+        reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
+        return tuple(reader.csv(file).columns)
+
+    with ThreadPoolExecutor(HEADER_JOBS) as pool:
+        found = list(pool.map(header, files))
+    grouped: dict[tuple[str, ...], list[str]] = {}
+    for columns, file in zip(found, files):
+        if columns:
+            grouped.setdefault(columns, []).append(file)
+    return grouped
+
+
+def infer_types(rows: DataFrame, names: Sequence[str]) -> StructType:
+    """The narrowest type for each text column that holds all its populated values, in one aggregate.
+
+    Whole numbers beyond 64 bits stay exact as decimals. A column without values, or with values of
+    several kinds, is text. Dates need year, month and day.
+    """
+    def fits(name: str, kind: str, pattern: str):
+        value = F.col(name)
+        return value.rlike(rf"\A(?:{pattern})\z") & value.try_cast(kind).isNotNull()
+
+    counts = [F.count(n).alias(f"{i}") for i, n in enumerate(names)]
+    counts += [F.count_if(fits(n, kind, pattern)).alias(f"{i} {kind}")
+               for i, n in enumerate(names) for kind, pattern in _LATTICE]
+    found = rows.agg(*counts).first() if names else {}
+    kinds = []
+    for i, n in enumerate(names):
+        held = [kind for kind, _ in _LATTICE if found[f"{i}"] and found[f"{i} {kind}"] == found[f"{i}"]]
+        kinds.append(f"`{n.replace('`', '``')}` {held[0] if held else 'string'}")
+    return StructType.fromDDL(", ".join(kinds)) if kinds else StructType([])
+
+
+def ingest_account(flagged: DataFrame) -> DataFrame:
+    """``column_name, row_count, malformed_lines, bad_values`` of each column of a table read with ``on_bad="flag"``.
+
+    ``bad_values`` counts what did not convert; in one aggregate, whatever the number of columns.
+    """
+    names = [n for n in flagged.columns if n not in (CORRUPT, BAD_VALUES)]
+    bad = F.col(BAD_VALUES) if BAD_VALUES in flagged.columns else F.array().cast("array<string>")
+    # A corrupt-record column alone may not be asked of a CSV scan, so the other columns are touched as well.
+    total = flagged.agg(
+        F.count(F.lit(1)).alias("row_count"), F.count(CORRUPT).alias("malformed_lines"),
+        *[F.count_if(F.array_contains(bad, n)).alias(f"bad {i}") for i, n in enumerate(names)],
+        *[F.count(n).alias(f"seen {i}") for i, n in enumerate(names)])
+    rows = [F.struct(F.lit(n).alias("column_name"), F.col("row_count"), F.col("malformed_lines"),
+                     F.col(f"bad {i}").alias("bad_values")) for i, n in enumerate(names)]
+    return total.select(F.inline(F.array(*rows)))
+
+
 def write_cleaned(
     df: DataFrame, path: str, raw_paths: Sequence[str] = (), partition_by: Sequence[str] = ()
 ) -> DataFrame:

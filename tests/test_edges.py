@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import parsing as parse
 from plumbline.operators import categorical, keys, numeric, parsing, referential, rules, sequence, structure
 from plumbline.plans import entity_cleaning as plans
-from plumbline.sources.tables import BAD_VALUES, CORRUPT, csv_ingest, scratch_run, write_cleaned, written
+from plumbline.sources.tables import BAD_VALUES, CORRUPT, csv_ingest, ingest_account, scratch_run, write_cleaned, written
 
 
 def rows(df):
@@ -81,6 +81,52 @@ def test_csv_by_name_with_flags(spark, tmp_path):
         csv_ingest(spark, path, "a string, c int")
 
 
+def _file(folder, name, text):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text(text)
+    return str(folder)
+
+
+def test_csv_files_with_other_column_orders(spark, tmp_path):
+    """Columns are matched by name within each file; files with other columns are refused."""
+    path = _file(tmp_path / "mixed dir", "a 1.csv", "a,b\n1,2\n")
+    _file(tmp_path / "mixed dir", "b.csv", "b,a\n20,10\n")
+    _file(tmp_path / "mixed dir", "c.csv", "")
+    assert sorted(rows(csv_ingest(spark, path))) == [("1", "2"), ("10", "20")]
+    assert sorted(rows(csv_ingest(spark, path, typed=True))) == [(1, 2), (10, 20)]
+    assert sorted(rows(csv_ingest(spark, path, "b int"))) == [(2,), (20,)]
+    _file(tmp_path / "mixed dir", "d.csv", "a,c\n5,6\n")
+    assert sorted(rows(csv_ingest(spark, path, "a int"))) == [(1,), (5,), (10,)]
+    for call in (lambda: csv_ingest(spark, path), lambda: csv_ingest(spark, path, "a int, b int")):
+        with pytest.raises(ValueError, match="d.csv"):
+            call()
+    nothing = _file(tmp_path / "nothing", "c.csv", "")
+    assert csv_ingest(spark, nothing, "a int").count() == 0
+
+
+def test_typed_csv_loses_nothing(spark, tmp_path):
+    """Surplus and missing fields stop or are flagged, as with a schema."""
+    bad = _file(tmp_path / "bad", "x.csv", "a,b\n1,x\n2,y,surplus\n3\n")
+    with pytest.raises(Exception, match="malformed"):
+        csv_ingest(spark, bad, typed=True).collect()
+    flagged = csv_ingest(spark, bad, typed=True, on_bad="flag")
+    assert flagged.schema["a"].dataType.simpleString() == "int"
+    got = {r["a"]: (r["b"], r[CORRUPT]) for r in flagged.collect()}
+    assert got == {1: ("x", None), 2: ("y", "2,y,surplus"), 3: (None, "3")}
+    assert sorted(rows(ingest_account(flagged))) == [("a", 3, 2, 0), ("b", 3, 2, 0)]
+    given = csv_ingest(spark, _file(tmp_path / "given", "x.csv", "a,b\n1,2\nx,3\n"), "a int, b int", on_bad="flag")
+    assert sorted(rows(ingest_account(given))) == [("a", 2, 0, 1), ("b", 2, 0, 0)]
+
+
+def test_inferred_types(spark, tmp_path):
+    text = ("flag,small,large,huge,half,day,moment,year,mixed,none,pad,code\n"
+            "true,1,3000000000,12345678901234567890123,1.5,2024-01-02,2024-01-02 03:04:05,2024,1,, 1,007\n"
+            "FALSE,-2,4,5,2,2024-1-3,2024-01-02,2024-05-06,x,,2,010\n")
+    kinds = csv_ingest(spark, _file(tmp_path / "kinds", "x.csv", text), typed=True).dtypes
+    assert [k for _, k in kinds] == ["boolean", "int", "bigint", "decimal(38,0)", "double", "date", "timestamp", "string",
+                                     "string", "string", "string", "int"]
+
+
 def test_sink_keeps_values(spark, tmp_path):
     df = spark.createDataFrame([("007", 1), (None, 2)], "p string, v int")
     back = write_cleaned(df, str(tmp_path / "raw_out"), [str(tmp_path / "raw")], ["p"])
