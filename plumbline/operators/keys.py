@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.text import is_blank
-from plumbline.operators.shaping import as_list, null_safe_on
+from plumbline.operators.shaping import all_of, as_list, null_safe_on
 from plumbline.sources.tables import written
 
 
@@ -143,27 +143,70 @@ def require_consistent(df: DataFrame, keys: str | Sequence[str], null_keys: str
         raise ConflictingDuplicates(f"differing rows for {conflict[0].asDict()}")
 
 
+def row_digest(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes over all columns: equal rows have equal ones, differing rows nearly always differ."""
+    return [F.xxhash64(F.lit(salt), *df.columns) for salt in (1, 2)]
+
+
 def dedup_exact(
     df: DataFrame, keys: str | Sequence[str] | None = None, on_conflict: str = "error",
-    null_keys: str = "keep",
+    null_keys: str = "keep", long_text: bool = False,
 ) -> DataFrame:
     """Keep one of each set of equal rows; rows are dropped on full equality, never on a hash.
 
-    With ``keys`` the result must be unique on them: ``on_conflict="error"`` runs a check at once
-    and raises, ``"keep"`` leaves all differing rows in place for review. Rows without a key stay
+    With ``keys`` the result must be unique on them: ``on_conflict="error"`` checks at once and raises,
+    ``"keep"`` leaves all differing rows in place for review. Rows without a key stay
     (``null_keys="keep"``), go (``"drop"``) or are held to the rule like any key (``"conflict"``).
+
+    Narrow rows are folded on the map side and shuffled whole. With ``long_text`` they are not: only keys
+    and 16-byte digests are shuffled, which tell the digests that repeat and the keys with rows of
+    several digests. Rows whose digest is alone pass as they are; the others, whole, are compared with each
+    other, so that neither a row nor a conflict hides behind a digest that two different rows share.
+    That path reads the table three times and runs jobs at once; without repeated rows the table comes back untouched.
     """
     if on_conflict not in ("error", "keep"):
         raise ValueError("on_conflict is 'error' or 'keep'")
     if null_keys not in ("keep", "drop", "conflict"):
         raise ValueError("null_keys is 'keep', 'drop' or 'conflict'")
-    if keys is not None and null_keys == "drop":
-        df = df.dropna(subset=as_list(keys))
-    if keys is not None and on_conflict == "error":
+    keys = as_list(keys) if keys is not None else []
+    if keys and null_keys == "drop":
+        df = df.dropna(subset=keys)
+    checked = bool(keys) and on_conflict == "error"
+    if long_text:
+        return _dedup_by_digest(df, keys, checked, null_keys)
+    if checked:
         require_consistent(df, keys, null_keys)
     return df.distinct()
 
 
+def _dedup_by_digest(df: DataFrame, keys: list[str], checked: bool, null_keys: str) -> DataFrame:
+    marks = ["_digest0", "_digest1"]
+    hashed = df.withColumns(dict(zip(marks, row_digest(df))))
+
+    def conflicts(rows: DataFrame) -> DataFrame:
+        """Keys with several of ``rows``; those without a key only if they count as one."""
+        rows = rows if null_keys == "conflict" else rows.dropna(subset=keys)
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_variants")).filter("_variants > 1").select(*keys)
+
+    def refuse(found: DataFrame) -> None:
+        if conflict := found.take(1):
+            raise ConflictingDuplicates(f"differing rows for {conflict[0].asDict()}")
+
+    groups = hashed.groupBy(*(keys if checked else []), *marks).agg(F.count(F.lit(1)).alias("_n"))
+    if checked:
+        groups = written(groups, "row-digests")
+        refuse(conflicts(groups))
+    repeated = written(groups.filter("_n > 1").select(*marks).distinct(), "repeated-digests")
+    if repeated.isEmpty():
+        return df
+    listed = repeated.toDF("_listed0", "_listed1")
+    same = all_of(hashed[m] == listed[n] for m, n in zip(marks, listed.columns))
+    kept = written(hashed.join(listed, same, "left_semi").drop(*marks).distinct(), "repeated-rows")
+    if checked:
+        refuse(conflicts(kept))
+    return hashed.join(listed, same, "left_anti").drop(*marks).unionByName(kept)
+
+
 def business_grain_check(df: DataFrame, grain: Sequence[str], row_id: str) -> DataFrame:
     """Groups of the business grain that hold more than one distinct row id."""
     ids = df.groupBy(*grain, row_id).agg(F.count(F.lit(1)).alias("copies"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import dates, exposure, referential
+from plumbline.operators import dates, exposure, referential, rules
 from plumbline.operators.cleaning import flag_counts
 from plumbline.plans import entity_cleaning, entity_views
 from plumbline.plans.cleaning_queries import flags_as_text, flags_sql, text_sql
@@ -201,3 +201,42 @@ def stale_forecasts_with_projects(spark: SparkSession, sf_dir: str) -> DataFrame
     projects = entity_cleaning.clean_projects(entity_views.projects(spark, sf_dir)).select(
         "project_id", "std_project_status", "std_baseline_completion_date")
     return referential.enrich_join(stale, projects, "project_id")
+
+
+def _rates_sql(where: str) -> str:
+    return f"""SELECT h.* EXCLUDE (rid), 4101::BIGINT AS candidates_tried,
+  COUNT(*) OVER (PARTITION BY h.rid) AS matching_candidates, g.candidate
+  FROM (SELECT time_entry_id, regular_hours, overtime_hours, hourly_rate, labor_cost, row_number() OVER () AS rid FROM H {where}) h,
+  (SELECT CAST(i / 100.0 AS DECIMAL(10,2)) AS candidate FROM range(2700, 6801) t(i)) g
+  WHERE {PAY_SQL.format(rate="g.candidate")} = h.labor_cost"""
+
+
+def _rates(entries: DataFrame) -> DataFrame:
+    """All rates from 27.00 to 68.00 in cents that reproduce an entry's cost; pay never falls with the rate."""
+    pay = lambda rate: entity_cleaning.labor_cost(
+        F.col("regular_hours"), F.col("overtime_hours"), rate.cast("decimal(10,2)"))
+    columns = ["time_entry_id", "regular_hours", "overtime_hours", "hourly_rate", "labor_cost"]
+    found = rules.candidate_search(entries.select(*columns), 2700, 6800, 2, pay, F.col("labor_cost"), monotone=True)
+    return found.withColumn("candidate", F.col("candidate").cast("decimal(10,2)"))
+
+
+@query(_rates_sql("WHERE hourly_rate IS NULL"), "H")
+def candidate_search_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rates(entity_views.labor(spark, sf_dir).filter(F.col("hourly_rate").isNull()))
+
+
+@query(f"""SELECT status, COUNT(*) AS entries FROM (SELECT rid, CASE
+    WHEN COUNT(candidate) = 0 THEN 'none' WHEN COUNT(*) FILTER (candidate = hourly_rate) = 0 THEN 'others'
+    WHEN COUNT(candidate) = 1 THEN 'recorded only' ELSE 'recorded among others' END AS status
+  FROM (SELECT regular_hours, overtime_hours, hourly_rate, labor_cost, row_number() OVER () AS rid FROM H WHERE hourly_rate IS NOT NULL) h
+  LEFT JOIN (SELECT CAST(i / 100.0 AS DECIMAL(10,2)) AS candidate FROM range(2700, 6801) t(i)) g
+  ON {PAY_SQL.format(rate="g.candidate")} = h.labor_cost GROUP BY rid) GROUP BY status""", "H")
+def candidate_search_rate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which recorded rates the search would have found, over all entries."""
+    entries = entity_views.labor(spark, sf_dir).filter(F.col("hourly_rate").isNotNull())
+    found = _rates(entries).groupBy("time_entry_id", "hourly_rate").agg(
+        F.first("matching_candidates").alias("n"), F.max((F.col("candidate") == F.col("hourly_rate")).cast("int")).alias("own"))
+    status = F.when(F.col("own") == 0, "others").when(F.col("n") == 1, "recorded only").otherwise("recorded among others")
+    counted = entries.select("time_entry_id", "hourly_rate").join(found, ["time_entry_id", "hourly_rate"], "left")
+    return counted.groupBy(F.when(F.col("n").isNull(), "none").otherwise(status).alias("status")).agg(
+        F.count(F.lit(1)).alias("entries"))

@@ -232,7 +232,7 @@ def dedup_exact_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT DISTINCT text, lang, source FROM documents")
 def dedup_exact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.dedup_exact(
-        table(spark, sf_dir, "documents").select("text", "lang", "source"))
+        table(spark, sf_dir, "documents").select("text", "lang", "source"), long_text=True)
 
 
 @query("""SELECT user_id, CAST(ts AS DATE) AS report_date, COUNT(DISTINCT event_id) AS distinct_ids,

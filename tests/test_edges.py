@@ -2,6 +2,7 @@
 
 import datetime as dt
 from decimal import Decimal as D
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,15 +39,17 @@ def test_a_fix_to_null_and_two_spellings_of_a_standard(spark):
     assert rows(categorical.variant_rows(df, "v", ["F", "f"])) == [(3, "F ")]
 
 
-def test_duplicate_guard_compares_values(spark):
+@pytest.mark.parametrize("long_text", [False, True])
+def test_duplicate_guard_compares_values(spark, long_text):
+    dedup_exact = partial(keys.dedup_exact, long_text=long_text)
     shifted = spark.createDataFrame([(1, None, "x"), (1, "x", None)], "k int, a string, b string")
     with pytest.raises(keys.ConflictingDuplicates):
-        keys.dedup_exact(shifted, "k")
+        dedup_exact(shifted, "k")
     unknown = spark.createDataFrame([(None, "a"), (None, "b"), (None, "b"), (1, "c"), (1, "c")], "k int, v string")
-    assert rows(keys.dedup_exact(unknown, "k")) == [(1, "c"), (None, "a"), (None, "b")]
-    assert rows(keys.dedup_exact(unknown, "k", null_keys="drop")) == [(1, "c")]
+    assert rows(dedup_exact(unknown, "k")) == [(1, "c"), (None, "a"), (None, "b")]
+    assert rows(dedup_exact(unknown, "k", null_keys="drop")) == [(1, "c")]
     with pytest.raises(keys.ConflictingDuplicates):
-        keys.dedup_exact(unknown, "k", null_keys="conflict")
+        dedup_exact(unknown, "k", null_keys="conflict")
 
 
 def test_null_keys_of_a_dimension_join_nothing(spark):
@@ -81,6 +84,32 @@ def test_csv_by_name_with_flags(spark, tmp_path):
         csv_ingest(spark, path, "a string, c int")
 
 
+def test_duplicates_are_exact_when_digests_collide(spark, monkeypatch):
+    """All rows share one digest: rows and conflicts are still told apart, key by key."""
+    monkeypatch.setattr(keys, "row_digest", lambda df: [F.lit(1).cast("bigint"), F.lit(2).cast("bigint")])
+    data = [(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "d"), (None, "d")]
+    df = spark.createDataFrame(data, "k int, v string")
+    assert sorted(rows(keys.dedup_exact(df, long_text=True)), key=repr) == sorted(set(data), key=repr)
+    assert sorted(rows(keys.dedup_exact(df, "k")), key=repr) == sorted(set(data), key=repr)
+    with pytest.raises(keys.ConflictingDuplicates):
+        keys.dedup_exact(df.unionAll(spark.createDataFrame([(2, "z")], "k int, v string")), "k", long_text=True)
+
+
+def test_duplicate_removal_shuffles_no_text(spark):
+    import contextlib
+    import io
+
+    df = spark.range(2000).selectExpr("id % 1990 as k", "repeat(cast(id % 1990 as string), 50) as text", "if(id % 3 = 0, double('-0.0'), 0.0) * 0 as z")
+    got = keys.dedup_exact(df.withColumn("z", F.when(F.col("k") < 5, F.col("z")).otherwise(F.lit(float("nan")))), long_text=True)
+    assert got.count() == 1990 and got.select("k").distinct().count() == 1990
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        got.explain()
+    assert "Exchange hashpartitioning" not in text.getvalue()
+    alone = spark.range(50).selectExpr("id as k", "cast(id as string) as v")
+    assert keys.dedup_exact(alone, "k", long_text=True) is alone
+
+
 def _file(folder, name, text):
     folder.mkdir(exist_ok=True)
     (folder / name).write_text(text)

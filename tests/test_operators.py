@@ -6,6 +6,7 @@ import io
 import random
 from collections import Counter
 from decimal import Decimal as D
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,19 +86,21 @@ def test_duplicate_classification(skewed):
     assert got == expected
 
 
-def test_dedup_keeps_one_copy_and_refuses_conflicts(spark, skewed):
+@pytest.mark.parametrize("long_text", [False, True])
+def test_dedup_keeps_one_copy_and_refuses_conflicts(spark, skewed, long_text):
+    dedup_exact = partial(keys.dedup_exact, long_text=long_text)
     data, df = skewed
-    unique = keys.dedup_exact(df)
+    unique = dedup_exact(df)
     assert Counter(map(tuple, unique.collect())) == Counter(set(data))
-    assert Counter(map(tuple, keys.dedup_exact(unique).collect())) == Counter(set(data))
+    assert Counter(map(tuple, dedup_exact(unique).collect())) == Counter(set(data))
     with pytest.raises(keys.ConflictingDuplicates):
-        keys.dedup_exact(df, "k")
-    assert keys.dedup_exact(df, "k", on_conflict="keep").count() == len(set(data))
+        dedup_exact(df, "k")
+    assert dedup_exact(df, "k", on_conflict="keep").count() == len(set(data))
     exact = spark.createDataFrame([(1, None), (1, None), (2, "b")], "k int, v string")
-    assert keys.dedup_exact(exact, "k").count() == 2
+    assert dedup_exact(exact, "k").count() == 2
     half_null = spark.createDataFrame([(1, None), (1, "b")], "k int, v string")
     with pytest.raises(keys.ConflictingDuplicates):
-        keys.dedup_exact(half_null, "k")
+        dedup_exact(half_null, "k")
 
 
 def test_business_grain(spark):
@@ -257,6 +260,19 @@ def test_candidate_grid_finds_the_single_solution(spark):
         rules.candidate_search(target, 2, 1, 2, lambda c: c, F.col("cost"))
 
 
+@pytest.mark.parametrize("grid", [(0, 0), (1, 2), (-300, 300), (2700, 6800), (5, 1030)])
+def test_halving_the_grid_finds_what_the_whole_grid_finds(spark, grid):
+    rng = random.Random(grid[1])
+    data = [(i, D(rng.randrange(-900, 900)) / 100, D(rng.randrange(-50_000, 300_000)) / 100) for i in range(300)]
+    data += [(i, h, (h * rng.randint(*grid) / 100).quantize(D("0.01"))) for i, h, _ in data]
+    data += [(1, D(0), D(0)), (2, None, D(1)), (3, D(1), None), (4, D("0.01"), D("0.03"))]
+    df = spark.createDataFrame(data, "id int, hours decimal(10,2), cost decimal(18,2)")
+    formula = lambda c: F.round(F.col("hours") * c, 2)
+    whole, halved = (rules.candidate_search(df, *grid, 2, formula, F.col("cost"), m) for m in (False, True))
+    assert whole.columns == halved.columns and whole.dtypes == halved.dtypes
+    assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, halved.collect()))
+
+
 def test_dates(spark):
     d = dt.date
     df = spark.createDataFrame(
