@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.shared import bound_batches
+
 FEATURES = 4096
 SAMPLE = 2_400     # labelled rows the classifiers are fitted on, over all languages
 UNDETERMINED = "und"
@@ -149,6 +151,7 @@ def keep_identified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Learns from the labelled rows of ``df`` itself, as ``identify_language`` does.
     """
+    bound_batches(df.sparkSession)
     base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                      F.col(lang_col).cast("string").alias("lang"))
     train = base.filter("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL").filter(

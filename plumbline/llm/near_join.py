@@ -9,7 +9,10 @@ array form one class, so copies are compared once. Links are found in two passes
 * Full pass. Two sets with J >= t share a shingle among the first ``n - ceil(t n) + 1`` of any
   common order, so each class is dealt to tiles (shingle, size band, block) by those shingles.
   Frequent shingles come last in the order. Tiles that hold one component only need no
-  comparison; in the others, only classes of different components are compared.
+  comparison; in the others, only classes of different components are compared. In a large tile
+  the bitmaps are as wide as the sets ask for, and a pair leaves only the first large tile that it is
+  in: each row carries the large tiles its class was in before. So what leaves the tiles is at most
+  ``LARGE`` pairs for a row of a small tile, and of the large ones each pair once, if it is near the limit.
 
 A comparison first bounds the overlap from above by the bit counts of two hashed bitmaps, then
 intersects the sorted arrays. Both passes together give every component exactly.
@@ -23,17 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.graph import components
-from plumbline.llm.shared import BROADCAST_IDS, mix, scratch, shingle_sets, signed, texts_of
+from plumbline.llm.shared import BROADCAST_IDS, bound_batches, free_name, mix, scratch, shingle_sets, signed, texts_of
 
 SHINGLE = 5
 STARS = 16         # min-hashes per class in the star pass; two by two they make its buckets
 BLOCK = 512        # classes of one side of a tile
 PAIRS = 50_000     # pairs of a tile whose bitmaps are held at once
-NARROW = 8         # 64-bit words of the bitmaps that are dealt to tiles
+LARGE = 32         # rows beyond which a tile is large
+NARROW = 8         # 64-bit words of the bitmaps that are dealt to small tiles
 HINTS = 131_072    # frequent shingles that the order knows of; they only steer the speed
 CHUNK = 2_000_000  # shingles held at once while frequent ones are looked for
 
@@ -47,7 +51,12 @@ def class_of(hashes: np.ndarray) -> int:
 
 def band_of(n: int, percent: int) -> int:
     """Sizes that can link lie in the same or in adjacent bands."""
-    return math.floor(math.log(n) / math.log(100 / percent) + 1e-9) if n else -1
+    return math.floor(math.log(n) / band_width(percent) + 1e-9) if n else -1
+
+
+def band_width(percent: int) -> float:
+    """Logarithm of the ratio of the sizes a band spans; nearly none where only equal sets link."""
+    return max(math.log(100 / percent), 1e-9)
 
 
 def bitmap_of(hashes: np.ndarray) -> bytes:
@@ -175,7 +184,7 @@ def _tile_pairs(percent: int):
     of the first shingle two classes have in common, all else they share comes after it: with
     ``place`` shingles before it, n - place bounds the overlap. Pairs that this excludes are left
     out of a tile; a pair that links is never excluded from that first one. A pair that several
-    tiles of a batch hold is looked at once.
+    small tiles of a batch hold is looked at once.
     """
     keys = ["shingle", "band", "block_a", "block_b"]
 
@@ -184,15 +193,33 @@ def _tile_pairs(percent: int):
             "n_shingles", "component", "class_id", "high", "block", "place"))
         rest = n - place
         apart = (batch["block_a"] != batch["block_b"]).to_numpy()
+        large = batch["large"].to_numpy(bool)
         left, right, held = [], [], 0
-        for s, e in zip(starts, ends):
-            i, j = np.triu_indices(e - s, 1)
-            i, j = i + s, j + s
+
+        def possible(i, j, s):
             ok = (comp[i] != comp[j]) & (high[i] + high[j] < 2)
             if apart[s]:
                 ok &= block[i] != block[j]
             ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-            ok &= (100 + percent) * np.minimum(rest[i], rest[j]) >= percent * (n[i] + n[j])
+            return ok & ((100 + percent) * np.minimum(rest[i], rest[j]) >= percent * (n[i] + n[j]))
+
+        for s, e in zip(starts, ends):
+            if large[s]:
+                # Row by row, so that the pairs of one tile are never held together.
+                parts, waiting = [], 0
+                for k in range(s, e - 1):
+                    j = np.arange(k + 1, e)
+                    j = j[possible(np.full(len(j), k), j, s)]
+                    parts.append((np.full(len(j), k), j))
+                    waiting += len(j)
+                    if waiting > PAIRS or k == e - 2:
+                        if waiting:
+                            yield first_time(batch, ids, n, *map(np.concatenate, zip(*parts)))
+                        parts, waiting = [], 0
+                continue
+            i, j = np.triu_indices(e - s, 1)
+            i, j = i + s, j + s
+            ok = possible(i, j, s)
             left.append(i[ok])
             right.append(j[ok])
             held += len(left[-1])
@@ -209,15 +236,30 @@ def _tile_pairs(percent: int):
         i, j = i[order], j[order]
         new = np.concatenate([[True], (ids[i[1:]] != ids[i[:-1]]) | (ids[j[1:]] != ids[j[:-1]])])
         i, j = i[new], j[new]
+        keep = np.flatnonzero(near(batch, n, i, j, NARROW))
+        return pd.DataFrame({"a": ids[i[keep]], "b": ids[j[keep]]})
+
+    def near(batch, n, i, j, words):
+        """Whether the bit counts of the bitmaps, folded to ``words``, leave enough overlap."""
         used, back = np.unique(np.concatenate([i, j]), return_inverse=True)
-        bits = np.frombuffer(b"".join(batch["narrow"].iloc[used]), np.uint64).reshape(-1, NARROW)
+        bits = np.stack([fold(np.frombuffer(x, np.uint64), words) for x in batch["bits"].iloc[used]])
         x, y = back[:len(i)], back[len(i):]
+        step = max(1, PAIRS * NARROW // words)
         differing = np.concatenate([
-            np.bitwise_count(bits[x[k:k + PAIRS]] ^ bits[y[k:k + PAIRS]]).sum(axis=1, dtype=np.int64)
-            for k in range(0, len(x), PAIRS)])
+            np.bitwise_count(bits[x[k:k + step]] ^ bits[y[k:k + step]]).sum(axis=1, dtype=np.int64)
+            for k in range(0, len(x), step)])
         most = np.minimum(np.minimum(n[i], n[j]), (n[i] + n[j] - differing) // 2)
-        keep = np.flatnonzero(100 * most >= percent * (n[i] + n[j] - most))
-        return pd.DataFrame({"a": ids[i[keep]], "b": ids[j[keep]]})
+        return 100 * most >= percent * (n[i] + n[j] - most)
+
+    def first_time(batch, ids, n, i, j):
+        """Pairs of one large tile by its full bitmaps, without those that met in a large tile before."""
+        words = min(len(x) for x in batch["bits"].iloc[np.unique(np.concatenate([i, j]))]) // 8
+        keep = near(batch, n, i, j, words)
+        i, j = i[keep], j[keep]
+        before = {k: set(batch["earlier"].iat[k]) for k in set(i.tolist()) | set(j.tolist())}
+        new = np.array([before[p].isdisjoint(before[q]) for p, q in zip(i.tolist(), j.tolist())], bool)
+        i, j = i[new], j[new]
+        return pd.DataFrame({"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry = None
@@ -268,6 +310,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     row of the component has an id. Rows that repeat an id are compared each on their own.
     Any further column of ``df`` is ignored. An empty table gives an empty table.
     """
+    bound_batches(df.sparkSession)
     base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = scratch(base.withColumn("text_hash", F.xxhash64("text")).mapInPandas(_sketches(percent), _SKETCH), "sketch")
     docs = sketch.filter("kind = 0").select("doc_id", "text_hash", "class_id", "n_shingles")
@@ -289,7 +332,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = scratch(base.mapInPandas(_prefixes(percent, *_order_hints(sketch)),
                                     "shingle long, class_id long, place int"),
                    "prefixes")
-    pairs = _contested_pairs(rows, known, percent)
+    pairs = _contested_pairs(rows, known, sizes, percent)
     all_links = star_links.unionByName(_verify(base, classes, sizes, pairs, percent))
     final = components(all_links)
 
@@ -314,21 +357,25 @@ def keep_one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     match = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["text_hash"] == b["text_hash"])
     kept = scratch(least.join(counts, match(least, counts)).select(least["doc_id"], least["text_hash"], "rows"), "kept")
     wordless = found.filter("n_shingles = 0").select(*keys).distinct().withColumn("rows", F.lit(1).cast("long"))
+    id_name, hash_name = free_name(df, "_id"), free_name(df, "_hash")
     kept = scratch(kept.unionByName(wordless).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "rows"), "kept")
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+        F.col("doc_id").alias(id_name), F.col("text_hash").alias(hash_name), F.col("rows").alias("n")), "kept")
+    listed = lambda part: kept.filter(part).select(id_name, hash_name)
+    on = F.col(id_col).cast("long").eqNullSafe(F.col(id_name)) & (F.xxhash64(text_col) == F.col(hash_name))
 
     def rows_of(part: DataFrame) -> DataFrame:
         part = F.broadcast(part) if part.count() <= BROADCAST_IDS else part
         return df.join(part, on, "left_semi")
 
-    single = rows_of(kept.filter("rows = 1").select("_id", "_hash"))
-    several = kept.filter("rows > 1").select("_id", "_hash")
+    single = rows_of(listed("n = 1"))
+    several = listed("n > 1")
     if several.isEmpty():
         return single
-    # Rows that share id and text: one of them, told apart by no more than those two.
-    folded = rows_of(several).groupBy(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash")).agg(
-        *[F.first(c).alias(c) for c in df.columns]).select(*df.columns)
+    # Rows that share id and text: one of them whole, the least if their types have an order.
+    row = F.struct(*df.columns)
+    one = F.first(row) if any("map<" in f.dataType.simpleString() for f in df.schema) else F.min(row)
+    folded = rows_of(several).groupBy(F.col(id_col).alias(id_name), F.xxhash64(text_col).alias(hash_name)).agg(
+        one.alias("row")).select("row.*")
     return single.unionByName(folded)
 
 
@@ -349,7 +396,7 @@ def _star_pairs(classes: DataFrame, percent: int) -> DataFrame:
     A bucket is a size band and two min-hashes, so that a passage which many texts share rarely
     makes one. The three are the least and the greatest class and the least by another hash.
     """
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent) + 1e-9)
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / band_width(percent) + 1e-9)
     couples = F.array(*[F.xxhash64(F.lit(j), F.col("stars")[2 * j], F.col("stars")[2 * j + 1], band)
                         for j in range(STARS // 2)])
     dealt = classes.select("class_id", F.explode(couples).alias("bucket"))
@@ -361,12 +408,12 @@ def _star_pairs(classes: DataFrame, percent: int) -> DataFrame:
         "class_id <> head").select(F.least("class_id", "head").alias("a"), F.greatest("class_id", "head").alias("b")).distinct()
 
 
-def _contested_pairs(rows: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+def _contested_pairs(rows: DataFrame, known: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes from tiles that hold more than one component, by bit counts."""
     shared = rows.groupBy("shingle").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter(
         "lo < hi").select("shingle")
     kept = rows.join(shared, "shingle").distinct()
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / percent) + 1e-9)
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / band_width(percent) + 1e-9)
     placed = scratch(kept.join(known, "class_id").select(
         "shingle", "class_id", "place", "n_shingles", "component", band.alias("own")), "placed")
     # A tile (shingle, band) holds its own band, and the next one up for comparison with it.
@@ -377,16 +424,22 @@ def _contested_pairs(rows: DataFrame, known: DataFrame, percent: int) -> DataFra
     mixed = dealt.groupBy("shingle", "band").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("high").alias("low_side"),
         F.count(F.lit(1)).alias("rows")).filter("lo < hi AND low_side = 0").select(
-        "shingle", "band", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
-    tiles = dealt.join(mixed, ["shingle", "band"]).withColumn(
-        "block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
-    tiles = tiles.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "shingle", "band", "class_id", "place", "n_shingles", "component", "high", "block",
+        "shingle", "band", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"), (F.col("rows") > LARGE).alias("large"))
+    tiles = scratch(dealt.join(mixed, ["shingle", "band"]).withColumn(
+        "block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")), "tiles")
+    # The tile of a pair in a band is the same for both, so the earlier ones of that band tell whether they met.
+    along = Window.partitionBy("class_id", "band").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    large = tiles.filter("large").withColumn("earlier", F.collect_list("shingle").over(along))
+    small = tiles.filter("NOT large").withColumn("earlier", F.array().cast("array<long>"))
+    signed_rows = [rows.join(sigs.withColumnRenamed(bits, "bits"), "class_id") for rows, sigs, bits in (
+        (small, known.select("class_id", "narrow"), "narrow"), (large, sizes.select("class_id", "bitmap"), "bitmap"))]
+    ready = signed_rows[0].unionByName(signed_rows[1]).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "shingle", "band", "class_id", "place", "n_shingles", "component", "high", "block", "large", "earlier", "bits",
         F.least("block", "other").alias("block_a"), F.greatest("block", "other").alias("block_b"))
     keys = ["shingle", "band", "block_a", "block_b"]
-    sigs = known.select("class_id", "narrow")
-    ready = tiles.join(sigs, "class_id").repartition(*keys).sortWithinPartitions(*keys)
-    return ready.mapInPandas(_tile_pairs(percent), "a long, b long").distinct()
+    dealt_out = ready.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt_out.mapInPandas(_tile_pairs(percent), "a long, b long").distinct()
 
 
 def _verify(base: DataFrame, classes: DataFrame, sizes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:

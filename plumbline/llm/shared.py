@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: A list of ids of at most this many rows (8 bytes each) is broadcast, a longer one is shuffled.
 BROADCAST_IDS = 1_000_000
+BATCH_BYTES = 4 << 20
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _MIX1 = np.uint64(0xBF58476D1CE4E5B9)
@@ -36,6 +37,24 @@ def scratch(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let an Arrow batch hold at most ``BATCH_BYTES`` of text; a session's own lower limit stays.
+
+    A Python worker holds a batch several times over, as Arrow, as strings and as what is made of them.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer by underscores if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -115,14 +134,15 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.concatenate([[0], np.searchsorted(starts, ends)])
 
 
-def pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def pieces(texts: list) -> Iterator[tuple[int, int]]:
     """Ranges of texts that make up about a piece of bytes."""
     begin, size = 0, 0
     for i, text in enumerate(texts):
-        if size and size + len(text) > PIECE:
+        length = len(text) if isinstance(text, (str, bytes)) else 0
+        if size and size + length > PIECE:
             yield begin, i
             begin, size = i, 0
-        size += len(text)
+        size += length
     if begin < len(texts):
         yield begin, len(texts)
 
@@ -140,9 +160,8 @@ def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def shingles(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
     """For each text its shingle hashes by position; for fewer words the whole sequence as one."""
-    data = [ascii_lower(t) for t in texts]
-    for begin, end in pieces(data):
-        hashes, at = word_hashes(data[begin:end])
+    for begin, end in pieces(texts):
+        hashes, at = word_hashes([ascii_lower(t) for t in texts[begin:end]])
         runs = rolling(hashes, size)
         for b, e in zip(at[:-1], at[1:]):
             yield runs[b:e - size + 1] if e - b >= size else rolling(hashes[b:e], e - b)[:int(e > b)]

@@ -334,3 +334,55 @@ def test_pipeline(spark, sf_dir, documents):
     assert len(set(components(sets).values())) == len(out)
     assert not any(re.search(r'token = "[0-9a-f]{24}', r.text) for r in out)
     assert all(r.n_chars == len(r.text) for r in out)
+
+
+@pytest.mark.parametrize("n_words, changes", [(1500, 85), (120, 3)])
+def test_near_join_of_a_dense_group_at_the_threshold(spark, monkeypatch, n_words, changes):
+    """Hundreds of texts whose likeness is about the threshold: exact components, and far fewer pairs than all."""
+    rng = np.random.default_rng(n_words)
+    base = [f"b{i}" for i in range(n_words)]
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        for k in rng.choice(n_words, int(rng.integers(changes - 1, changes + 2)) // (1 + (n_words > 500)), replace=False):
+            w[k] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    followed = []
+    verify = near_join._verify
+    monkeypatch.setattr(near_join, "_verify", lambda base, classes, sizes, pairs, percent: followed.append(pairs.count()) or verify(
+        base, classes, sizes, pairs, percent))
+    got = {r.doc_id: r.component_id for r in near_join.ngram_jaccard_join(df).collect()}
+    assert got == components({i: shingles(t) for i, t in enumerate(texts)})
+    assert followed[1] <= 6000, "most of the 44,850 pairs must stay in the tiles"
+
+
+def test_equal_sets_only(spark):
+    texts = ["a b c d e f", "A b c d e f", "a b c d e f g", "x", "x", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in near_join.ngram_jaccard_join(df, percent=100).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5}
+
+
+def test_pairs_leave_the_first_large_tile_only(monkeypatch):
+    """Against all tiles at once: the same pairs, each from one large tile."""
+    rng = np.random.default_rng(2)
+    sets = {c: np.sort(rng.choice(np.arange(1, 60, dtype=np.uint64), 53, replace=False)) for c in range(40)}
+    rows = []
+    for c, h in sets.items():
+        for place, x in enumerate(h[:near_join.prefix_length(len(h), 75)]):
+            rows.append(dict(shingle=int(x), band=0, class_id=c, place=place, n_shingles=len(h), component=c, high=0, block=0,
+                             block_a=0, block_b=0, bits=near_join.bitmap_of(h), earlier=[int(v) for v in h[:place]]))
+    import pandas as pd
+    frame = pd.DataFrame(rows).sort_values(["shingle", "band", "block_a", "block_b"], ignore_index=True)
+    found = {}
+    for large in (False, True):
+        narrow = frame.assign(large=large)
+        if not large:
+            narrow["bits"] = [near_join.fold(np.frombuffer(b, np.uint64), near_join.NARROW).tobytes() for b in narrow["bits"]]
+        out = pd.concat(list(near_join._tile_pairs(75)(iter([narrow]))))
+        found[large] = sorted(zip(out["a"], out["b"]))
+    linked = {(a, b) for a, b in itertools.combinations(sets, 2)
+              if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
+    assert linked <= set(found[True]) <= set(found[False]) and linked
+    assert len(set(found[True])) == len(found[True])
