@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.shared import scratch
+from plumbline.llm.shared import free_name, scratch
 
 MISSING = "(none)"
 
@@ -97,7 +97,7 @@ def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     ``budget`` is the share of all tokens to draw. NULL sources, languages and topics form a
     value of their own. Texts without a token (NULL, empty, blank) have probability 0. Whether a
     row is drawn hangs on its id, its text and ``seed`` alone, so repeated rows fare alike.
-    Columns of ``df`` with those four names are replaced.
+    Columns of ``df`` with those four names, ``mix_source`` or ``mix_lang`` are left out or replaced.
     """
     own = ["mix_source", "mix_lang", "mix_topic"]
     tagged = df.drop("mix_topic", "mix_tokens", "mix_probability", "mix_sampled", *own[:2]).withColumns({
@@ -107,11 +107,12 @@ def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
         "mix_tokens": token_count(F.col(text_col))})
     cells = tagged.groupBy(*own).agg(F.sum("mix_tokens").alias("tokens"))
     named = {f"mix_{k}": v for k, v in (targets or {}).items()}
+    rate = free_name(df, "mix_rate")
     rates = scratch(rake(cells, own, budget, named, temperature).select(
-        *own, F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("mix_rate")), "rates")
+        *own, F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias(rate)), "rates")
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     kept = [c for c in tagged.columns if c not in (*own, "mix_tokens")]
-    probability = F.when(F.col("mix_tokens") > 0, F.col("mix_rate")).otherwise(0.0)
+    probability = F.when(F.col("mix_tokens") > 0, F.col(rate)).otherwise(0.0)
     return (tagged.join(rates, own).withColumn("mix_probability", probability)
             .withColumn("mix_sampled", draw < F.col("mix_probability"))
             .select(*kept, "mix_topic", "mix_tokens", "mix_probability", "mix_sampled"))

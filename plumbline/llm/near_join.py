@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.graph import components
-from plumbline.llm.shared import BROADCAST_IDS, bound_batches, free_name, mix, scratch, shingle_sets, signed, texts_of
+from plumbline.llm.shared import BROADCAST_IDS, bound_batches, discard, free_name, mix, scratch, shingle_sets, signed, texts_of
 
 SHINGLE = 5
 STARS = 16         # min-hashes per class in the star pass; two by two they make its buckets
@@ -313,12 +313,14 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bound_batches(df.sparkSession)
     base = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = scratch(base.withColumn("text_hash", F.xxhash64("text")).mapInPandas(_sketches(percent), _SKETCH), "sketch")
-    docs = sketch.filter("kind = 0").select("doc_id", "text_hash", "class_id", "n_shingles")
+    docs = scratch(sketch.filter("kind = 0").select("doc_id", "text_hash", "class_id", "n_shingles"), "docs")
     classes = scratch(
         sketch.filter("kind = 0 AND n_shingles > 0").groupBy("class_id").agg(
             F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("text_hash"), F.first("n_shingles").alias("n_shingles"),
             F.first("stars").alias("stars"), F.first("bitmap").alias("bitmap"),
             F.first("narrow").alias("narrow")), "classes")
+    hints = _order_hints(sketch)
+    discard(sketch)
     sizes = classes.select("class_id", "n_shingles", "bitmap")
 
     star_links = _verify(base, classes, sizes, _star_pairs(classes, percent), percent)
@@ -329,9 +331,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
             "class_id", "n_shingles", "narrow", F.coalesce("component", "class_id").alias("component")),
         "known")
 
-    rows = scratch(base.mapInPandas(_prefixes(percent, *_order_hints(sketch)),
-                                    "shingle long, class_id long, place int"),
-                   "prefixes")
+    rows = scratch(base.mapInPandas(_prefixes(percent, *hints), "shingle long, class_id long, place int"), "prefixes")
     pairs = _contested_pairs(rows, known, sizes, percent)
     all_links = star_links.unionByName(_verify(base, classes, sizes, pairs, percent))
     final = components(all_links)
@@ -416,6 +416,7 @@ def _contested_pairs(rows: DataFrame, known: DataFrame, sizes: DataFrame, percen
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / band_width(percent) + 1e-9)
     placed = scratch(kept.join(known, "class_id").select(
         "shingle", "class_id", "place", "n_shingles", "component", band.alias("own")), "placed")
+    discard(rows)
     # A tile (shingle, band) holds its own band, and the next one up for comparison with it.
     dealt = placed.select("shingle", "class_id", "place", "n_shingles", "component", F.explode(F.array(
         F.struct(F.col("own").alias("band"), F.lit(0).alias("high")),
@@ -427,6 +428,7 @@ def _contested_pairs(rows: DataFrame, known: DataFrame, sizes: DataFrame, percen
         "shingle", "band", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"), (F.col("rows") > LARGE).alias("large"))
     tiles = scratch(dealt.join(mixed, ["shingle", "band"]).withColumn(
         "block", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int")), "tiles")
+    discard(placed)
     # The tile of a pair in a band is the same for both, so the earlier ones of that band tell whether they met.
     along = Window.partitionBy("class_id", "band").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     large = tiles.filter("large").withColumn("earlier", F.collect_list("shingle").over(along))
@@ -454,5 +456,6 @@ def _verify(base: DataFrame, classes: DataFrame, sizes: DataFrame, pairs: DataFr
         _sets, "class_id long, members binary"), "sets")
     a = sets.select(F.col("class_id").alias("a"), F.col("members").alias("set_a"))
     b = sets.select(F.col("class_id").alias("b"), F.col("members").alias("set_b"))
-    return scratch(pairs.join(a, "a").join(b, "b").mapInPandas(_verified(percent), "a long, b long"),
-                   "linked")
+    linked = scratch(pairs.join(a, "a").join(b, "b").mapInPandas(_verified(percent), "a long, b long"), "linked")
+    discard(sets, pairs)
+    return linked

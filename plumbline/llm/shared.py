@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.tables import shared_folder
+
 #: A list of ids of at most this many rows (8 bytes each) is broadcast, a longer one is shuffled.
 BROADCAST_IDS = 1_000_000
 BATCH_BYTES = 4 << 20
@@ -20,21 +21,22 @@ _MIX2 = np.uint64(0x94D049BB133111EB)
 
 
 def scratch(df: DataFrame, purpose: str) -> DataFrame:
-    """Write an intermediate table to the shared folder and read it back.
+    """Write an intermediate table to the shared folder that the session names and read it back.
 
-    The folder is the one the session names in ``spark.checkpoint.dir``; only a local session
-    that names none (tests) gets a folder of its own, which is then set for the session.
+    ``discard`` or the end of a ``scratch_run`` deletes it.
     """
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to storage that all executors share")
-        base = tempfile.mkdtemp(prefix="plumbline-llm-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more, each the whole of one ``scratch``."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {unquote(file).rpartition("/")[0] for file in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bound_batches(spark: SparkSession) -> None:

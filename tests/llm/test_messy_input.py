@@ -188,3 +188,18 @@ def test_pipeline_stages(messy, empty, spark, sf_dir, stage):
         out.collect()
         if stage < 4:
             assert out.columns == docs.columns
+
+
+def test_names_that_operators_use_inside(messy):
+    """Columns called like the operators' own are kept as they are."""
+    clash = messy.withColumns({n: F.lit(n) for n in ("_id", "_hash", "rows", "n", "mix_rate", "shingle", "row", "line")})
+    kept = near_join.keep_one_of_each(clash)
+    assert kept.columns == clash.columns and {(r["_id"], r["_hash"], r["n"]) for r in rows(kept)} == {("_id", "_hash", "n")}
+    mixed = mixing.mix_sources(clash)
+    assert {r["mix_rate"] for r in rows(mixed)} == {"mix_rate"} and len(rows(mixed)) == 12
+
+
+def test_repeats_that_differ_elsewhere_keep_one_whole_row(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", "x", 2), (1, "a b c d e f", "y", 1), (2, "other words here", "z", 3)],
+                               "doc_id bigint, text string, source string, n int")
+    assert sorted((r["doc_id"], r["source"], r["n"]) for r in rows(near_join.keep_one_of_each(df))) == [(1, "x", 2), (2, "z", 3)]
