@@ -5,6 +5,7 @@ from plumbline.plans import (  # noqa: F401
     entity_queries,
     history_queries,
     open_checks,
+    planted_queries,
     profile_queries,
     rule_queries,
     value_queries,

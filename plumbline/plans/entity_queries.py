@@ -10,6 +10,7 @@ from plumbline.operators.cleaning import flag_counts
 from plumbline.plans import entity_cleaning, entity_views
 from plumbline.plans.cleaning_queries import flags_as_text, flags_sql, text_sql
 from plumbline.plans.registry import query
+from plumbline.sources.tables import publish_cleaned, shared_folder
 
 
 def _money_sql(column: str, kind: str) -> str:
@@ -240,3 +241,33 @@ def candidate_search_rate_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = entries.select("time_entry_id", "hourly_rate").join(found, ["time_entry_id", "hourly_rate"], "left")
     return counted.groupBy(F.when(F.col("n").isNull(), "none").otherwise(status).alias("status")).agg(
         F.count(F.lit(1)).alias("entries"))
+
+
+def _published(cleaned: DataFrame, key: str) -> DataFrame:
+    """The cleaned table as its readers get it: written, checked and published as Parquet."""
+    return flags_as_text(publish_cleaned(cleaned, shared_folder(cleaned.sparkSession, f"published-{key}"), unique=[key]))
+
+
+@query(text_sql(PROJECTS_SQL), "OP")
+def published_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(entity_cleaning.clean_projects(entity_views.projects(spark, sf_dir)), "project_id")
+
+
+@query(text_sql(BUDGETS_SQL), "OB")
+def published_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(entity_cleaning.clean_budgets(entity_views.budgets(spark, sf_dir)), "budget_line_id")
+
+
+@query(text_sql(TRANSACTIONS_SQL), "OT")
+def published_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(entity_cleaning.clean_transactions(entity_views.transactions(spark, sf_dir)), "transaction_id")
+
+
+@query(text_sql(LABOR_SQL), "H")
+def published_labor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(entity_cleaning.clean_labor(entity_views.labor(spark, sf_dir)), "time_entry_id")
+
+
+@query(text_sql(UPDATES_SQL), "UA")
+def published_project_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _published(entity_cleaning.clean_updates(entity_views.updates(spark, sf_dir)), "update_id")

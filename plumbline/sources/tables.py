@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from functools import reduce
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -193,6 +193,49 @@ def write_cleaned(
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+class NotPublished(ValueError):
+    """A written table does not hold what was to be written; nothing was published."""
+
+
+def publish_cleaned(
+    df: DataFrame, path: str, unique: Sequence[str] = (), raw_paths: Sequence[str] = (),
+    partition_by: Sequence[str] = (),
+) -> DataFrame:
+    """Write a cleaned table beside ``path``, check what can be read back, and publish it by one rename.
+
+    Readers see no table or the whole one. Read back, the table must have the rows that were written (they are
+    counted while they are written), the same columns and types, and no two rows with the same ``unique``
+    columns, NULL included. Otherwise the written files go and ``NotPublished`` is raised. An existing table is
+    never written over.
+    """
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    goal = jvm.org.apache.hadoop.fs.Path(path)
+    files = goal.getFileSystem(conf)
+    if files.exists(goal):
+        raise NotPublished(f"{path} exists")
+    staging = f"{path.rstrip('/')}-staging-{uuid.uuid4().hex}"
+    counted = Observation()
+    try:
+        back = write_cleaned(df.observe(counted, F.count(F.lit(1)).alias("n")), staging, raw_paths, partition_by)
+        found = spark.read.parquet(staging).select(*df.columns)
+        kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+        if differing := [f.name for f in found.schema
+                         if f.name not in partition_by and f.dataType.simpleString() != kinds[f.name]]:
+            raise NotPublished(f"{', '.join(differing)} of {path} came back with another type")
+        if (n := back.count()) != counted.get["n"]:
+            raise NotPublished(f"{n} of {counted.get['n']} rows of {path} came back")
+        if unique:
+            repeated = back.groupBy(*unique).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").take(1)
+            if repeated:
+                raise NotPublished(f"{path} holds {repeated[0].asDict()} more than once")
+        if not files.rename(jvm.org.apache.hadoop.fs.Path(staging), goal):
+            raise NotPublished(f"{staging} could not be renamed to {path}")
+    finally:
+        files.delete(jvm.org.apache.hadoop.fs.Path(staging), True)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 def _parts(path: str) -> list[str]:
     return [part for part in path.removeprefix("file:").split("/") if part]
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from plumbline.operators.cleaning import CleaningPlan, apply_plan, flag_counts
 from plumbline.operators.keys import ConflictingDuplicates
 from plumbline.plans import entity_cleaning as plans
-from plumbline.sources.tables import csv_ingest, shared_folder, write_cleaned, written
+from plumbline.sources import tables
+from plumbline.sources.tables import NotPublished, csv_ingest, publish_cleaned, shared_folder, write_cleaned, written
 
 
 def by_key(df, key):
@@ -156,3 +157,26 @@ def test_shared_folder_follows_the_session(spark, shared):
     df = written(spark.range(3), "numbers")
     assert df.count() == 3
     assert df.inputFiles()[0].startswith(f"file://{shared}/numbers-")
+
+
+def test_publishing_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    import os
+
+    df = spark.createDataFrame([(1, " a", ["x"], "p"), (2, None, [], "q"), (None, "", None, "q")],
+                               "k int, v string, flags array<string>, part string")
+    path = str(tmp_path / "cleaned")
+    got = publish_cleaned(df, path, unique=["k"], partition_by=["part"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+    assert os.listdir(tmp_path) == ["cleaned"] and os.path.exists(f"{path}/_SUCCESS")
+    with pytest.raises(NotPublished, match="exists"):
+        publish_cleaned(df, path)
+    with pytest.raises(NotPublished, match="more than once"):
+        publish_cleaned(df.unionAll(df), str(tmp_path / "twice"), unique=["k"])
+    stop = df.withColumn("k", F.when(F.col("k") == 2, F.raise_error(F.lit("no")).cast("int")).otherwise(F.col("k")))
+    with pytest.raises(Exception, match="no"):
+        publish_cleaned(stop, str(tmp_path / "broken"))
+    whole = tables.write_cleaned
+    monkeypatch.setattr(tables, "write_cleaned", lambda *a, **b: whole(*a, **b).limit(2))
+    with pytest.raises(NotPublished, match="2 of 3 rows"):
+        publish_cleaned(df, str(tmp_path / "short"))
+    assert os.listdir(tmp_path) == ["cleaned"]
