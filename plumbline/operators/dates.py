@@ -8,8 +8,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.ordering import with_row_numbers
 from plumbline.operators.referential import unique_dimension
 from plumbline.operators.shaping import as_list, rows_from
+from plumbline.sources.tables import written
 
 
 def date_range_profile(
@@ -60,15 +62,29 @@ def date_gap_rows(df: DataFrame, date: Column, anchor: Column) -> DataFrame:
         "gap_days", F.datediff(anchor, date).cast("bigint"))
 
 
+# Facts are folded before a join if they come to at most this share of their rows.
+FOLD_AT = 0.5
+
+
 def _dated_facts(
-    facts: DataFrame, dim: DataFrame, keys: Sequence[str], columns: Sequence[str], how: str
+    facts: DataFrame, dim: DataFrame, keys: Sequence[str], columns: Sequence[str], how: str,
+    fold: bool | None,
 ) -> DataFrame:
     """Facts per key and date with their dimension row; ``n`` is the number of facts.
 
-    Folding the facts first leaves a hot key one row per date, so its join needs no special care.
+    Where many facts share key and date, they are folded first, so that a hot key brings one row per date
+    to the join. Where hardly any do, folding would only shuffle them once more: they are joined as they
+    are, a hot key is split by the skew join, and what follows folds them. The counts are the same. ``fold=None``
+    lets the data decide, by an approximate distinct count over all facts, which is one pass without a shuffle.
     """
-    grouped = facts.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-    return grouped.join(unique_dimension(dim, keys), list(keys), how)
+    if fold is None:
+        seen = facts.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*columns))).first()
+        fold = seen[1] <= FOLD_AT * seen[0]
+    if fold:
+        facts = facts.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        facts = facts.select(*columns, F.lit(1).cast("bigint").alias("n"))
+    return facts.join(unique_dimension(dim, keys), list(keys), how)
 
 
 def timeline_violations(
@@ -79,15 +95,16 @@ def timeline_violations(
     before: Mapping[str, str],
     after: Mapping[str, str],
     cutoff: dt.date | None = None,
+    fold: bool | None = None,
 ) -> DataFrame:
     """Facts dated before a start, after an end, or after the cutoff.
 
     ``before`` and ``after`` map a result name to the dimension date. A missing date counts
-    nowhere. Facts without a dimension row stay in the total.
+    nowhere. Facts without a dimension row stay in the total. ``fold`` as in ``overrun_by_group``.
     """
     keys = as_list(on)
     bounds = list(dict.fromkeys([*before.values(), *after.values()]))
-    timeline = _dated_facts(facts, dim.select(*keys, *bounds), keys, [*keys, date], "left")
+    timeline = _dated_facts(facts, dim.select(*keys, *bounds), keys, [*keys, date], "left", fold)
     d = F.col(date)
     tests = {"total_rows": F.lit(True)}
     tests |= {name: d < F.col(c) for name, c in before.items()}
@@ -108,12 +125,17 @@ def overrun_by_group(
     end: str,
     group: Sequence[str],
     k: int | None = None,
+    fold: bool | None = None,
 ) -> DataFrame:
-    """Per group: facts after the planned end, first and last such date, longest overrun."""
+    """Per group: facts after the planned end, first and last such date, longest overrun.
+
+    ``fold`` counts the facts of a key and date before the join (True) or after it (False); by default a
+    pass over the facts decides, at once. The result is the same.
+    """
     keys = as_list(on)
     of_dim = list(dict.fromkeys([*keys, end, *[g for g in group if g in dim.columns]]))
     of_facts = list(dict.fromkeys([*keys, date, *[g for g in group if g not in of_dim]]))
-    dated = _dated_facts(facts, dim.select(*of_dim), keys, of_facts, "inner")
+    dated = _dated_facts(facts, dim.select(*of_dim), keys, of_facts, "inner", fold)
     summary = dated.filter(F.col(date) > F.col(end)).groupBy(*group).agg(
         F.sum("n").cast("bigint").alias("late_rows"),
         F.min(date).alias("first_late_date"),
@@ -177,3 +199,19 @@ def entity_date_rollup(
 def entity_date_values(df: DataFrame, entity: str, date: str, column: str) -> DataFrame:
     """The value lists of ``entity_date_rollup`` in long form: one row per distinct value."""
     return df.groupBy(entity, date, column).agg(F.count(F.lit(1)).alias("row_count"))
+
+
+def entity_date_pages(df: DataFrame, entity: str, date: str, column: str, page_size: int = 1000) -> DataFrame:
+    """The distinct values of each entity date as numbered pages, in order, NULL last.
+
+    ``entity, date, page, values``: pages count from 0 and hold ``page_size`` values, the last one what is left. Values
+    are numbered in ranges, so an entity date with any number of them is never in one row or one task.
+    """
+    if page_size < 1:
+        raise ValueError("a page holds at least one value")
+    values = written(df.select(entity, date, column).distinct(), "entity-date-values")
+    numbered = with_row_numbers(values, [column], "_place", by=[entity, date])
+    placed = numbered.select(entity, date, F.expr(f"(_place - 1) div {page_size}").alias("page"),
+                             F.struct(F.col("_place"), F.col(column).alias("value")).alias("_v"))
+    pages = placed.groupBy(entity, date, "page").agg(F.array_sort(F.collect_list("_v")).alias("_vs"))
+    return pages.select(entity, date, "page", F.transform("_vs", lambda v: v["value"]).alias("values"))

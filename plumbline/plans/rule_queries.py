@@ -304,3 +304,15 @@ def entity_date_values_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(
         "user_id", F.col("ts").cast("date").alias("report_date"), "event_type")
     return dates.entity_date_values(rows, "user_id", "report_date", "event_type")
+
+
+@query("""SELECT event_type, report_date, (place - 1) // 20 AS page,
+  array_to_string(LIST(user_id ORDER BY place), ',') AS users FROM (
+    SELECT *, row_number() OVER (PARTITION BY event_type, report_date ORDER BY user_id) AS place FROM (
+      SELECT DISTINCT event_type, CAST(ts AS DATE) AS report_date, user_id FROM events)) GROUP BY 1, 2, 3""")
+def entity_date_pages_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The users behind each kind of event and day, in pages of twenty."""
+    rows = table(spark, sf_dir, "events").select(
+        "event_type", F.col("ts").cast("date").alias("report_date"), "user_id")
+    pages = dates.entity_date_pages(rows, "event_type", "report_date", "user_id", 20)
+    return pages.select("event_type", "report_date", "page", F.array_join(F.col("values").cast("array<string>"), ",").alias("users"))

@@ -286,7 +286,8 @@ def test_dates(spark):
     assert [(r["null_count"], r["after_cutoff"]) for r in profile] == [(1, 2), (0, 4)]
 
 
-def test_timelines(spark):
+@pytest.mark.parametrize("fold", [None, True, False])
+def test_timelines(spark, fold):
     d = dt.date
     dim = spark.createDataFrame(
         [("p", d(2024, 1, 2), d(2024, 1, 4)), ("p", d(2024, 1, 2), d(2024, 1, 4)), ("q", None, None)],
@@ -295,13 +296,40 @@ def test_timelines(spark):
         [("p", d(2024, 1, 1)), ("p", d(2024, 1, 3)), ("p", d(2024, 1, 9)), ("p", d(2024, 1, 5)),
          ("q", d(2024, 1, 1)), ("zz", d(2024, 1, 1)), (None, d(2024, 1, 1))], "id string, day date")
     got = one(dates.timeline_violations(
-        facts, dim, "id", "day", {"early": "start"}, {"late": "end"}, d(2024, 1, 8)))
+        facts, dim, "id", "day", {"early": "start"}, {"late": "end"}, d(2024, 1, 8), fold))
     assert got == {"total_rows": 7, "early": 1, "late": 2, "after_cutoff": 1}
-    over = one(dates.overrun_by_group(facts, dim, "id", "day", "end", ["id"]))
+    over = one(dates.overrun_by_group(facts, dim, "id", "day", "end", ["id"], fold=fold))
     assert over == {"id": "p", "late_rows": 2, "first_late_date": d(2024, 1, 5),
                     "last_late_date": d(2024, 1, 9), "max_days_beyond": 5}
 
 
+def test_facts_fold_before_the_join_only_where_they_repeat(spark):
+    dim = spark.range(50).selectExpr("id", "date'2024-01-10' as end")
+    def aggregates(facts):
+        text = io.StringIO()
+        with contextlib.redirect_stdout(text):
+            dates.overrun_by_group(facts, dim, "id", "day", "end", ["id"]).explain()
+        return text.getvalue().count("HashAggregate")
+    alone = spark.range(3000).selectExpr("id % 50 as id", "date_add(date'2000-01-01', cast(id as int)) as day")
+    often = spark.range(3000).selectExpr("id % 50 as id", "date_add(date'2024-01-01', cast(id % 20 as int)) as day")
+    assert aggregates(often) == aggregates(alone) + 2
+
+
+def test_pages_of_values(spark, monkeypatch):
+    from plumbline.operators import ordering
+
+    monkeypatch.setattr(ordering, "MIN_ROWS_PER_RANGE", 500)
+    hot = spark.range(20_000).selectExpr("'a' as e", "date'2024-01-01' as d", "if(id % 4000 = 7, null, cast(id % 9000 as int)) as v")
+    few = spark.createDataFrame([("b", None, 2), ("b", None, 1), ("b", None, 2), (None, None, None)], "e string, d date, v int")
+    got = dates.entity_date_pages(hot.unionByName(few), "e", "d", "v", 100).collect()
+    pages = {(r["e"], r["page"]): r["values"] for r in got}
+    assert pages["b", 0] == [1, 2] and pages[None, 0] == [None] and len(pages) == 93
+    assert [v for k in range(91) for v in pages["a", k]] == [*range(9000), None]
+    assert all(len(pages["a", k]) == 100 for k in range(90))
+    with pytest.raises(ValueError):
+        dates.entity_date_pages(few, "e", "d", "v", 0)
+
+
 def test_conflicting_dimension_stops_the_job(spark):
     dim = spark.createDataFrame([("p", 1), ("p", 2)], "id string, v int")
     facts = spark.createDataFrame([("p",)], "id string")
