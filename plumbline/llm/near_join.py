@@ -383,8 +383,8 @@ def _order_hints(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """At most ``HINTS`` frequent shingles, sorted, with their rank from rare to frequent."""
     top = (sketch.filter("kind = 1").groupBy(F.col("class_id").alias("shingle"))
            .agg(F.sum("n_shingles").alias("seen")).filter("seen >= 8")
-           .orderBy(F.desc("seen"), "shingle").limit(HINTS).collect())
-    values = np.array([r.shingle for r in top], np.int64).view(np.uint64)
+           .orderBy(F.desc("seen"), "shingle").limit(HINTS).select("shingle").toArrow())
+    values = top["shingle"].to_numpy().astype(np.int64).view(np.uint64)
     ranks = np.arange(len(values))[::-1].copy()
     order = np.argsort(values)
     return values[order], ranks[order]
