@@ -2,7 +2,7 @@
 
 Token weights of the cells (source, language, topic) are raked to the target marginals by
 iterative proportional fitting: each step scales the cells of every value of one dimension to its
-target, never above the tokens the cell has. A document's probability is the raked weight of its
+target, never above the tokens the cell has; goals that the tokens can't give are handed on. A document's probability is the raked weight of its
 cell over the cell's tokens; whether it is drawn follows from a hash, so a run can be repeated.
 Built-in DataFrame functions only.
 """
@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from plumbline.llm.shared import free_name, scratch
 
 MISSING = "(none)"
+TOLERANCE = 5e-3   # share of its goal that a marginal may be off
+PATIENCE = 4       # rounds that must bring the worst marginal nearer, below SLOW of what it was off
+SLOW = 0.85
+LEAP = 4.0         # most that a factor grows in one step
 
 #: Topic by the look of a text; the first rule that holds counts.
 TOPIC_RULES = (("licence", "contains(text, 'License')"), ("table", "contains(text, ' | ')"),
@@ -38,54 +42,109 @@ def topic_of(text_col: str) -> Column:
 
 
 def rake(cells: DataFrame, dims: list[str], budget: float, targets: dict[str, dict[str, float]] | None = None,
-         temperature: float = 0.7, tolerance: float = 1e-3, max_rounds: int = 40) -> DataFrame:
-    """``cells`` (dims, tokens) with ``weight``: raked to ``budget`` times each target share.
+         temperature: float = 0.7, tolerance: float = TOLERANCE, max_rounds: int = 120) -> tuple[DataFrame, DataFrame]:
+    """``cells`` (dims, tokens) with ``weight``, and the marginals they were raked to.
 
     Targets are shares by value; values without a target get none of the budget. A dimension
-    without targets is tempered: share proportional to tokens to the power ``temperature``.
-    Shares are scaled to add up to one over the values that have tokens. The weight of a cell is
-    its tokens times one factor for each of its values, its tokens at most. A round fits the
-    factors of one dimension after the other; only these small tables are written. Ends when every
-    marginal is within ``tolerance`` of the budget, when three rounds bring no more, or after
-    ``max_rounds``: targets that the tokens of the cells can't meet are approached from below. Cells without tokens weigh 0.
+    without targets is tempered: share proportional to tokens to the power ``temperature``. No
+    value is asked for more tokens than it has: what a short one can't give is asked of the others
+    of its dimension, in proportion to their shares. Where a dimension's wanted values have fewer
+    tokens than ``budget`` names, the whole draw is that much smaller.
+
+    The weight of a cell is its tokens times one factor for each of its values, its tokens at most.
+    A round fits the factors of one dimension after the other; what a value lacks is put on its
+    cells that are not full. Only these small tables are written. It ends when every marginal is
+    within ``tolerance`` of its goal. Marginals that can each be met may still exclude each other:
+    when ``PATIENCE`` rounds bring the worst one little nearer, every goal moves half of the way to
+    what the other dimensions leave to it, and raking goes on.
+
+    The second table has ``dimension, value, tokens, asked, goal, reached, deviation``: the tokens
+    asked for, the goal at the end (other than ``asked`` only where the goals excluded each other),
+    the raked tokens and how far these are from ``asked``, as a share of it (0 where none was asked).
     """
     cells = scratch(cells, "cells")
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    goal = budget * total
-    factors = {}
-    for dim in dims:
-        mass = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("tokens").alias("mass"))
-        if targets and dim in targets:
-            pairs = [x for k, v in targets[dim].items() for x in (F.lit(k), F.lit(float(v)))]
-            wanted = F.coalesce(F.element_at(F.create_map(*pairs), F.col("value")), F.lit(0.0)) if pairs else F.lit(0.0)
-        else:
-            wanted = F.pow(F.col("mass").cast("double"), F.lit(temperature))
-        mass = mass.withColumn("wanted", F.when(F.col("mass") > 0, wanted).otherwise(0.0))
-        whole = mass.agg(F.sum("wanted")).first()[0] or 1.0
-        factors[dim] = scratch(mass.select("value", (F.col("wanted") / whole * goal).alias("goal"),
-                                           F.lit(1.0).alias("factor"), F.lit(0.0).alias("off")), "factors")
-    best, stalled = float("inf"), 0
-    for _ in range(max_rounds if total else 0):
+    masses = {dim: scratch(_wanted(cells, dim, (targets or {}).get(dim), temperature), "masses") for dim in dims}
+    draw = min([budget * total, *(m.filter("wanted > 0").agg(F.sum("mass")).first()[0] or 0 for m in masses.values())])
+    state = {}
+    for dim, mass in masses.items():
+        asked = _attainable(mass, draw)
+        state[dim] = scratch(mass.select("value", "mass", asked.alias("asked"), asked.alias("goal"),
+                                         F.lit(1.0).alias("factor"), F.lit(0.0).alias("got"), F.lit(0.0).alias("off")), "factors")
+    history = []
+    for _ in range(max_rounds if draw else 0):
         for dim in dims:
-            got = _weighted(cells, dims, factors, budget).groupBy(F.col(dim).alias("value")).agg(F.sum("weight").alias("got"))
-            factors[dim] = scratch(factors[dim].join(got, "value").select(
-                "value", "goal", F.when(F.col("got") > 0, F.col("factor") * F.col("goal") / F.col("got"))
-                .otherwise(0.0).alias("factor"), F.abs(F.col("got") - F.col("goal")).alias("off")), "factors")
+            state[dim] = scratch(_fitted(cells, dims, dim, state, budget), "factors")
         # How far each dimension was off before its own step shows how settled all are.
-        worst = reduce(DataFrame.unionAll, [factors[dim].select("off") for dim in dims]).agg(F.max("off")).first()[0] or 0.0
-        stalled = stalled + 1 if worst > 0.98 * best else 0
-        best = min(best, worst)
-        if worst <= tolerance * goal or stalled == 3:
+        worst = reduce(DataFrame.unionAll, [state[dim].select("off") for dim in dims]).agg(F.max("off")).first()[0] or 0.0
+        history.append(worst)
+        if worst <= tolerance:
             break
-    return _weighted(cells, dims, factors, budget)
+        if len(history) > PATIENCE and worst > SLOW * history[-1 - PATIENCE]:
+            history = []
+            for dim in dims:
+                state[dim] = scratch(state[dim].withColumn("goal", (F.col("goal") + F.col("got")) / 2), "factors")
+    weighted = scratch(_weighted(cells, dims, state, budget), "weights")
+    marginals = reduce(DataFrame.unionAll, [_reached(weighted, state[dim], dim).select(
+        F.lit(dim).alias("dimension"), "value", F.col("mass").alias("tokens"), "asked", "goal", "reached",
+        F.when(F.col("asked") > 0, F.abs(F.col("reached") - F.col("asked")) / F.col("asked")).otherwise(0.0).alias("deviation"))
+        for dim in dims])
+    return weighted.select(*dims, "tokens", "weight"), marginals
+
+
+def _wanted(cells: DataFrame, dim: str, shares: dict[str, float] | None, temperature: float) -> DataFrame:
+    """``value, mass, wanted``: tokens and wanted share (of any sum) of each value of a dimension."""
+    mass = cells.groupBy(F.col(dim).alias("value")).agg(F.sum("tokens").alias("mass"))
+    if shares is None:
+        wanted = F.pow(F.col("mass").cast("double"), F.lit(temperature))
+    else:
+        pairs = [x for k, v in shares.items() for x in (F.lit(k), F.lit(float(v)))]
+        wanted = F.coalesce(F.element_at(F.create_map(*pairs), F.col("value")), F.lit(0.0)) if pairs else F.lit(0.0)
+    return mass.withColumn("wanted", F.when(F.col("mass") > 0, wanted).otherwise(0.0))
+
+
+def _attainable(mass: DataFrame, draw: float) -> Column:
+    """The goals of a dimension: in proportion to ``wanted``, no more than the tokens, ``draw`` together.
+
+    The scale follows from the values that are short of tokens under the scale before; that set
+    only grows, so it settles after as many steps as it grows, at most.
+    """
+    scale = 0.0
+    while True:
+        short = (F.col("wanted") > 0) & (F.lit(scale) * F.col("wanted") >= F.col("mass"))
+        full, rest = mass.agg(F.sum(F.when(short, F.col("mass"))), F.sum(F.when(~short, F.col("wanted")))).first()
+        if not rest:
+            return F.when(F.col("wanted") > 0, F.col("mass").cast("double")).otherwise(0.0)
+        step = max(0.0, draw - (full or 0)) / rest
+        if step <= scale * (1 + 1e-12):
+            return F.least(F.col("mass").cast("double"), F.lit(scale) * F.col("wanted"))
+        scale = step
+
+
+def _weighted(cells: DataFrame, dims: list[str], state: dict[str, DataFrame], budget: float) -> DataFrame:
+    out, raw = cells, F.col("tokens") * F.lit(float(budget))
+    for k, dim in enumerate(dims):
+        out = out.join(state[dim].select(F.col("value").alias(dim), F.col("factor").alias(f"_f{k}")), dim)
+        raw = raw * F.col(f"_f{k}")
+    full = F.col("tokens").cast("double")
+    return out.select(*dims, "tokens", F.least(full, raw).alias("weight"), F.when(raw < full, raw).otherwise(0.0).alias("open"))
 
 
-def _weighted(cells: DataFrame, dims: list[str], factors: dict[str, DataFrame], budget: float) -> DataFrame:
-    out, weight = cells, F.col("tokens") * F.lit(float(budget))
-    for k, dim in enumerate(dims):
-        out = out.join(factors[dim].select(F.col("value").alias(dim), F.col("factor").alias(f"_f{k}")), dim)
-        weight = weight * F.col(f"_f{k}")
-    return out.select(*dims, "tokens", F.least(F.col("tokens").cast("double"), weight).alias("weight"))
+def _fitted(cells: DataFrame, dims: list[str], dim: str, state: dict[str, DataFrame], budget: float) -> DataFrame:
+    """The factors of one dimension, fitted to its goals; ``got`` and ``off``: what each value had before."""
+    got = _weighted(cells, dims, state, budget).groupBy(F.col(dim).alias("value")).agg(
+        F.sum("weight").alias("got"), F.sum("open").alias("open"))
+    lack = F.col("goal") - F.col("got")
+    more = F.least(F.lit(LEAP), 1 + lack / F.col("open"))
+    step = (F.when(F.col("got") <= 0, 0.0).when(lack <= 0, F.col("goal") / F.col("got"))
+            .when(F.col("open") > 0, more).otherwise(1.0))
+    off = F.when(F.col("goal") > 0, F.abs(lack) / F.col("goal")).otherwise(0.0)
+    return state[dim].drop("got", "off").join(got, "value").select(
+        "value", "mass", "asked", "goal", (F.col("factor") * step).alias("factor"), "got", off.alias("off"))
+
+
+def _reached(weighted: DataFrame, state: DataFrame, dim: str) -> DataFrame:
+    return state.join(weighted.groupBy(F.col(dim).alias("value")).agg(F.sum("weight").alias("reached")), "value")
 
 
 def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source",
@@ -100,19 +159,36 @@ def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", s
     Columns of ``df`` with those four names, ``mix_source`` or ``mix_lang`` are left out or replaced.
     """
     own = ["mix_source", "mix_lang", "mix_topic"]
-    tagged = df.drop("mix_topic", "mix_tokens", "mix_probability", "mix_sampled", *own[:2]).withColumns({
-        "mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit(MISSING)),
-        "mix_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(MISSING)),
-        "mix_topic": F.coalesce(topic if topic is not None else topic_of(text_col), F.lit(MISSING)),
-        "mix_tokens": token_count(F.col(text_col))})
-    cells = tagged.groupBy(*own).agg(F.sum("mix_tokens").alias("tokens"))
-    named = {f"mix_{k}": v for k, v in (targets or {}).items()}
+    tagged, (weighted, _) = _raked(df, text_col, source_col, lang_col, topic, budget, targets, temperature)
     rate = free_name(df, "mix_rate")
-    rates = scratch(rake(cells, own, budget, named, temperature).select(
-        *own, F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias(rate)), "rates")
+    rates = weighted.select(*own, F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias(rate))
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.lit(1 << 52)) / F.lit(float(1 << 52))
     kept = [c for c in tagged.columns if c not in (*own, "mix_tokens")]
     probability = F.when(F.col("mix_tokens") > 0, F.col(rate)).otherwise(0.0)
     return (tagged.join(rates, own).withColumn("mix_probability", probability)
             .withColumn("mix_sampled", draw < F.col("mix_probability"))
             .select(*kept, "mix_topic", "mix_tokens", "mix_probability", "mix_sampled"))
+
+
+def mix_marginals(df: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang",
+                  topic: Column | None = None, budget: float = 0.5,
+                  targets: dict[str, dict[str, float]] | None = None, temperature: float = 0.5) -> DataFrame:
+    """What ``mix_sources`` with these arguments asks of each source, language and topic and what it reaches.
+
+    Columns as in the second table of ``rake``. An empty table gives no row.
+    """
+    marginals = _raked(df, text_col, source_col, lang_col, topic, budget, targets, temperature)[1][1]
+    return marginals.withColumn("dimension", F.substring("dimension", len("mix_") + 1, 99))
+
+
+def _raked(df, text_col, source_col, lang_col, topic, budget, targets, temperature):
+    """The rows with their cell and tokens; the raked cells and marginals."""
+    own = ["mix_source", "mix_lang", "mix_topic"]
+    tagged = df.drop("mix_topic", "mix_tokens", "mix_probability", "mix_sampled", *own[:2]).withColumns({
+        "mix_source": F.coalesce(F.col(source_col).cast("string"), F.lit(MISSING)),
+        "mix_lang": F.coalesce(F.col(lang_col).cast("string"), F.lit(MISSING)),
+        "mix_topic": F.coalesce(topic if topic is not None else topic_of(text_col), F.lit(MISSING)),
+        "mix_tokens": token_count(F.col(text_col))})
+    cells = tagged.groupBy(*own).agg(F.sum("mix_tokens").alias("tokens"))
+    named = {f"mix_{k}": v for k, v in (targets or {}).items()}
+    return tagged, rake(cells, own, budget, named, temperature)

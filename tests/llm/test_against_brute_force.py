@@ -240,7 +240,7 @@ def test_raking_matches_numpy(spark):
     cells = [(s, g, t, int(rng.integers(50, 5000))) for s in "abc" for g in ("en", "de") for t in ("x", "y")]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens bigint")
     targets = {"source": {"a": 0.4, "b": 0.35, "c": 0.25}, "lang": {"en": 0.6, "de": 0.4}}
-    got = {tuple(r)[:3]: r.weight for r in mixing.rake(df, ["source", "lang", "topic"], 0.2, targets, tolerance=1e-6).select(
+    got = {tuple(r)[:3]: r.weight for r in mixing.rake(df, ["source", "lang", "topic"], 0.2, targets, tolerance=1e-6)[0].select(
         "source", "lang", "topic", "weight").collect()}
     w = {c[:3]: 0.2 * c[3] for c in cells}
     total = sum(c[3] for c in cells)
@@ -258,6 +258,52 @@ def test_raking_matches_numpy(spark):
     assert all(abs(got[k] - v) <= 1e-3 * v for k, v in w.items())
 
 
+def test_raking_with_full_cells(spark):
+    """Weights are the tokens times a factor of each value, or all tokens, and meet every goal (the optimum's conditions)."""
+    rng = np.random.default_rng(3)
+    cells = [(s, g, int(rng.integers(1, 9)) * (4000 if s == "a" else 100)) for s in "abcdefgh" for g in ("en", "de", "fr", "es")]
+    weights, marginals = mixing.rake(spark.createDataFrame(cells, "source string, lang string, tokens long"), ["source", "lang"], 0.5,
+                                     temperature=0.1, tolerance=1e-4)
+    w = {(r.source, r.lang): (r.weight, r.tokens) for r in weights.collect()}
+    rows = marginals.collect()
+    total = sum(c[2] for c in cells)
+    assert any(x == t for x, t in w.values()) and all(0 <= x <= t for x, t in w.values())
+    assert abs(sum(x for x, _ in w.values()) - total / 2) < 1e-3 * total
+    for r in rows:
+        k = ("source", "lang").index(r.dimension)
+        assert r.tokens == sum(c[2] for c in cells if c[k] == r.value)
+        assert abs(r.reached - sum(x for key, (x, _) in w.items() if key[k] == r.value)) < 1e-6 * total
+        assert abs(r.reached - r.goal) <= 1e-3 * r.goal
+    # asked: one scale for the values with tokens to spare, all tokens of the others
+    for dim in ("source", "lang"):
+        scales = [r.asked / r.tokens ** 0.1 for r in rows if r.dimension == dim and r.asked < 0.999999 * r.tokens]
+        assert max(scales) <= min(scales) * (1 + 1e-9)
+        assert all(r.tokens <= scales[0] * r.tokens ** 0.1 for r in rows if r.dimension == dim and r.asked >= 0.999999 * r.tokens)
+
+
+def test_goals_that_exclude_each_other(spark):
+    """All of b is French, but little French is wanted: the goals meet half-way and the deviation is told."""
+    df = spark.createDataFrame([("a", "en", 1000), ("b", "fr", 1000)], "source string, lang string, tokens long")
+    weights, marginals = mixing.rake(df, ["source", "lang"], 0.5, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.8, "fr": 0.2}})
+    w = {r.source: r.weight for r in weights.collect()}
+    assert abs(w["a"] + w["b"] - 1000) < 10 and 500 < w["a"] < 800
+    for r in marginals.collect():
+        assert abs(r.reached - r.goal) <= 0.02 * r.goal and 0.1 < r.deviation < 1
+        assert abs(r.deviation - abs(r.reached - r.asked) / r.asked) < 1e-9
+
+
+def test_mixture_meets_its_goals(spark):
+    """Whole documents of the next scale: half of the tokens, each marginal within one in a hundred of what was asked."""
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix_marginals(df).collect()
+    assert {r.dimension for r in rows} == {"source", "lang", "topic"}
+    for dim in ("source", "lang", "topic"):
+        own = [r for r in rows if r.dimension == dim]
+        assert abs(sum(r.reached for r in own) / sum(r.tokens for r in own) - 0.5) < 0.005
+        assert all(r.asked <= r.tokens for r in own)
+        assert all(abs(r.reached - r.goal) <= 0.01 * r.goal for r in own)
+
+
 def test_mixing_defaults():
     import inspect
 
