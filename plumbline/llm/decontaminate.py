@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.shared import mix, pieces, rolling, scratch, word_hashes
 
-MASKS = ("110110110111", "111010011101", "101111000111")
+#: Some mask finds a stretch whose differing tokens come every five tokens or more, the densest that the score admits.
+MASKS = ("110110110111", "111010011101", "101111000111", "111101111011")
 MIN_MATCH = 12            # tokens that must agree (all of them in a shorter item)
 MISMATCH_COST = 3         # agreeing tokens that make up for a differing one
 BLOCK_TOKENS = 1_000_000  # test tokens that one pass over the documents looks up
@@ -108,42 +109,49 @@ def find_contamination(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_i
     base = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                      F.expr("cast(array() as array<bigint>)").alias("items"), F.lit(0).cast("long").alias("matched_tokens"))
     found = f"doc_id {dict(base.dtypes)['doc_id']}, items array<bigint>, matched_tokens long"
-    *others, last = index_blocks(benchmark, item_col, item_text_col)
-    for k, index in enumerate(others):
-        base = base.mapInPandas(_scan(index, keep=True), found + ", text string")
-        if k % CHAIN == CHAIN - 1:
-            base = scratch(base, "scanned")
-    return base.mapInPandas(_scan(last, keep=False), found).select(
-        "doc_id", (F.size("items") > 0).alias("contaminated"), "items", "matched_tokens")
+    base = _through_blocks(base, benchmark, item_col, item_text_col, lambda df, index, last: df.mapInPandas(
+        _scan(index, keep=not last), found if last else found + ", text string"))
+    return base.select("doc_id", (F.size("items") > 0).alias("contaminated"), "items", "matched_tokens")
 
 
 def remove_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                         item_text_col: str = "text") -> DataFrame:
     """The rows and columns of ``df`` without documents that hold a passage of an item."""
-    for index in index_blocks(benchmark, item_col, item_text_col):
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
+    def scan(df: DataFrame, index, last: bool) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seeds = SeedIndex(index.value)
             for batch in batches:
                 yield batch[[not found for found, _ in matches(batch[text_col], seeds)]]
 
-        df = df.mapInPandas(run, df.schema)
-    return df
+        return df.mapInPandas(run, df.schema)
+
+    return _through_blocks(df, benchmark, item_col, item_text_col, scan)
+
 
+def _through_blocks(df: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, scan) -> DataFrame:
+    """``df`` after ``scan(df, index, last)`` for each block of items.
 
-def index_blocks(benchmark: DataFrame, item_col: str, item_text_col: str) -> list:
-    """Broadcasts of the items' tokens, each of about ``BLOCK_TOKENS`` at most; one at least."""
+    Blocks hold about ``BLOCK_TOKENS`` tokens. After ``CHAIN`` of them the rows are written and the
+    blocks let go, so that driver and executors never hold more.
+    """
     items = scratch(benchmark.select(F.col(item_col).cast("long").alias("item_id"),
                                      F.col(item_text_col).cast("string").alias("text"))
                     .filter("item_id IS NOT NULL AND text IS NOT NULL")
                     .mapInPandas(_tokens, "item_id long, tokens binary"), "items")
     total = items.agg(F.sum(F.length("tokens"))).first()[0] or 0
-    blocks, out = max(1, -(-total // (8 * BLOCK_TOKENS))), []
+    blocks, held = max(1, -(-total // (8 * BLOCK_TOKENS))), []
     for block in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block).collect()
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "tokens"), F.lit(blocks)) == block).collect()
         rows.sort(key=lambda r: (r.item_id, r.tokens))
-        out.append(benchmark.sparkSession.sparkContext.broadcast(
+        held.append(benchmark.sparkSession.sparkContext.broadcast(
             [(r.item_id, np.frombuffer(r.tokens, np.uint64)) for r in rows]))
-    return out
+        last = block == blocks - 1
+        df = scan(df, held[-1], last)
+        if len(held) == CHAIN and not last:
+            df = scratch(df, "scanned")
+            while held:
+                held.pop().destroy()
+    return df
 
 
 def matches(texts, seeds: SeedIndex) -> Iterator[tuple[set[int], int]]:
