@@ -2,8 +2,9 @@
 
 Values that pass the checks of their kind are permuted by a keyed Feistel network within the
 values of the same format, so the result looks the same and passes the same checks. The
-permutation hangs on key, kind and format alone: equal values stay equal across documents, and
-different values stay different.
+permutation hangs on key, kind and the value itself: a date, a telephone number with its country
+code or a mail address gets the same pseudonym in every spelling, so equal values stay linked
+across documents, and different values stay different.
 """
 
 from __future__ import annotations
@@ -29,6 +30,10 @@ SSN = re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]*\d)")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 DATE = re.compile(r"(?<!\d)(?:(\d{4})([-/.])(\d{1,2})\2(\d{1,2})|(\d{1,2})([-/.])(\d{1,2})\6(\d{4}))(?!\d)")
 
+# The telephone country codes of two digits.
+TWO_DIGIT_CODES = frozenset("""20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58
+60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98""".split())
+
 
 # ---- the keyed permutation ------------------------------------------------------------------
 
@@ -116,13 +121,17 @@ def card(text: str, key: bytes, step=permute) -> str | None:
     return refill(text, number[0] + f"{step(int(number[1:]), 10 ** n, key, b'number%d' % n, failing):0{n}d}")
 
 
+def country_digits(number: str) -> int:
+    """Length of the country code at the head of an international number; the rest of the codes have three digits."""
+    return 1 if number[0] in "17" else 2 if number[:2] in TWO_DIGIT_CODES else 3
+
+
 def phone(text: str, key: bytes, step=permute) -> str | None:
-    """The country code stays, all other digits are permuted together."""
+    """The country code stays, all other digits are permuted together, however they are grouped."""
     number = only_digits(text)
     if not 7 <= len(number) <= 15:
         return None
-    lead = len(only_digits(re.split(r"[ .(-]", text, maxsplit=1)[0])) if text.startswith("+") else 0
-    lead = lead if lead <= 3 else 1
+    lead = country_digits(number) if text.startswith("+") else 0
     n = len(number) - lead
     return refill(text, number[:lead] + f"{step(int(number[lead:]), 10 ** n, key, b'phone%d' % n):0{n}d}")
 
@@ -180,15 +189,16 @@ def mixed(text: str, key: bytes, tweak: bytes, step=permute) -> str:
 
 
 def email(text: str, key: bytes, step=permute) -> str | None:
-    """The part before the @ is permuted, letter for letter and digit for digit; the domain stays."""
+    """The part before the @ is permuted, letter for letter and digit for digit, in any case; the domain stays."""
     local, _, domain = text.rpartition("@")
-    shape = re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "0", local)))
+    shape = re.sub(r"[A-Za-z]", "a", re.sub(r"[0-9]", "0", local))
     changed = mixed(local, key, b"email" + shape.encode(), step)
     return None if changed == local and not re.search(r"[A-Za-z0-9]", local) else f"{changed}@{domain}"
 
 
 def date(text: str, key: bytes, step=permute) -> str | None:
-    """Days of 1900 to 2099, written the same way; day and month first are told apart by the day."""
+    """Days of 1900 to 2099: the day is permuted, the same however it is written, and written in the form
+    found. Day and month first are told apart by the day."""
     m = DATE.fullmatch(text)
     if m.group(1):
         order, parts, sep = "ymd", (m.group(1), m.group(3), m.group(4)), m.group(2)
@@ -204,15 +214,13 @@ def date(text: str, key: bytes, step=permute) -> str | None:
     if not FIRST_DAY <= day <= LAST_DAY:
         return None
 
-    def same_form(v: int) -> bool:
-        """Reads back the same way: an unpadded date has a one-digit part, d/m/y a day above 12."""
+    def kind(v: int) -> tuple[bool, bool]:
+        """What decides how a written date is read: a part of one digit, a day that is no month."""
         d = dt.date.fromordinal(v + FIRST_DAY)
-        if not padded and d.day > 9 and d.month > 9:
-            return False
-        return sep != "/" or order == "ymd" or (d.day > 12 if order == "dmy" else True)
+        return d.day < 10 or d.month < 10, d.day > 12
 
-    moved = dt.date.fromordinal(FIRST_DAY + step(
-        day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, f"date{order}{sep}{padded}".encode(), same_form))
+    own = kind(day - FIRST_DAY)
+    moved = dt.date.fromordinal(FIRST_DAY + step(day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, key, b"date", lambda v: kind(v) == own))
     width = 2 if padded else 1
     shown = {"y": f"{moved.year:04d}", "m": f"{moved.month:0{width}d}", "d": f"{moved.day:0{width}d}"}
     return sep.join(shown[c] for c in order)
@@ -230,16 +238,18 @@ def pseudonymize(text: str | None, key: bytes, step=permute) -> tuple[str | None
     if not isinstance(text, str):
         return None, []
     found: list[tuple[int, int, str, str]] = []
+    taken = bytearray(len(text))
     has_digit = re.search(r"[0-9]", text) is not None
     for kind, pattern, change in KINDS:
         if kind == "email" and "@" not in text or kind != "email" and not has_digit:
             continue
         for m in pattern.finditer(text):
             s, e = m.span()
-            if any(s < b and a < e for a, b, _, _ in found):
+            if any(taken[s:e]):
                 continue
             if (new := change(m.group(), key, step)) is not None:
                 found.append((s, e, kind, new))
+                taken[s:e] = b"\1" * (e - s)
     found.sort()
     out, at = [], 0
     for s, e, _, new in found:
