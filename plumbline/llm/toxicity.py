@@ -1,17 +1,21 @@
 """Operator 1: toxicity by a weighted finite-state pattern grammar over clauses.
 
-A clause is read as a string of symbols: I insult, T threat, G target, N negation, R reported
-speech, o other. Three transducers rewrite it one after the other and a fourth adds up weights:
-
-    reported speech   after R (or an opening quote) I and T become i and t until the clause ends
-    negation          for three symbols after N, I and T become i and t
-    target            a G makes each I or T of the clause from there on aimed (J, U)
-    weights           J > I > i, U > T > t; the weight of an insult is multiplied by its lexicon's
-
-They are composed once into a single automaton (product of the states). Matched clauses are
-scored, never single words out of context; a document's score is a logistic function of the sums,
-maxima and counts over its clauses. The insult lexicon (words and word beginnings, with their log
-odds) and the logistic function are learned from labelled rows; the closed classes are fixed.
+A text is read as a string of symbols: 1 2 3 insults of that strength, T threat verb, M announcement
+(will, going to), G target, N negation, R report verb, Q quotation mark, C comma or colon, S end of
+a sentence, o other. Four transducers read it one after the other; each hands a symbol on and adds
+a weight:
+
+    reported speech   after R up to the end of the sentence, and between two Q, insults and threats
+                      become quiet ones (a b c t)
+    negation          for three symbols after N, or up to C, likewise
+    insult            weighs insults; more with a target in the sentence, before or after
+    threat            weighs threats; much more with a target, before or after, most if announced
+
+They are composed once into a single automaton whose transitions carry the summed weights.
+Matched clauses are scored, never single words out of context; a document's score is a logistic
+function of the sum, maximum and counts over its clauses. The insult lexicon (words and word
+beginnings, with their strength by log odds) and the logistic function are learned from labelled
+rows; the closed classes are fixed.
 """
 
 from __future__ import annotations
@@ -36,62 +40,111 @@ REPORTS = frozenset("""said says say wrote writes claimed claims called quoted q
 sagt schrieb schreibt behauptet meinte dit écrit disait affirme dijo dice escribió afirma""".split())
 THREATS = frozenset("""kill hurt destroy beat burn shoot stab strangle töten verletzen zerstören
 schlagen erschießen tuer frapper détruire brûler matar golpear destruir quemar""".split())
-QUOTES = frozenset('"“„«')
-
-WEIGHTS = {"J": 1.25, "I": 1.0, "i": 0.4, "U": 3.0, "T": 0.3, "t": 0.1}
+ANNOUNCEMENTS = frozenset("""will shall gonna going i'll we'll werde werden vais va allons voy vamos""".split())
+QUOTES = frozenset('"“”„«»')
+
+STRENGTHS = (2.5, 4.0)                            # log odds from which an insult is of the second, third strength
+INSULT = {"1": 2.0, "2": 3.2, "3": 4.5}
+AIMED_INSULT = 1.25                               # times its weight
+QUIET = {"1": "a", "2": "b", "3": "c", "T": "t"}  # reported or negated
+QUIET_INSULT, QUIET_THREAT = 0.4, 0.1
+THREAT, AIMED_THREAT, ANNOUNCED_THREAT = 0.3, 3.0, 4.5
 NEGATION_SCOPE = 3
 
 LABELLED = 20_000   # labelled rows that are read to learn, at most: a bound of the fit
-LEXICON = 6_000     # insult words and beginnings, at most
+LEXICON = 6_000     # insult words and beginnings, at most: a bound of the fit
 STEMS = range(4, 10)
 LIFT = 1.5          # least log odds of a lexicon entry
 SUPPORT = 4         # least toxic documents of a lexicon entry
-FEATURES = 7
+FEATURES = 6
+
+_SENTENCE = re.compile(r"[.!?;]+")
+_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[\"“”„«»,:]")
+
 
-_CLAUSE = re.compile(r"[.!?;:\n]+")
-_WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*|[\"“„«]")
+def plain(text: str) -> str:
+    return text.lower().replace("’", "'")
 
 
-# ---- transducers: (state, symbol) -> (state, symbol), state 0 first ------------------------
+# ---- transducers: (state, symbol) -> (state, symbol, weight), state 0 first -----------------
 
-def reporting(state: int, symbol: str) -> tuple[int, str]:
+def reporting(state: int, symbol: str) -> tuple[int, str, float]:
+    """States: 0 own words, 1 after a report verb, 2 in a quotation."""
+    if symbol == "Q":
+        return (0 if state == 2 else 2), "o", 0.0
     if symbol == "R":
-        return 1, "o"
-    return state, symbol.lower() if state and symbol in "IT" else symbol
+        return state or 1, "o", 0.0
+    if symbol == "S" and state == 1:
+        return 0, symbol, 0.0
+    return state, QUIET.get(symbol, symbol) if state else symbol, 0.0
 
 
-def negating(state: int, symbol: str) -> tuple[int, str]:
+def negating(state: int, symbol: str) -> tuple[int, str, float]:
+    """The state is the number of symbols that the last negation still reaches."""
     if symbol == "N":
-        return NEGATION_SCOPE, "o"
-    return max(0, state - 1), symbol.lower() if state and symbol in "IT" else symbol
+        return NEGATION_SCOPE, "o", 0.0
+    if symbol in "CS":
+        return 0, symbol, 0.0
+    return max(0, state - 1), QUIET.get(symbol, symbol) if state else symbol, 0.0
+
+
+def insulting(state: str, symbol: str) -> tuple[str, str, float]:
+    """States: nothing, a target, or the strongest insult of the sentence that no target was named for."""
+    if symbol == "S":
+        return "", symbol, 0.0
+    if symbol in INSULT:
+        aimed = state == "G"
+        return ("G" if aimed else max(state, symbol)), "o", INSULT[symbol] * (AIMED_INSULT if aimed else 1.0)
+    if symbol in "abc":
+        return state, "o", QUIET_INSULT * INSULT["123"["abc".index(symbol)]]
+    if symbol == "G":
+        return "G", symbol, (AIMED_INSULT - 1) * INSULT[state] if state in INSULT else 0.0
+    return state, symbol, 0.0
+
+
+def threatening(state: tuple[bool, bool, bool], symbol: str) -> tuple[tuple[bool, bool, bool], str, float]:
+    """States: whether the sentence has an announcement, a target, a threat that no target was named for."""
+    announced, target, waiting = state
+    full = ANNOUNCED_THREAT if announced else AIMED_THREAT
+    if symbol == "S":
+        return (False, False, False), "o", 0.0
+    if symbol == "M":
+        return (True, target, waiting), "o", 0.0
+    if symbol == "T":
+        return (announced, target, not target), "o", full if target else THREAT
+    if symbol == "t":
+        return state, "o", QUIET_THREAT
+    if symbol == "G":
+        return (announced, True, False), "o", full - THREAT if waiting else 0.0
+    return state, "o", 0.0
 
 
-def aiming(state: int, symbol: str) -> tuple[int, str]:
-    if symbol == "G":
-        return 1, "o"
-    return state, {"I": "J", "T": "U"}.get(symbol, symbol) if state else symbol
+TRANSDUCERS = ((0, reporting), (0, negating), ("", insulting), ((False, False, False), threatening))
 
 
-def compose(*transducers) -> dict[tuple[int, str], tuple[int, str]]:
-    """One automaton that does the work of all in a row; states are numbered as they are met."""
-    start = (0,) * len(transducers)
+def compose(*transducers) -> dict[tuple[int, str], tuple[int, float]]:
+    """One automaton that does the work of all in a row, weights added; states are numbered as they are met."""
+    start = tuple(state for state, _ in transducers)
     number, waiting, table = {start: 0}, [start], {}
     while waiting:
         states = waiting.pop()
-        for symbol in "ITGNRo":
-            out, after = symbol, []
-            for state, transducer in zip(states, transducers):
-                state, out = transducer(state, out)
+        for symbol in "123TMGNRQCSo":
+            out, after, weight = symbol, [], 0.0
+            for state, (_, transducer) in zip(states, transducers):
+                state, out, more = transducer(state, out)
                 after.append(state)
+                weight += more
             key = tuple(after)
             if key not in number:
                 number[key] = len(number)
                 waiting.append(key)
-            table[number[states], symbol] = number[key], out
+            table[number[states], symbol] = number[key], weight
     return table
 
 
-GRAMMAR = compose(reporting, negating, aiming)
+GRAMMAR = compose(*TRANSDUCERS)
+#: The state a sentence begins with outside and inside a quotation: nothing else outlasts a sentence.
+BEGIN = (0, GRAMMAR[GRAMMAR[0, "Q"][0], "S"][0])
 
 
 class Lexicon:
@@ -100,62 +153,77 @@ class Lexicon:
     def __init__(self, entries: dict[str, float]):
         self.words = {k: v for k, v in entries.items() if not k.endswith("*")}
         self.stems = {k[:-1]: v for k, v in entries.items() if k.endswith("*")}
-        self.known: dict[str, tuple[str, float] | None] = {}
+        self.known: dict[str, str] = {}
 
-    def symbol(self, word: str) -> tuple[str, float] | None:
-        """Class and weight of a word; None for words that mean nothing to the grammar."""
+    def symbol(self, word: str) -> str:
+        """The symbol that the grammar reads for a word or mark."""
         if word in self.known:
             return self.known[word]
-        found = None
-        if word in QUOTES or word in REPORTS:
-            found = ("R", 0.0)
+        if word in QUOTES:
+            found = "Q"
+        elif word in ",:":
+            found = "C"
+        elif word in REPORTS:
+            found = "R"
         elif word in NEGATIONS:
-            found = ("N", 0.0)
+            found = "N"
         elif word in THREATS:
-            found = ("T", 1.0)
+            found = "T"
         else:
             weight = max([self.words.get(word, 0.0), *(self.stems.get(word[:k], 0.0) for k in STEMS if k < len(word))])
-            if weight > 0:
-                found = ("I", weight)
-            elif word in TARGETS:
-                found = ("G", 0.0)
+            found = ("123"[sum(weight >= s for s in STRENGTHS)] if weight > 0 else "G" if word in TARGETS
+                     else "M" if word in ANNOUNCEMENTS else "o")
         if len(self.known) > 500_000:
             self.known.clear()
         self.known[word] = found
         return found
 
 
+def clauses_of(text: str, lexicon: Lexicon) -> Iterator[tuple[int, float, list[str]]]:
+    """For each sentence with words: their number, its weight, and the words matched as insult or threat.
+
+    A quotation may hold several sentences, but ends with its line.
+    """
+    symbol = lexicon.symbol
+    for line in plain(text).split("\n"):
+        quoted = False
+        for sentence in _SENTENCE.split(line):
+            tokens = _WORD.findall(sentence)
+            if not tokens:
+                continue
+            read = [symbol(w) for w in tokens]
+            marks = read.count("Q")
+            words = len(read) - marks - read.count("C")
+            matched = [w for w, x in zip(tokens, read) if x in "123T"]
+            weight = 0.0
+            if matched:
+                state = BEGIN[quoted]
+                for x in read:
+                    state, more = GRAMMAR[state, x]
+                    weight += more
+            quoted ^= marks % 2 == 1
+            if words:
+                yield words, weight, matched
+
+
 def features_of(text: str | None, lexicon: Lexicon) -> list[float]:
     """What the matched clauses of a text add up to.
 
-    Sum and maximum of clause scores, matched clauses, their share of all, distinct matched
-    words, sum per hundred words, strongest single weight.
+    Sum and maximum of clause weights, matched clauses, their share of all, distinct matched
+    words, sum per hundred words.
     """
     if not isinstance(text, str) or not text:
         return [0.0] * FEATURES
-    total, most, matched, clauses, words, strongest = 0.0, 0.0, 0, 0, 0, 0.0
+    total, most, hits, clauses, words = 0.0, 0.0, 0, 0, 0
     distinct: set[str] = set()
-    symbol = lexicon.symbol
-    for clause in _CLAUSE.split(text.lower()):
-        tokens = _WORD.findall(clause)
-        if not tokens:
-            continue
+    for n, weight, matched in clauses_of(text, lexicon):
         clauses += 1
-        words += len(tokens)
-        read = [symbol(w) for w in tokens]
-        if not any(x is not None and x[0] in "IT" for x in read):
-            continue
-        state, score = 0, 0.0
-        for word, x in zip(tokens, read):
-            kind, weight = x or ("o", 0.0)
-            state, out = GRAMMAR[state, kind]
-            if weight:
-                score += weight * WEIGHTS[out]
-                distinct.add(word)
-                strongest = max(strongest, weight)
-        total, most, matched = total + score, max(most, score), matched + 1
-    return [np.log1p(total), most, np.log1p(matched), matched / max(clauses, 1), np.log1p(len(distinct)),
-            np.log1p(100 * total / max(words, 20)), strongest]
+        words += n
+        if matched:
+            total, most, hits = total + weight, max(most, weight), hits + 1
+            distinct.update(matched)
+    return [np.log1p(total), most, np.log1p(hits), hits / max(clauses, 1), np.log1p(len(distinct)),
+            np.log1p(100 * total / max(words, 20))]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400):
@@ -183,7 +251,7 @@ def _unit_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for text, toxic, half in zip(batch["text"], batch["toxic"], batch["half"]):
-            words = set(_WORD.findall(text.lower()))
+            words = set(_WORD.findall(plain(text)))
             units = {w for w in words if len(w) > 2}
             units.update(w[:k] + "*" for w in words for k in STEMS if k < len(w))
             counts[int(half), int(toxic > 0)].update(units)
