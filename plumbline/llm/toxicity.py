@@ -1,12 +1,12 @@
 """Operator 1: toxicity by a weighted finite-state pattern grammar over clauses.
 
-A text is read as a string of symbols: 1 2 3 insults of that strength, T threat verb, M announcement
+A text is read as a string of symbols: 1 to 6 insults of that strength, T threat verb, M announcement
 (will, going to), G target, N negation, R report verb, Q quotation mark, C comma or colon, S end of
 a sentence, o other. Four transducers read it one after the other; each hands a symbol on and adds
 a weight:
 
     reported speech   after R up to the end of the sentence, and between two Q, insults and threats
-                      become quiet ones (a b c t)
+                      become quiet ones (a to f, t)
     negation          for three symbols after N, or up to C, likewise
     insult            weighs insults; more with a target in the sentence, before or after
     threat            weighs threats; much more with a target, before or after, most if announced
@@ -43,10 +43,10 @@ schlagen erschießen tuer frapper détruire brûler matar golpear destruir quema
 ANNOUNCEMENTS = frozenset("""will shall gonna going i'll we'll werde werden vais va allons voy vamos""".split())
 QUOTES = frozenset('"“”„«»')
 
-STRENGTHS = (2.5, 4.0)                            # log odds from which an insult is of the second, third strength
-INSULT = {"1": 2.0, "2": 3.2, "3": 4.5}
+STRENGTHS = (2.0, 2.5, 3.0, 3.5, 4.25)            # log odds from which an insult is of the second to sixth strength
+INSULT = {"1": 1.75, "2": 2.25, "3": 2.75, "4": 3.25, "5": 3.875, "6": 4.75}
 AIMED_INSULT = 1.25                               # times its weight
-QUIET = {"1": "a", "2": "b", "3": "c", "T": "t"}  # reported or negated
+QUIET = {"1": "a", "2": "b", "3": "c", "4": "d", "5": "e", "6": "f", "T": "t"}  # reported or negated
 QUIET_INSULT, QUIET_THREAT = 0.4, 0.1
 THREAT, AIMED_THREAT, ANNOUNCED_THREAT = 0.3, 3.0, 4.5
 NEGATION_SCOPE = 3
@@ -95,8 +95,8 @@ def insulting(state: str, symbol: str) -> tuple[str, str, float]:
     if symbol in INSULT:
         aimed = state == "G"
         return ("G" if aimed else max(state, symbol)), "o", INSULT[symbol] * (AIMED_INSULT if aimed else 1.0)
-    if symbol in "abc":
-        return state, "o", QUIET_INSULT * INSULT["123"["abc".index(symbol)]]
+    if symbol in "abcdef":
+        return state, "o", QUIET_INSULT * INSULT["123456"["abcdef".index(symbol)]]
     if symbol == "G":
         return "G", symbol, (AIMED_INSULT - 1) * INSULT[state] if state in INSULT else 0.0
     return state, symbol, 0.0
@@ -128,7 +128,7 @@ def compose(*transducers) -> dict[tuple[int, str], tuple[int, float]]:
     number, waiting, table = {start: 0}, [start], {}
     while waiting:
         states = waiting.pop()
-        for symbol in "123TMGNRQCSo":
+        for symbol in "123456TMGNRQCSo":
             out, after, weight = symbol, [], 0.0
             for state, (_, transducer) in zip(states, transducers):
                 state, out, more = transducer(state, out)
@@ -171,7 +171,7 @@ class Lexicon:
             found = "T"
         else:
             weight = max([self.words.get(word, 0.0), *(self.stems.get(word[:k], 0.0) for k in STEMS if k < len(word))])
-            found = ("123"[sum(weight >= s for s in STRENGTHS)] if weight > 0 else "G" if word in TARGETS
+            found = ("123456"[sum(weight >= s for s in STRENGTHS)] if weight > 0 else "G" if word in TARGETS
                      else "M" if word in ANNOUNCEMENTS else "o")
         if len(self.known) > 500_000:
             self.known.clear()
@@ -194,7 +194,7 @@ def clauses_of(text: str, lexicon: Lexicon) -> Iterator[tuple[int, float, list[s
             read = [symbol(w) for w in tokens]
             marks = read.count("Q")
             words = len(read) - marks - read.count("C")
-            matched = [w for w, x in zip(tokens, read) if x in "123T"]
+            matched = [w for w, x in zip(tokens, read) if x in "123456T"]
             weight = 0.0
             if matched:
                 state = BEGIN[quoted]

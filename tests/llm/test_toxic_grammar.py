@@ -17,17 +17,17 @@ def weight(text):
 def test_target_on_either_side():
     assert weight("you kill") == weight("kill you") == 3.0 > weight("kill") == 0.3
     assert weight("I will kill you") == weight("you I will kill") == 4.5
-    assert weight("you idiot") == weight("idiot, you") == 1.25 * INSULT["1"] > weight("an idiot")
+    assert weight("you idiot") == weight("idiot, you") == 1.25 * INSULT["2"] > weight("an idiot")
     assert weight("he sat. An idiot. You") == weight("idiot")
 
 
 def test_negation_with_either_apostrophe():
-    assert weight("don't you idiot") == weight("don’t you idiot") == 0.4 * INSULT["1"]
+    assert weight("don't you idiot") == weight("don’t you idiot") == 0.4 * INSULT["2"]
     assert weight("no, you idiot") == weight("you idiot")
 
 
 def test_reported_speech_over_a_colon_and_in_quotes():
-    quiet = 0.4 * INSULT["1"]
+    quiet = 0.4 * INSULT["2"]
     assert weight("he said: you are an idiot") == weight("he said you are an idiot") == quiet
     assert weight("he said: go on. You are an idiot") == weight("you are an idiot")
     assert weight('"fine" you idiot') == weight("“fine” you idiot") == weight("you idiot")
@@ -36,13 +36,13 @@ def test_reported_speech_over_a_colon_and_in_quotes():
 
 
 def test_strengths_and_stems():
-    assert [weight(w) for w in ("idiot", "moronic", "scum")] == [INSULT[k] for k in "123"]
+    assert [weight(w) for w in ("idiot", "moronic", "scum")] == [INSULT[k] for k in "246"]
 
 
 def test_composition_equals_the_transducers_in_a_row():
     rng = random.Random(1)
     for _ in range(300):
-        symbols, state, got = rng.choices("123TMGNRQCSo", k=30), 0, 0.0
+        symbols, state, got = rng.choices("123456TMGNRQCSo", k=30), 0, 0.0
         for x in symbols:
             state, more = GRAMMAR[state, x]
             got += more
