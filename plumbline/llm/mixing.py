@@ -11,14 +11,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.shared import free_name, scratch
 
 MISSING = "(none)"
 TOLERANCE = 5e-3   # share of its goal that a marginal may be off
-PATIENCE = 4       # rounds that must bring the worst marginal nearer, below SLOW of what it was off
+PATIENCE = 4       # rounds in one plan; they must bring the worst marginal nearer, below SLOW of what it was off
 SLOW = 0.85
 LEAP = 4.0         # most that a factor grows in one step
 
@@ -53,10 +53,10 @@ def rake(cells: DataFrame, dims: list[str], budget: float, targets: dict[str, di
 
     The weight of a cell is its tokens times one factor for each of its values, its tokens at most.
     A round fits the factors of one dimension after the other; what a value lacks is put on its
-    cells that are not full. Only these small tables are written. It ends when every marginal is
-    within ``tolerance`` of its goal. Marginals that can each be met may still exclude each other:
-    when ``PATIENCE`` rounds bring the worst one little nearer, every goal moves half of the way to
-    what the other dimensions leave to it, and raking goes on.
+    cells that are not full. Only the cells are shuffled, and written after ``PATIENCE`` rounds. It
+    ends when every marginal is within ``tolerance`` of its goal, or after ``max_rounds``. Marginals
+    that can each be met may still exclude each other: when that many rounds bring the worst one little
+    nearer, every goal moves half of the way to what the other dimensions leave to it, and raking goes on.
 
     The second table has ``dimension, value, tokens, asked, goal, reached, deviation``: the tokens
     asked for, the goal at the end (other than ``asked`` only where the goals excluded each other),
@@ -66,30 +66,31 @@ def rake(cells: DataFrame, dims: list[str], budget: float, targets: dict[str, di
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     masses = {dim: scratch(_wanted(cells, dim, (targets or {}).get(dim), temperature), "masses") for dim in dims}
     draw = min([budget * total, *(m.filter("wanted > 0").agg(F.sum("mass")).first()[0] or 0 for m in masses.values())])
-    state = {}
-    for dim, mass in masses.items():
-        asked = _attainable(mass, draw)
-        state[dim] = scratch(mass.select("value", "mass", asked.alias("asked"), asked.alias("goal"),
-                                         F.lit(1.0).alias("factor"), F.lit(0.0).alias("got"), F.lit(0.0).alias("off")), "factors")
-    history = []
-    for _ in range(max_rounds if draw else 0):
-        for dim in dims:
-            state[dim] = scratch(_fitted(cells, dims, dim, state, budget), "factors")
-        # How far each dimension was off before its own step shows how settled all are.
-        worst = reduce(DataFrame.unionAll, [state[dim].select("off") for dim in dims]).agg(F.max("off")).first()[0] or 0.0
-        history.append(worst)
+    state = cells.withColumn("_raw", F.col("tokens") * F.lit(float(budget)))
+    for k, (dim, mass) in enumerate(masses.items()):
+        asked = mass.select(F.col("value").alias(dim), _attainable(mass, draw).alias(f"_asked{k}"))
+        state = state.join(asked, dim).withColumns({f"_goal{k}": F.col(f"_asked{k}"), f"_got{k}": F.lit(0.0), f"_off{k}": F.lit(0.0)})
+    state, before = scratch(state, "raked"), float("inf")
+    for _ in range(-(-max_rounds // PATIENCE) if draw else 0):
+        for k, dim in [*enumerate(dims)] * PATIENCE:
+            state = _fitted(state, k, dim)
+        state = scratch(state, "raked")
+        # How far each dimension was off before its own last step shows how settled all are.
+        worst = state.agg(*[F.max(f"_off{k}") for k in range(len(dims))]).first()
+        worst = max(x or 0.0 for x in worst)
         if worst <= tolerance:
             break
-        if len(history) > PATIENCE and worst > SLOW * history[-1 - PATIENCE]:
-            history = []
-            for dim in dims:
-                state[dim] = scratch(state[dim].withColumn("goal", (F.col("goal") + F.col("got")) / 2), "factors")
-    weighted = scratch(_weighted(cells, dims, state, budget), "weights")
-    marginals = reduce(DataFrame.unionAll, [_reached(weighted, state[dim], dim).select(
-        F.lit(dim).alias("dimension"), "value", F.col("mass").alias("tokens"), "asked", "goal", "reached",
+        if worst > SLOW * before:
+            state = state.withColumns({f"_goal{k}": (F.col(f"_goal{k}") + F.col(f"_got{k}")) / 2 for k in range(len(dims))})
+        before = worst if worst <= SLOW * before else float("inf")
+    weight = F.least(F.col("tokens").cast("double"), F.col("_raw")).alias("weight")
+    marginals = reduce(DataFrame.unionAll, [state.groupBy(F.col(dim).alias("value")).agg(
+        F.sum("tokens").alias("tokens"), F.first(f"_asked{k}").alias("asked"), F.first(f"_goal{k}").alias("goal"),
+        F.sum(weight).alias("reached")).select(
+        F.lit(dim).alias("dimension"), "*",
         F.when(F.col("asked") > 0, F.abs(F.col("reached") - F.col("asked")) / F.col("asked")).otherwise(0.0).alias("deviation"))
-        for dim in dims])
-    return weighted.select(*dims, "tokens", "weight"), marginals
+        for k, dim in enumerate(dims)])
+    return state.select(*dims, "tokens", weight), marginals
 
 
 def _wanted(cells: DataFrame, dim: str, shares: dict[str, float] | None, temperature: float) -> DataFrame:
@@ -121,30 +122,16 @@ def _attainable(mass: DataFrame, draw: float) -> Column:
         scale = step
 
 
-def _weighted(cells: DataFrame, dims: list[str], state: dict[str, DataFrame], budget: float) -> DataFrame:
-    out, raw = cells, F.col("tokens") * F.lit(float(budget))
-    for k, dim in enumerate(dims):
-        out = out.join(state[dim].select(F.col("value").alias(dim), F.col("factor").alias(f"_f{k}")), dim)
-        raw = raw * F.col(f"_f{k}")
-    full = F.col("tokens").cast("double")
-    return out.select(*dims, "tokens", F.least(full, raw).alias("weight"), F.when(raw < full, raw).otherwise(0.0).alias("open"))
-
-
-def _fitted(cells: DataFrame, dims: list[str], dim: str, state: dict[str, DataFrame], budget: float) -> DataFrame:
-    """The factors of one dimension, fitted to its goals; ``got`` and ``off``: what each value had before."""
-    got = _weighted(cells, dims, state, budget).groupBy(F.col(dim).alias("value")).agg(
-        F.sum("weight").alias("got"), F.sum("open").alias("open"))
-    lack = F.col("goal") - F.col("got")
-    more = F.least(F.lit(LEAP), 1 + lack / F.col("open"))
-    step = (F.when(F.col("got") <= 0, 0.0).when(lack <= 0, F.col("goal") / F.col("got"))
-            .when(F.col("open") > 0, more).otherwise(1.0))
-    off = F.when(F.col("goal") > 0, F.abs(lack) / F.col("goal")).otherwise(0.0)
-    return state[dim].drop("got", "off").join(got, "value").select(
-        "value", "mass", "asked", "goal", (F.col("factor") * step).alias("factor"), "got", off.alias("off"))
-
-
-def _reached(weighted: DataFrame, state: DataFrame, dim: str) -> DataFrame:
-    return state.join(weighted.groupBy(F.col(dim).alias("value")).agg(F.sum("weight").alias("reached")), "value")
+def _fitted(state: DataFrame, k: int, dim: str) -> DataFrame:
+    """The cells after a step that fits one dimension to its goals; ``_got`` and ``_off``: what each value had before."""
+    full, raw, goal, got = F.col("tokens").cast("double"), F.col("_raw"), F.col(f"_goal{k}"), F.col(f"_got{k}")
+    value = Window.partitionBy(dim)
+    state = state.withColumns({f"_got{k}": F.sum(F.least(full, raw)).over(value),
+                               "_open": F.sum(F.when(raw < full, raw).otherwise(0.0)).over(value)})
+    more = F.least(F.lit(LEAP), 1 + (goal - got) / F.col("_open"))
+    step = (F.when(got <= 0, 0.0).when(goal <= got, goal / got).when(F.col("_open") > 0, more).otherwise(1.0))
+    off = F.when(goal > 0, F.abs(goal - got) / goal).otherwise(0.0)
+    return state.withColumns({"_raw": raw * step, f"_off{k}": off}).drop("_open")
 
 
 def mix_sources(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source",
