@@ -117,3 +117,26 @@ def test_time_follows_the_findings_of_a_text():
         small, large = ("".join(word.format(k) for k in range(n)) for n in (1_000, 8_000))
         seconds(run, small)
         assert seconds(run, large) < 24 * max(seconds(run, small), 1e-3)
+
+
+def test_network_learns_from_all_findings(spark, monkeypatch):
+    """More findings than any task takes: all are learned or kept back, and the threshold is theirs."""
+    rng = np.random.default_rng(21)
+    pick = lambda chars, n: "".join(rng.choice(list(chars), n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows = [(i, f'the token = "{pick("0123456789abcdef", 40)}" in text {i}') for i in range(2300)]
+    rows += [(i, f"read mail{i}.site{i % 5}.example.org or so") for i in range(2300, 4700)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    written = {}
+    scratch = secret_scan.scratch
+    monkeypatch.setattr(secret_scan, "scratch", lambda df, name: written.setdefault(name, scratch(df, name)))
+    network = secret_scan.learn_network(df, shard=900)
+    assert network.fitted_on == (2400, 2300)
+    held = np.sort([r.logit for r in written["logits"].filter("label = 1").collect()])
+    assert network.threshold == network.calibrated(held[int(0.01 * len(held))])
+    again = secret_scan.learn_network(df.repartition(2), shard=900)
+    assert again.threshold == network.threshold and (again.state == network.state).all()
+    texts = [f"use {pick(letters, 32)} for it" for _ in range(200)]
+    assert sum(any(f["kind"] == "network" for f in fs) for fs in secret_scan.findings_of(texts, network)) >= 180
+    clean = [f"read mail{i}.site{i % 5}.example.org now" for i in range(200)]
+    assert sum(len(fs) for fs in secret_scan.findings_of(clean, network)) <= 10
