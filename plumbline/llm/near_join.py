@@ -1,11 +1,14 @@
 """Operator 5: documents linked by the Jaccard likeness of their word shingles.
 
 Every document becomes a sorted array of distinct 64-bit shingle hashes; documents with the same
-array form one class, so copies are compared once. Links are found in two passes over classes:
-
-* Star pass. Classes that share a min-hash within a size band are compared with the least class
-  of their bucket. This joins the bulk of a group of near copies with a linear number of
-  comparisons.
+array form one class, so copies are compared once. Links are found in passes over classes:
+
+* Star pass. Classes that share two min-hashes within a size band make a bucket. Each class is compared
+  with a few of the classes that stand for its buckets, the ones that agree with it in most min-hashes.
+  This joins the bulk of a group of near copies with a linear number of comparisons.
+* Further rounds. Classes that stand outside a large component are compared with some members of it
+  that share a bucket in their own or an adjacent size band, a few for each class, until a round joins none.
+  Without them a class that the star pass left over would meet every member in the tiles.
 * Full pass. Two sets with J >= t share a shingle among the first ``n - ceil(t n) + 1`` of any
   common order, so each class is dealt to tiles (shingle, size band, block) by those shingles.
   Frequent shingles come last in the order. Tiles that hold one component only need no
@@ -15,7 +18,7 @@ array form one class, so copies are compared once. Links are found in two passes
   ``LARGE`` pairs for a row of a small tile, and of the large ones each pair once, if it is near the limit.
 
 A comparison first bounds the overlap from above by the bit counts of two hashed bitmaps, then
-intersects the sorted arrays. Both passes together give every component exactly.
+intersects the sorted arrays. The full pass gives every component exactly, whatever was joined before.
 """
 
 from __future__ import annotations
@@ -34,6 +37,10 @@ from plumbline.llm.shared import BROADCAST_IDS, bound_batches, discard, free_nam
 
 SHINGLE = 5
 STARS = 16         # min-hashes per class in the star pass; two by two they make its buckets
+ALIKE = 9          # min-hashes that agree where a pair is worth a comparison; it only steers the speed
+GROUP = 16         # classes that make a component large
+TRIES = 4          # classes that a class is compared with in the star pass, and those of a large component in a round
+ROUNDS = 2         # further rounds at most; they only steer the speed
 BLOCK = 512        # classes of one side of a tile
 PAIRS = 50_000     # pairs of a tile whose bitmaps are held at once
 LARGE = 32         # rows beyond which a tile is large
@@ -324,12 +331,17 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sizes = classes.select("class_id", "n_shingles", "bitmap")
 
     star_links = _verify(base, classes, sizes, _star_pairs(classes, percent), percent)
-    reached = components(star_links)
-    known = scratch(
-        classes.select("class_id", "n_shingles", "narrow").join(
-            reached, classes.class_id == reached.node, "left").select(
-            "class_id", "n_shingles", "narrow", F.coalesce("component", "class_id").alias("component")),
-        "known")
+    placed = _placed(classes, star_links)
+    for turn in range(ROUNDS):
+        pairs = _pairs_with_large(classes, placed, percent, turn)
+        if pairs is None:
+            break
+        more = _verify(base, classes, sizes, pairs, percent)
+        if more.isEmpty():
+            break
+        star_links = star_links.unionByName(more)
+        placed = _placed(classes, star_links)
+    known = classes.select("class_id", "n_shingles", "narrow").join(placed, "class_id")
 
     rows = scratch(base.mapInPandas(_prefixes(percent, *hints), "shingle long, class_id long, place int"), "prefixes")
     pairs = _contested_pairs(rows, known, sizes, percent)
@@ -390,22 +402,71 @@ def _order_hints(sketch: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return values[order], ranks[order]
 
 
+def _placed(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """``class_id, component`` of every class."""
+    reached = components(links)
+    return scratch(classes.select("class_id").join(reached, classes.class_id == reached.node, "left").select(
+        "class_id", F.coalesce("component", "class_id").alias("component")), "placed")
+
+
+def _band(percent: int):
+    return F.floor(F.log(F.col("n_shingles").cast("double")) / band_width(percent) + 1e-9)
+
+
+def _couples(band):
+    """The buckets of a class in a size band: two min-hashes each."""
+    return F.array(*[F.xxhash64(F.lit(j), F.col("stars")[2 * j], F.col("stars")[2 * j + 1], band) for j in range(STARS // 2)])
+
+
+def _dealt(classes: DataFrame, buckets) -> DataFrame:
+    """``bucket, class_id, digest``: the digest has a byte made of each min-hash."""
+    return classes.select(F.explode(buckets).alias("bucket"), "class_id", F.transform("stars", lambda x: (x % 127).cast("tinyint")).alias("digest"))
+
+
+def _most_alike(met: DataFrame, *keys: str) -> DataFrame:
+    """Pairs (a, b) of each class with the ``TRIES`` heads that agree with it in most min-hashes, ``ALIKE`` at least."""
+    agree = F.size(F.filter(F.zip_with("digest", "head.digest", lambda x, y: x == y), lambda same: same))
+    tried = met.withColumn("agree", agree).filter(F.col("agree") >= ALIKE).groupBy("class_id", *keys).agg(F.collect_set(F.struct(
+        (-F.col("agree")).alias("by"), F.col("head.class_id").alias("head"))).alias("heads"))
+    return tried.select("class_id", F.explode(F.slice(F.sort_array("heads"), 1, TRIES).getField("head")).alias("head")).select(
+        F.least("class_id", "head").alias("a"), F.greatest("class_id", "head").alias("b")).distinct()
+
+
+def _pairs_with_large(classes: DataFrame, placed: DataFrame, percent: int, turn: int) -> DataFrame | None:
+    """Each class with up to ``TRIES`` members of the largest component in its buckets, if that is another one.
+
+    None where no component is large. Every turn takes other members.
+    """
+    large = placed.groupBy("component").count().filter(F.col("count") >= GROUP).select("component")
+    members = scratch(placed.join(large, "component", "left_semi"), "large")
+    if members.isEmpty():
+        return None
+    band = _band(percent)
+    dealt = _dealt(classes, F.concat(_couples(band), _couples(band - 1)))
+    chosen = [F.min(F.struct(F.xxhash64(F.lit(4 * turn + k), F.col("class_id")), "class_id", "digest")).alias(f"m{k}")
+              for k in range(4)]
+    led = dealt.join(members, "class_id").groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), *chosen)
+    led = led.groupBy("bucket").agg(F.max(F.struct(
+        "n", "component", F.array_distinct(F.array(*[F.struct(f"m{k}.class_id", f"m{k}.digest") for k in range(4)])).alias("heads"))).alias("most"))
+    led = led.select("bucket", F.col("most.component").alias("other"), F.col("most.heads").alias("heads"))
+    met = dealt.join(led, "bucket").join(placed, "class_id").filter("component <> other").select(
+        "class_id", "other", "digest", F.explode("heads").alias("head"))
+    return _most_alike(met, "other")
+
+
 def _star_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """Each class with up to three classes that stand for its bucket, for every bucket it is in.
+    """Each class with the most alike of the classes that stand for its buckets, up to three for each bucket.
 
     A bucket is a size band and two min-hashes, so that a passage which many texts share rarely
     makes one. The three are the least and the greatest class and the least by another hash.
     """
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / band_width(percent) + 1e-9)
-    couples = F.array(*[F.xxhash64(F.lit(j), F.col("stars")[2 * j], F.col("stars")[2 * j + 1], band)
-                        for j in range(STARS // 2)])
-    dealt = classes.select("class_id", F.explode(couples).alias("bucket"))
+    dealt = _dealt(classes, _couples(_band(percent)))
     heads = dealt.groupBy("bucket").agg(
-        F.min("class_id").alias("least"), F.max("class_id").alias("greatest"),
-        F.min(F.struct(F.xxhash64("class_id"), "class_id")).alias("third")).filter("least < greatest").select(
-        "bucket", F.array_distinct(F.array("least", "greatest", F.col("third.class_id"))).alias("heads"))
-    return dealt.join(heads, "bucket").select("class_id", F.explode("heads").alias("head")).filter(
-        "class_id <> head").select(F.least("class_id", "head").alias("a"), F.greatest("class_id", "head").alias("b")).distinct()
+        F.min(F.struct("class_id", "digest")).alias("least"), F.max(F.struct("class_id", "digest")).alias("greatest"),
+        F.min(F.struct(F.xxhash64("class_id"), "class_id", "digest")).alias("third")).filter("least.class_id < greatest.class_id").select(
+        "bucket", F.array_distinct(F.array("least", "greatest", F.struct("third.class_id", "third.digest"))).alias("heads"))
+    return _most_alike(dealt.join(heads, "bucket").select("class_id", "digest", F.explode("heads").alias("head")).filter(
+        "class_id <> head.class_id"))
 
 
 def _contested_pairs(rows: DataFrame, known: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
@@ -413,9 +474,8 @@ def _contested_pairs(rows: DataFrame, known: DataFrame, sizes: DataFrame, percen
     shared = rows.groupBy("shingle").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter(
         "lo < hi").select("shingle")
     kept = rows.join(shared, "shingle").distinct()
-    band = F.floor(F.log(F.col("n_shingles").cast("double")) / band_width(percent) + 1e-9)
     placed = scratch(kept.join(known, "class_id").select(
-        "shingle", "class_id", "place", "n_shingles", "component", band.alias("own")), "placed")
+        "shingle", "class_id", "place", "n_shingles", "component", _band(percent).alias("own")), "placed")
     discard(rows)
     # A tile (shingle, band) holds its own band, and the next one up for comparison with it.
     dealt = placed.select("shingle", "class_id", "place", "n_shingles", "component", F.explode(F.array(

@@ -432,3 +432,22 @@ def test_pairs_leave_the_first_large_tile_only(monkeypatch):
               if 100 * len(np.intersect1d(sets[a], sets[b])) >= 75 * len(np.union1d(sets[a], sets[b]))}
     assert linked <= set(found[True]) <= set(found[False]) and linked
     assert len(set(found[True])) == len(found[True])
+
+
+def test_comparisons_follow_the_classes_of_a_group(spark, monkeypatch):
+    """Every text is compared with a few others, in all passes together, though nearly all pairs share shingles."""
+    rng = np.random.default_rng(1)
+    texts = []
+    for _ in range(400):
+        w = [f"b{i}" for i in range(120)]
+        for k in rng.choice(120, int(rng.integers(1, 6)), replace=False):
+            w[k] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    followed = []
+    verify = near_join._verify
+    monkeypatch.setattr(near_join, "_verify", lambda base, classes, sizes, pairs, percent: followed.append(pairs.count()) or verify(
+        base, classes, sizes, pairs, percent))
+    got = {r.doc_id: r.component_id for r in near_join.ngram_jaccard_join(df).collect()}
+    assert got == components({i: shingles(t) for i, t in enumerate(texts)})
+    assert sum(followed) <= 10 * len(texts), followed
