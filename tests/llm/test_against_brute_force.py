@@ -201,6 +201,97 @@ def test_like_windows_match_sets():
         assert windows.alike(10, 49, 0, 39) == (min(i), max(i) + 46, min(j), max(j) + 46)
 
 
+def like_windows(texts):
+    """For each text the other texts with a window of 50 words at 0.75 or more, and the words of its windows that have one."""
+    tokens = [[tuple(w[i:i + 5]) for i in range(len(w) - 4)] for w in texts]
+    windows = [[frozenset(t[i:i + 46]) for i in range(len(t) - 45)] for t in tokens]
+    partners, inside = [set() for _ in texts], [set() for _ in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if 4 * len(set(tokens[i]) & set(tokens[j])) < 3 * min(map(len, windows[i] + windows[j]), default=99):
+                continue
+            for a, p in enumerate(windows[i]):
+                for b, q in enumerate(windows[j]):
+                    if 100 * len(p & q) >= 75 * len(p | q):
+                        partners[i].add(j)
+                        partners[j].add(i)
+                        inside[i].update(range(a, a + 50))
+                        inside[j].update(range(b, b + 50))
+    return partners, inside
+
+
+def check_passages(spark, texts, full=True):
+    partners, inside = like_windows(texts)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in passages.repeated_passages(df).collect()}
+    assert set(got) == {i for i, p in enumerate(partners) if p}
+    for i, r in got.items():
+        assert r.partner_id in partners[i]
+        found = {w for s in r.spans for w in range(s.start, s.end)}
+        assert found <= inside[i] and (not full or found == inside[i])
+    return partners
+
+
+def test_near_repeats_behind_a_frequent_line(spark):
+    """Each pair shares 50 words of which one differs and 20 or 34 are a line of all texts, so no window is equal."""
+    rng = np.random.default_rng(21)
+    fresh = lambda n: [f"f{x}" for x in rng.integers(0, 10**9, n)]
+    for size in (20, 34):
+        line, texts = fresh(size), []
+        for _ in range(60):
+            rest = fresh(50 - size)
+            changed = list(rest)
+            changed[len(rest) // 2 if size == 34 else -3] = "other"
+            texts += [fresh(20) + line + rest + fresh(20), fresh(20) + line + changed + fresh(20)]
+        partners = check_passages(spark, texts)
+        assert sum(map(bool, partners)) >= 60
+
+
+def test_near_repeats_that_a_bucket_hides(spark):
+    """A long line of all texts with words after it that two texts share, apart from the line: only the line's run is long enough."""
+    rng = np.random.default_rng(22)
+    fresh = lambda n: [f"f{x}" for x in rng.integers(0, 10**9, n)]
+    line, texts = fresh(38), []
+    for _ in range(40):
+        rest = fresh(11)
+        texts += [fresh(9) + line + ["one"] + rest + fresh(9), fresh(9) + line + ["two"] + rest + fresh(9)]
+    partners = check_passages(spark, texts)
+    assert all(p == {i ^ 1} for i, p in enumerate(partners))
+
+
+def test_passages_of_repetitive_texts(spark):
+    """Few words, repeated lines, lines moved and texts of one word."""
+    rng = np.random.default_rng(23)
+    texts = [["la"] * n for n in (50, 90, 300)] + [["na", "la"] * n for n in (30, 60)]
+    for words in (2, 3, 6):
+        some = [f"v{x}" for x in rng.integers(0, words, 30)]
+        texts += [some + some, some[5:] + some + [f"u{words}"] * 3, some[:20] + ["x"] + some[10:] + some[::-1]]
+    for _ in range(12):
+        line = [f"w{x}" for x in rng.integers(0, 40, 12)]
+        other = [f"w{x}" for x in rng.integers(0, 40, 30)]
+        texts += [line * 3 + other, other + line * 2 + ["y"] + line, line + other + line[::-1] + other]
+    check_passages(spark, texts, full=False)
+
+
+def test_like_windows_share_a_run():
+    """Windows at 0.75 or more share a key, whatever they repeat."""
+    rng = np.random.default_rng(24)
+    liked = 0
+    for _ in range(3000):
+        a = rng.integers(1, [3, 8, 30, 1000][int(rng.integers(0, 4))], 50).astype(np.uint64)
+        b = list(a)
+        for _ in range(int(rng.integers(0, 4))):
+            at, n = int(rng.integers(0, 50)), int(rng.integers(0, 3))
+            b[at:at + n] = rng.integers(1, 50, int(rng.integers(0, 3))).tolist()
+        b = np.array((b + list(a))[:50], np.uint64)
+        x, y = passages.rolling(a, 5), passages.rolling(b, 5)
+        if 100 * len(np.intersect1d(x, y)) >= 75 * len(np.union1d(x, y)):
+            liked += 1
+            keys = [set(t[passages.key_places(t, w, passages.mix(t), 46, 75)].tolist()) for t, w in ((x, a), (y, b))]
+            assert keys[0] & keys[1]
+    assert liked >= 300
+
+
 def test_base_secrets(spark, sf_dir, documents):
     assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     for r in queries.QUERIES["op4_secret_scan"](spark, sf_dir).collect():
