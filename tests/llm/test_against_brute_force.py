@@ -5,6 +5,7 @@ import itertools
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -273,6 +274,64 @@ def test_passages_of_repetitive_texts(spark):
     check_passages(spark, texts, full=False)
 
 
+def test_keys_of_several_texts_at_once():
+    """The same places as text by text, also of repetitive and short texts; runs across two texts count for nothing."""
+    rng = np.random.default_rng(31)
+    texts = [rng.integers(1, [2, 3, 8, 30, 1000][int(rng.integers(0, 5))], int(rng.integers(1, 160))).astype(np.uint64) for _ in range(200)]
+    texts = [t for x in texts for t in (x, x[:60])]
+    words, at = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+    tokens = passages.rolling(words, 5)
+    got = passages.key_places(tokens, words, passages.mix(tokens), 46, 75, at)
+    expected = []
+    for b, e in zip(at[:-1], at[1:]):
+        if e - b >= 5:
+            own = passages.rolling(words[b:e], 5)
+            expected += (b + passages.key_places(own, words[b:e], passages.mix(own), 46, 75)).tolist()
+    assert got.tolist() == expected and len(expected) > 100
+
+
+def test_pairs_without_repeated_tokens_count_none(monkeypatch):
+    """Windows around each hit are compared without counting the distinct tokens of all windows anew."""
+    rng = np.random.default_rng(32)
+    x = rng.integers(0, 1 << 62, 400).astype(np.uint64)
+    y = np.delete(x, np.arange(25, 400, 50))
+    pair = [passages.Packed(t.tobytes(), np.zeros(1, np.int32).tobytes(), np.zeros(1, np.int32).tobytes(), 46) for t in (x, y)]
+    calls, old = [], passages.distinct_counts
+    monkeypatch.setattr(passages, "distinct_counts", lambda *a: calls.append(1) or old(*a))
+    pairs = passages.Comparison(*pair, 46, 75)
+    assert pairs.may()
+    _, p, q = np.intersect1d(x, y, return_indices=True)
+    one = np.ones(len(p), np.int64)
+    pairs.compare(p, one, q, one)
+    assert pairs.in_x[:390].all() and pairs.in_y.all() and not calls
+
+
+def test_rarest_tokens_of_windows():
+    """The tokens of each window that is asked about, by how many texts hold them, as in a plain loop."""
+    rng = np.random.default_rng(33)
+    tokens = np.concatenate([rng.integers(1, 40, 90), rng.integers(1, 1 << 40, 160)]).astype(np.uint64)
+    known = np.unique(tokens[rng.random(len(tokens)) < 0.95])
+    counts = rng.integers(2, 9, len(known))
+    held, asked = np.arange(20, 220, 7), np.array([100, 150])
+    row = (7, held, asked, tokens.tobytes(), np.zeros(1, np.int32).tobytes(), np.zeros(1, np.int32).tobytes(), known.view(np.int64), counts)
+    batch = pd.DataFrame([row], columns=["class_id", "held", "asked", "tokens", "begin", "offset", "known", "counts"])
+    found = pd.concat(passages._prefixes(46, 75)(iter([batch])))
+    got = {(r.token, r.asks, r.weak, r.full, p) for r in found.itertuples() for p in r.places}
+    number, expected = dict(zip(known.tolist(), counts.tolist())), set()
+    for s in range(len(tokens) - 45):
+        window = tokens[s:s + 46].tolist()
+        size = len(set(window))
+        own = sorted({(number[t], t) for t in window if t in number})
+        if not any(s <= p < s + 46 for p in held) or 100 * len(own) < 75 * size:
+            continue
+        dead = size - len(own)
+        for k, (_, t) in enumerate(own[:max(0, size + -75 * size // 100 + 1 - dead)]):
+            weak = size == 46 and k >= 46 - 40 + 1 - dead
+            expected.add((t, any(s <= p < s + 46 for p in asked), weak, size == 46, s + window.index(t)))
+    assert got == expected and len({e[1:4] for e in expected}) > 3
+    assert len(found) == len({e[:4] for e in expected})
+
+
 def test_like_windows_share_a_run():
     """Windows at 0.75 or more share a key, whatever they repeat."""
     rng = np.random.default_rng(24)
