@@ -332,6 +332,25 @@ def test_rarest_tokens_of_windows():
     assert len(found) == len({e[:4] for e in expected})
 
 
+def test_tokens_are_counted_in_all_texts(spark):
+    """The order of the tokens follows how many of all texts hold them, copies in a task counted once."""
+    rng = np.random.default_rng(34)
+    fresh = lambda n: [f"f{x}" for x in rng.integers(0, 10**9, n)]
+    lines, texts = {n: fresh(8) for n in (12, 40, 300)}, [fresh(9) for _ in range(9_000)]
+    for n, line in lines.items():
+        for k in rng.choice(len(texts), n, replace=False):
+            texts[k] = texts[k] + line + fresh(1) + line
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([*texts, *texts[:50]])], "doc_id bigint, text string").coalesce(1)
+    counted = df.selectExpr("doc_id", "text", "xxhash64(text) AS text_hash").mapInPandas(
+        passages._documents, "doc_id long, text_hash long, class_id long, n_words long, slice int, counts binary")
+    levels = passages._frequent(counted.filter("counts IS NOT NULL"), len(texts))
+    for n, line in lines.items():
+        (words, _), = passages._words_of([" ".join(line)])
+        got = levels[passages._counters(passages.rolling(words, 5))]
+        assert (got >= int(2 * np.log2(n * 4_000 / 9_000))).all() and np.median(got) == int(2 * np.log2(n * 4_000 / 9_000))
+    assert (levels > 0).sum() < 40
+
+
 def test_like_windows_share_a_run():
     """Windows at 0.75 or more share a key, whatever they repeat."""
     rng = np.random.default_rng(24)
