@@ -351,6 +351,90 @@ def test_tokens_are_counted_in_all_texts(spark):
     assert (levels > 0).sum() < 40
 
 
+def compared_pairs(monkeypatch, df):
+    """The result, and how many pairs of texts were written to be compared."""
+    counts, old = [0], passages.scratch
+
+    def counted(df, purpose):
+        out = old(df, purpose)
+        counts[0] += out.count() if purpose == "pairs" else 0
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(passages, "scratch", counted)
+        return {r.doc_id: r for r in passages.repeated_passages(df).collect()}, counts[0]
+
+
+def test_comparisons_follow_the_texts_that_repeat_words(spark, monkeypatch):
+    """Texts of repeated words, of which the first are too short to be a passage: equal sets of tokens need no comparison."""
+    rng = np.random.default_rng(35)
+    runs = [[(f"w{x}", int(rng.integers(52, 70) if i > 11 else 30)) for x in rng.choice(12, 3, replace=False)] for i in range(172)]
+    pairs = []
+    for n in (52, 172):
+        df = spark.createDataFrame([(i, " ".join(w for w, k in of for _ in range(k))) for i, of in enumerate(runs[:n])], "doc_id bigint, text string")
+        got, count = compared_pairs(monkeypatch, df)
+        pairs.append(count)
+        assert set(range(12, n)) <= set(got)
+        for i, of in enumerate(runs[:n]):
+            begin, found = 0, {w for s in got[i].spans for w in range(s.start, s.end)} if i in got else ()
+            for w, k in of:
+                assert i < 12 or set(range(begin, begin + k)) <= found or not any(j != i and (w, 52) <= x for j in range(12, n) for x in runs[j] if x[0] == w)
+                begin += k
+    assert pairs[1] < 172 * 12
+
+
+def test_texts_with_few_words_in_common_are_not_compared(spark, monkeypatch):
+    rng = np.random.default_rng(36)
+    fresh = lambda n: [f"f{x}" for x in rng.integers(0, 10**9, n)]
+    lines = [fresh(5) for _ in range(200)]
+    texts = [fresh(30) + lines[i % 200] + fresh(30) for i in range(400)]
+    shared = fresh(52)
+    texts += [fresh(10) + shared + fresh(4), fresh(3) + shared + fresh(9)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    got, pairs = compared_pairs(monkeypatch, df)
+    assert {i: r.partner_id for i, r in got.items()} == {400: 401, 401: 400}
+    assert all(got[i].spans[0].start <= b and got[i].spans[0].end >= b + 52 for i, b in ((400, 10), (401, 3)))
+    assert pairs == 1
+
+
+def test_set_hashes_are_those_of_sets():
+    rng = np.random.default_rng(37)
+    tokens = np.concatenate([np.full(60, 5), rng.integers(1, 4, 90), rng.integers(1, 9, 90)]).astype(np.uint64)
+    sets = [frozenset(tokens[i:i + 46].tolist()) for i in range(len(tokens) - 45)]
+    got = passages.set_hashes(tokens, 46).tolist()
+    assert len(dict(zip(sets, got))) == len(set(got)) == len(set(zip(sets, got))) > 3
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_shared_rows_of_a_bucket(seed):
+    """Groups, heads and who can be alike, as in a plain loop."""
+    rng = np.random.default_rng(seed)
+    n = 400
+    token, c, place = rng.integers(1, 60, n).astype(np.uint64), rng.integers(1, 30, n), rng.integers(0, 3, n).astype(np.int32)
+    ids, named = c // 2 * 10 + rng.integers(0, 3, n), c % 7 > 0
+    left, right, loose = rng.integers(1, 6, (30, 60, 3)), rng.integers(1, 6, (30, 60, 3)), rng.integers(0, 5, (30, 60, 3)) == 0
+    key = c, token.astype(int), place
+    sides = ((left[key] << 1 | loose[key]) << 32 | right[key]).astype(np.uint64)
+    arrays = token, c.astype(np.int64), ids.astype(np.int64), named, place, sides
+    batches = [passages._blocks([tuple(a[k::4] for a in arrays)], 1) for k in range(4)]
+    got = {(r["token"], r["class_id"]): r for r in passages._members(passages.pa.Table.from_batches(batches)).to_pylist()}
+    held = {}
+    for k in range(n):
+        held.setdefault(int(token[k]), {}).setdefault(int(c[k]), []).append((int(place[k]), int(ids[k]), bool(named[k])))
+    expected = {}
+    for t, of in held.items():
+        meets = lambda a, b: any(left[a, t, p] == left[b, t, q] or right[a, t, p] == right[b, t, q] or loose[a, t, p] and loose[b, t, q]
+                                 for p, *_ in of[a] for q, *_ in of[b])
+        alone = {a: not any(meets(a, b) for b in of if a != b) for a in of}
+        head = min(of, key=lambda a: (alone[a], not of[a][0][2], min(i for _, i, _ in of[a]) if of[a][0][2] else 0, a))
+        for a in of if len(of) > 1 else ():
+            one = all(len({p for p, *_ in of[x]}) == 1 for x in (a, head))
+            expected[t, a] = (sorted({p for p, *_ in of[a]}), head, [] if a == head else sorted({p for p, *_ in of[head]}),
+                              a != head and not alone[a] and (not one or meets(a, head)), alone[a], len(of))
+    assert {k: (r["places"], r["head"], r["head_places"], r["met"], r["alone"], r["size"]) for k, r in got.items()} == expected
+    assert len({e[3:5] for e in expected.values()}) == 3
+
+
 def test_like_windows_share_a_run():
     """Windows at 0.75 or more share a key, whatever they repeat."""
     rng = np.random.default_rng(24)
